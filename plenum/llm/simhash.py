@@ -18,8 +18,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plenum.llm.common import as_bytes, bodies, written
 from plenum.llm.components import connected_components
@@ -59,6 +60,24 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """docs, all columns as they are, with the document of the smallest doc_id from each component.
+
+    Rows without a doc_id are kept. Of rows that repeat a doc_id within a component one stays: those with
+    different texts are told apart by a hash of the text.
+    """
+    marked = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("doc_id"), "text")
+    found = classes(written(fingerprints(marked), "prints"), radius).select("doc_id.doc_id", "doc_id.h", F.col("component_id.doc_id").alias("c_id"), F.col("component_id.h").alias("c_h"))
+    found = written(found.where("doc_id is not null"), "classes")
+    gone = found.where("doc_id <> c_id or h <> c_h").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(gone, (docs["doc_id"] == F.col("_id")) & (own == F.col("_h")), "left_anti")
+    if found.where("doc_id = c_id and h = c_h").groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        return kept
+    numbered = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.lit(0))))
+    return numbered.where("doc_id is null or _n = 1").drop("_n")
+
+
 def planes(values: np.ndarray) -> np.ndarray:
     """uint64[n] -> uint64[64, ceil(n / 64)]: bit i of every value, 64 values to a word."""
     n = -(-len(values) // 64) * 64
@@ -202,7 +221,8 @@ def classes(prints: DataFrame, radius: int = 3, blocks: int = 5, chunk: int = 40
     Equal fingerprints are one node, so any number of copies costs one row in the comparison. Rows without
     a doc_id take part; a component of such rows alone has a null component_id. Repeated rows stay.
     """
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    key = "doc_id.doc_id" if isinstance(prints.schema["doc_id"].dataType, StructType) else "doc_id"
+    nodes = written(prints.groupBy("fp").agg(F.min(F.when(F.col(key).isNotNull(), F.col("doc_id"))).alias("least")), "fingerprints")
     roots = connected_components(links(nodes.select("fp"), radius, blocks, chunk)).select(F.col("node").alias("fp"), "root")
     tied = nodes.join(roots, "fp")
     labels = tied.select("fp", "root").join(tied.groupBy("root").agg(F.min("least").alias("label")), "root").select("fp", "label")
