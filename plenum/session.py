@@ -23,3 +23,23 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables below sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let the executors import this package, once per application, wherever the driver found it."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId not in _shipped:
+        target = Path(tempfile.mkdtemp(prefix="plenum-")) / "plenum.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for p in sorted(root.rglob("*.py")):
+                archive.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(target))
+        _shipped.add(sc.applicationId)
+    return spark
+
+
+_shipped: set[str] = set()
