@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plenum.llm import decontaminate, mixture, preference, simhash, token_stream
 from plenum.llm.common import shared_dir
+from plenum.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
+    ship(spark)
     docs, base = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}_{name}"

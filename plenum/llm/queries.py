@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import pkgutil
 
 import plenum.llm
+from plenum.session import ship
 
 
 def _modules():
@@ -17,7 +19,15 @@ def _modules():
 def queries() -> dict:
     """Every function named opN_... of the modules here, in the order of N."""
     found = {k: f for m in _modules() for k, f in vars(m).items() if k.startswith("op") and k[2:3].isdigit() and callable(f) and f.__module__ == m.__name__}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return {k: _shipping(found[k]) for k in sorted(found, key=lambda k: int(k[2:].split("_")[0]))}
+
+
+def _shipping(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        return query(ship(spark), sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict:
