@@ -13,12 +13,16 @@ output and lie on any file system; the line end that it adds follows the stream'
 from __future__ import annotations
 
 import io
+import json
+import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,24 +32,40 @@ from plenum.llm.common import shared_dir, written
 SEQUENCE, ROWS = 2048, 64
 #: Ids in a file, before the document that passes it.
 FILE_IDS = 4 << 20
-#: Words kept with their ids, and the longest that are.
-CACHED_WORDS, CACHED_BYTES = 600_000, 48
+#: Words kept with their ids, the longest that are, and texts and words encoded at a time.
+CACHED_WORDS, CACHED_BYTES, TEXTS, WORDS = 600_000, 48, 1024, 1000
+#: Stands between words that are encoded together; a text that has it is encoded whole.
+MARK = "\x01"
+
+#: A byte as the letter that stands for it in byte-level vocabularies: itself where printable, else one from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 _encoders: dict = {}
 
 
 class Encoder:
-    """Ids of whole texts as bytes; words between ASCII white space are encoded one by one and remembered.
+    """Ids of whole texts as bytes.
 
-    That gives the ids of the whole text where the tokenizer drops white space before it looks at words,
-    as the parameter `by_word` states; otherwise texts are encoded whole.
+    Where the tokenizer drops white space before it looks at words, as `by_word` allows and a probe
+    confirms, words between ASCII white space are remembered with their ids, up to CACHED_WORDS of them, in
+    the second half only those that are met again; unknown ones are encoded many at a time, a mark between,
+    or, where the vocabulary cuts words by one pattern, piece by piece by its model. A text that holds a special token's
+    string or the mark is encoded whole. When over a fifth of the words are unknown, memory starts anew.
     """
 
     def __init__(self, path: str, by_word: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
+        self.tokenizer, self.known, self.met = Tokenizer.from_file(path), {}, np.zeros(1 << 24, bool)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        probe = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.mark = probe(MARK)
+        self.by_word = by_word and len(self.mark) == 1 and probe(f" a\n\tb {MARK} c\r ") == probe("a") + probe("b") + self.mark + probe("c")
+        self.lower = probe("AZ") == probe("az")
+        self.pattern, self.pieces = self._cuts(), {}
+        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()] + [MARK.encode()]
 
     @classmethod
     def of(cls, path: str, by_word: bool = True) -> Encoder:
@@ -54,26 +74,85 @@ class Encoder:
             _encoders[path, by_word] = cls(path, by_word)
         return _encoders[path, by_word]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
+        return [np.array(x.ids, self.dtype) for x in found]
+
+    def _cuts(self):
+        """The pattern that cuts words into pieces if pieces are then bytes written as letters, else None."""
+        steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        steps = steps.get("pretokenizers", [])
+        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or "Regex" not in steps[0]["pattern"]:
+            return None
+        if steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+            return None
+        return regex.compile(steps[0]["pattern"]["Regex"])
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else "".join(map(BYTE_LETTERS.__getitem__, piece.encode()))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.dtype).tobytes()
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words: those that normalising leaves as they are by pieces, the others between marks."""
+        if self.pattern is None or not self.lower:
+            return dict(zip(words, self._words(words)))
+        out, rest, get, cut = {}, [], self.pieces.get, self.pattern.findall
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            if not text.isprintable() or not text.isascii() and (text != text.lower() or not is_normalized("NFC", text)):
+                rest.append(word)
+                continue
+            ids = []
+            for piece in (text,) if text.isascii() and text.isalpha() else cut(text):
+                found = get(piece)
+                if found is None:
+                    found = self._piece(piece)
+                    if len(self.pieces) < CACHED_WORDS // 4 and len(piece) < CACHED_BYTES:
+                        self.pieces[piece] = found
+                ids.append(found)
+            out[word] = ids[0] if len(ids) == 1 else b"".join(ids)
+        out.update(zip(rest, self._words(rest)))
+        return out
+
+    def _words(self, words: list[bytes]) -> Iterator[bytes]:
+        between = f" {MARK} ".encode()
+        for at in range(0, len(words), WORDS):
+            part = words[at : at + WORDS]
+            ids = self._whole([between.join(part)])[0]
+            ends = np.flatnonzero(ids == self.mark[0]).tolist()
+            if len(ends) != len(part) - 1:
+                raise ValueError("the tokenizer does not keep words apart; use by_word=False")
+            for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)]):
+                yield ids[a:b].tobytes()
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         if not self.by_word:
-            return self._ids([x.decode("utf-8", "replace") for x in bodies])
-        texts = [x.split() for x in bodies]
-        new = set().union(*texts).difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, set().union(*texts)
-        new = list(new)
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            self.known.update(zip(part, self._ids([x.decode("utf-8", "replace") for x in part])))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, ws)) for ws in texts]
-        if long := [w for w in new if len(w) > CACHED_BYTES]:
-            for w in long:
-                del self.known[w]
+            return [x.tobytes() for x in self._whole(bodies)]
+        low = [x.lower() for x in bodies]
+        whole = [k for k, x in enumerate(low) if any(t in x for t in self.special)]
+        split = [x.split() for x in (low if self.lower else bodies)]
+        for k in whole:
+            split[k] = []
+        held = [list(map(self.known.get, ws)) for ws in split]
+        gaps = [[k for k, x in enumerate(ids) if x is None] if None in ids else () for ids in held]
+        new = list({ws[k] for ws, at in zip(split, gaps) for k in at})
+        found = self._new(new)
+        for ws, ids, at in zip(split, held, gaps):
+            for k in at:
+                ids[k] = found[ws[k]]
+        out = list(map(b"".join, held))
+        if len(new) * 5 > sum(map(len, split)) and len(self.known) >= CACHED_WORDS // 2:
+            self.known, self.pieces, self.met[:] = {}, {}, False
+        keep = np.array([len(w) <= CACHED_BYTES for w in new], bool)
+        if len(self.known) > CACHED_WORDS // 2:
+            place = np.fromiter(map(hash, new), np.int64, len(new)) & len(self.met) - 1
+            keep &= self.met[place]
+            self.met[place] = True
+        keep[np.cumsum(keep) > CACHED_WORDS - len(self.known)] = False
+        self.known.update((w, found[w]) for w, k in zip(new, keep.tolist()) if k)
+        for k, ids in zip(whole, self._whole([bodies[k] for k in whole])):
+            out[k] = ids.tobytes()
         return out
 
 
@@ -161,8 +240,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int = 2, by_wor
         for batch in batches:
             key = batch.schema.field("doc_id").type
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("body")
-            for at in range(0, len(keys), 512):
-                for doc, ids in zip(keys[at : at + 512], encoder.encode(texts.slice(at, 512).to_pylist())):
+            for at in range(0, len(keys), TEXTS):
+                for doc, ids in zip(keys[at : at + TEXTS], encoder.encode(texts.slice(at, TEXTS).to_pylist())):
                     held.append(ids + last)
                     index.append((doc, n, len(held[-1]) // size))
                     n += index[-1][2]
