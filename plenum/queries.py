@@ -2,5 +2,582 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plenum.functions import dates, geo, markup, search, text
+from plenum.functions.stem import stems
+from plenum.operators import aggregates, joins, locate, scopes, sets, sync, tops
+from plenum.plans.analogue import TODAY, council, with_sql
+from plenum.session import ship, table
+from plenum.sources import sinks
+from plenum.streaming import throttle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+DAY = F.lit(TODAY).cast("date")
+SQL_DAY = f"date '{TODAY}'"
+
+
+def query(sql: str | None = None, *domain: str):
+    """Register a function (council, spark, sf_dir) -> DataFrame by its name, with SQL over the named domain tables."""
+
+    def add(f):
+        name = f.__name__
+        QUERIES[name] = lambda spark, sf_dir: f(council(ship(spark), sf_dir), spark, sf_dir)
+        if sql:
+            ORACLE[name] = (with_sql(*domain) if domain else "") + sql
+        return f
+
+    return add
+
+
+# averages and tops
+
+
+@query(
+    """, held as (select m.*, (select sum(word_count) from agenda_items i where i.meeting_id = m.id) as words,
+           row_number() over (partition by committee_id order by date desc nulls last, id desc) as n
+         from meetings m where id in (select meeting_id from agenda_items where minutes is not null))
+    select c.id as committee_id, cast(round(sum(words) / count(h.id)) as integer) as word_count, cast(round(avg(end_sec - start_sec)) as integer) as duration
+    from committees c left join held h on h.committee_id = c.id and n <= 5 group by c.id""",
+    "committees", "meetings", "agenda_items",
+)
+def recent_averages(c, spark, sf_dir):
+    return tops.recent_averages(c.committees, c.meetings, c.agenda_items)
+
+
+@query("select committee_id, cast(round(avg(end_sec - start_sec)) as integer) as average_duration from meetings group by 1", "meetings")
+def average_durations(c, spark, sf_dir):
+    return aggregates.average_durations(c.meetings)
+
+
+@query(f"select committee_id, id as next_meeting_id, date as next_date from meetings where date >= {SQL_DAY} qualify row_number() over (partition by committee_id order by date, id) = 1", "meetings")
+def next_per_committee(c, spark, sf_dir):
+    rows = joins.next_meetings(c.committees, c.meetings, DAY).where("next_date is not null")
+    return rows.select(F.col("id").alias("committee_id"), "next_meeting_id", "next_date")
+
+
+@query(
+    """select document_id, m.id as meeting_id, date from agenda_items i join meetings m on m.id = meeting_id join documents d on d.id = document_id
+    qualify row_number() over (partition by document_id order by date desc, m.id desc) = 1""",
+    "documents", "meetings", "agenda_items",
+)
+def latest_per_document(c, spark, sf_dir):
+    return tops.latest_meeting(c.documents, c.agenda_items, c.meetings)
+
+
+@query(
+    """select location_id, string_agg(cast(document_id as varchar), ',' order by document_id) as documents from
+    (select *, row_number() over (partition by location_id order by document_id) as n from document_locations) where n <= 10 group by 1""",
+    "document_locations",
+)
+def first10_per_location(c, spark, sf_dir):
+    rows = aggregates.grouped_rows(c.document_locations, ["location_id"], ["document_id"], 10, "documents")
+    return rows.select("location_id", F.array_join(F.transform("documents", lambda x: x["document_id"].cast("string")), ",").alias("documents"))
+
+
+@query(
+    """, sizes as (select party_id, count(*) as n from members where not inactive and kind not in ('zubenannte/r Bürger/in', 'Zubenannte/r Bürger/in') group by 1)
+    select committee_id, member_id, m.party_id, p.name as party_name, cast(row_number() over (order by m.party_id is null, coalesce(n, 0) desc, p.name nulls last, m.name, member_id, committee_id) as bigint) as place
+    from memberships s join members m on m.id = member_id left join parties p on p.id = m.party_id left join sizes z on z.party_id = m.party_id
+    where not s.inactive and not m.inactive""",
+    "memberships", "members", "parties",
+)
+def party_size_order(c, spark, sf_dir):
+    # the place in the roster's order is what the check compares; rank within committees would be the usual use
+    rows = joins.current_members(c.memberships, c.members, c.parties).join(aggregates.party_sizes(c.members), "party_id", "left")
+    order = Window.orderBy(F.col("party_id").isNull(), F.coalesce("size", F.lit(0)).desc(), F.col("party_name").asc_nulls_last(), F.col("member_name"), "member_id", "committee_id")
+    return rows.select("committee_id", "member_id", "party_id", "party_name", F.row_number().over(order).cast("bigint").alias("place"))
+
+
+@query("select party_id, count(*) as size from members where not inactive and kind not in ('zubenannte/r Bürger/in', 'Zubenannte/r Bürger/in') group by 1", "members")
+def regular_members(c, spark, sf_dir):
+    return aggregates.party_sizes(c.members)
+
+
+@query(
+    """select p.id, p.name, count(m.id) as size from parties p left join members m on m.party_id = p.id and not m.inactive and m.kind not in ('zubenannte/r Bürger/in', 'Zubenannte/r Bürger/in')
+    where not p.inactive group by all""",
+    "parties", "members",
+)
+def parties_by_size(c, spark, sf_dir):
+    return tops.parties_by_size(c.parties, c.members)
+
+
+@query("select id, kind from members where kind in ('zubenannte/r Bürger/in', 'Zubenannte/r Bürger/in')", "members")
+def co_opted_members(c, spark, sf_dir):
+    return scopes.co_opted(c.members).select("id", "kind")
+
+
+@query(f"select cast(floor(sum(case when date >= {SQL_DAY} then 1 else 0 end) / 25) as bigint) + 1 as page from meetings", "meetings")
+def page_of_today(c, spark, sf_dir):
+    return tops.page_of_today(c.meetings, DAY)
+
+
+# counts and series
+
+
+@query("select date_trunc('month', date)::date as month, count(*) as n_appearances from documents d join agenda_items i on i.document_id = d.id join meetings m on m.id = i.meeting_id group by 1", "documents", "meetings", "agenda_items")
+def documents_per_month(c, spark, sf_dir):
+    return aggregates.documents_per_month(c.documents, c.agenda_items, c.meetings)
+
+
+@query("select date_trunc('month', date)::date as month, count(*) as n_appearances from documents d join agenda_items i on i.document_id = d.id join meetings m on m.id = i.meeting_id where kind ilike '%antrag%' group by 1", "documents", "meetings", "agenda_items")
+def proposals_per_month(c, spark, sf_dir):
+    return aggregates.documents_per_month(scopes.proposals(c.documents), c.agenda_items, c.meetings)
+
+
+@query("select date_trunc('month', date)::date as month, cast(sum(word_count) as bigint) as words from meetings m join agenda_items i on i.meeting_id = m.id where m.id in (select meeting_id from agenda_items where minutes is not null) group by 1", "meetings", "agenda_items")
+def sum_per_month(c, spark, sf_dir):
+    return aggregates.words_per_month(c.meetings, c.agenda_items)
+
+
+@query(
+    """, s as (select date_trunc('month', date)::date as month, count(*) as n from meetings where committee_id = 7 group by 1)
+    select cast(r.month as date) as month, coalesce(n, 0) as n from (select unnest(generate_series((select min(month) from s)::timestamp, (select max(month) from s)::timestamp, interval 1 month)) as month) r left join s on s.month = r.month""",
+    "meetings",
+)
+def month_series_filled(c, spark, sf_dir):
+    return aggregates.filled(aggregates.per_month(c.meetings.where("committee_id = 7")))
+
+
+@query("select meeting_id, count(*) as n_items, cast(sum(word_count) as bigint) as words, bool_or(ext_id is not null) as logged from agenda_items group by 1", "agenda_items")
+def meeting_stats(c, spark, sf_dir):
+    return aggregates.meeting_stats(c.agenda_items)
+
+
+PARTIES = ["steel", "brass", "Brand#1", "small", "copper", "blue", "Brand#23"]
+
+
+@query(
+    """, p(party) as (values {}) select party, count(*) as all_documents, count(*) filter (kind ilike '%antrag%') as proposals, count(*) filter (kind = 'Kleine Anfrage öffentlich') as small_inquiries
+    from p join documents d on title ilike '%' || party || '%' or author ilike '%' || party || '%' group by 1
+    union all select party, 0, 0, 0 from p where not exists (select 1 from documents where title ilike '%' || party || '%' or author ilike '%' || party || '%')""".format(", ".join(f"('{p}')" for p in PARTIES)),
+    "documents",
+)
+def party_counts(c, spark, sf_dir):
+    return aggregates.party_counts(c.documents, PARTIES, {"all_documents": F.lit(True), "proposals": search.contains_term("kind", "Antrag"), "small_inquiries": F.col("kind").isin(scopes.SMALL_INQUIRIES)})
+
+
+@query("select l_returnflag, (sum(l_extendedprice) - sum(l_quantity)) / nullif(sum(l_extendedprice), 0) as ratio from lineitem group by 1")
+def ratio_of_sums(c, spark, sf_dir):
+    rows = aggregates.ratio_of_sums(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ("l_returnflag",))
+    return rows
+
+
+@query("select o_custkey, cast(case when count(*) > 0 then floor(100 * sum(case when o_orderstatus = 'F' then 1 else 0 end) / count(*)) else 0 end as bigint) as percent from orders group by 1")
+def percent_case(c, spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count("*").alias("b"))
+    return rows.select("o_custkey", aggregates.percent("a", "b").alias("percent"))
+
+
+@query("select min(date) as least, max(date) as most from meetings", "meetings")
+def extremes(c, spark, sf_dir):
+    return aggregates.extremes(c.meetings, "date")
+
+
+@query("select cast(y as integer) as year from (select unnest(range(year(min(date)), year(max(date)) + 1)) as y from meetings)", "meetings")
+def known_years(c, spark, sf_dir):
+    return c.years()
+
+
+@query("select meeting_id, string_agg(number || ' ' || title, '|' order by id) as agenda from agenda_items group by 1", "agenda_items")
+def agenda_lines(c, spark, sf_dir):
+    return aggregates.lines(c.agenda_items).select("meeting_id", F.translate("agenda", "\n", "|").alias("agenda"))
+
+
+@query("select greatest(count(*) - 25, 0) as more from documents where title ilike '%steel%'", "documents")
+def overflow_count(c, spark, sf_dir):
+    return aggregates.overflow(c.documents.where(search.contains_term("title", "steel")), 25)
+
+
+@query("select cast(floor(latitude / 0.5) as bigint) as cell_row, cast(floor(longitude / 0.5) as bigint) as cell_column, count(*) as n, round(avg(latitude), 6) as latitude, round(avg(longitude), 6) as longitude from locations group by 1, 2", "locations")
+def marker_clusters(c, spark, sf_dir):
+    return aggregates.clusters(c.locations, 0.5).withColumns({k: F.round(k, 6) for k in ("latitude", "longitude")})
+
+
+# filters and joins
+
+
+@query("select id, title from meetings where title is not null and id in (select meeting_id from agenda_items)", "meetings", "agenda_items")
+def meetings_with_agenda(c, spark, sf_dir):
+    return joins.with_agenda(c.meetings, c.agenda_items).select("id", "title")
+
+
+@query("select id from meetings where id in (select meeting_id from agenda_items where minutes is not null)", "meetings", "agenda_items")
+def meetings_with_minutes(c, spark, sf_dir):
+    return joins.with_minutes(c.meetings, c.agenda_items).select("id")
+
+
+@query("select id from meetings where id not in (select meeting_id from agenda_items where ext_id is not null)", "meetings", "agenda_items")
+def meetings_without_logged_items(c, spark, sf_dir):
+    return joins.without_logged_items(c.meetings, c.agenda_items).select("id")
+
+
+@query("select id from meetings where id not in (select meeting_id from agenda_items)", "meetings", "agenda_items")
+def meetings_without_agenda(c, spark, sf_dir):
+    return joins.not_in(c.meetings, c.agenda_items.select(F.col("meeting_id").alias("id"))).select("id")
+
+
+@query("select id, number, title from documents where title is not null", "documents")
+def complete_filter(c, spark, sf_dir):
+    return scopes.complete(c.documents).select("id", "number", "title")
+
+
+@query(f"select i.id from agenda_items i join meetings m on m.id = meeting_id where ext_id is not null and minutes is null and result is null and date between {SQL_DAY} - 270 and {SQL_DAY} - 30", "agenda_items", "meetings")
+def incomplete_items(c, spark, sf_dir):
+    return scopes.incomplete(c.agenda_items, c.meetings, DAY).select("id")
+
+
+@query("select id, kind from documents where kind in ('Große Anfrage öffentlich') or kind in ('Kleine Anfrage öffentlich') or kind = 'Auskunftsersuchen'", "documents")
+def inquiries(c, spark, sf_dir):
+    return sets.either(scopes.small_inquiries(c.documents), scopes.large_inquiries(c.documents), scopes.state_inquiries(c.documents)).select("id", "kind")
+
+
+@query("select id from documents where title ilike '%steel%' or author ilike '%steel%'", "documents")
+def authored_by(c, spark, sf_dir):
+    return scopes.authored_by(c.documents, "steel").select("id")
+
+
+@query("select d.id from documents d join districts s on s.id = d.district_id where number >= first_number", "documents", "districts")
+def current_legislation(c, spark, sf_dir):
+    return scopes.current_legislation(c.documents, c.districts).select("id")
+
+
+@query("select id, number from documents where starts_with(number, '21-0003.')", "documents")
+def number_children(c, spark, sf_dir):
+    return scopes.children(c.documents, "21-0003").select("id", "number")
+
+
+@query(f"select id, date from meetings where date between date_trunc('month', {SQL_DAY} - interval 4 month)::date and last_day(({SQL_DAY} - interval 1 month)::date)", "meetings")
+def in_last_months(c, spark, sf_dir):
+    return scopes.in_last_months(c.meetings, 3, DAY).select("id", "date")
+
+
+@query(f"select 'past' as span, count(*) as n from meetings where date between {SQL_DAY} - 30 and {SQL_DAY} union all select 'month', count(*) from meetings where date_trunc('month', date) = date_trunc('month', {SQL_DAY}) union all select 'future', count(*) from meetings where date >= {SQL_DAY} union all select 'recent', count(*) from meetings where date between {SQL_DAY} - 7 and {SQL_DAY} + 7", "meetings")
+def date_windows(c, spark, sf_dir):
+    parts = {"past": scopes.in_last_days(c.meetings, 30, DAY), "month": scopes.in_month(c.meetings, DAY), "future": scopes.in_future(c.meetings, DAY), "recent": scopes.recent(c.meetings, DAY)}
+    # one pass: the four windows are conditional counts of the same scan
+    rows = sets.stacked(**{k: v.select("id") for k, v in parts.items()})
+    return rows.groupBy(F.col("source").alias("span")).agg(F.count("*").alias("n"))
+
+
+@query("select id, start_sec, end_sec, end_sec - start_sec as duration from meetings where start_sec is not null and end_sec is not null", "meetings")
+def with_duration(c, spark, sf_dir):
+    return scopes.with_duration(c.meetings).select("id", "start_sec", "end_sec", dates.duration().alias("duration"))
+
+
+@query("select id, name from committees where not inactive and public", "committees")
+def open_committees(c, spark, sf_dir):
+    return scopes.open_to_public(scopes.active(c.committees)).select("id", "name")
+
+
+@query(f"select distinct d.id, d.number, d.title from documents d join agenda_items i on i.document_id = d.id join meetings m on m.id = meeting_id where d.title is not null and date between {SQL_DAY} - 60 and {SQL_DAY} and kind ilike '%antrag%' and (d.title ilike '%e%' or author ilike '%e%')", "documents", "agenda_items", "meetings")
+def archive_listing(c, spark, sf_dir):
+    return c.archive(DAY, 60, "proposals,unknown", party="e")
+
+
+@query("select d.id, m.id as meeting_id from documents d left join agenda_items i on i.document_id = d.id left join meetings m on m.id = i.meeting_id", "documents", "agenda_items", "meetings")
+def include_meetings(c, spark, sf_dir):
+    return joins.include_meetings(c.documents, c.agenda_items, c.meetings).select("id", "meeting_id")
+
+
+@query("select d.id, count(a.id) as n, max(a.name) as last from documents d left join attachments a on a.attachable_type = 'Document' and a.attachable_id = d.id group by 1", "documents", "attachments")
+def document_attachments(c, spark, sf_dir):
+    return joins.with_attachments(c.documents, c.attachments).groupBy("id").agg(F.count("attachment_name").alias("n"), F.max("attachment_name").alias("last"))
+
+
+@query("select committee_id, member_id, m.name as member_name, p.name as party_name from memberships s join members m on m.id = member_id left join parties p on p.id = m.party_id where not s.inactive and not m.inactive", "memberships", "members", "parties")
+def ordered_memberships(c, spark, sf_dir):
+    return joins.current_members(c.memberships, c.members, c.parties).select("committee_id", "member_id", "member_name", "party_name")
+
+
+@query("select document_id, location_id, latitude, longitude from document_locations x join documents d on d.id = document_id join locations l on l.id = location_id where title is not null", "document_locations", "documents", "locations")
+def map_markers(c, spark, sf_dir):
+    rows = joins.markers(scopes.complete(c.documents).select("id"), c.document_locations, c.locations.select("id", "latitude", "longitude"))
+    return rows.select("document_id", "location_id", F.col("location_latitude").alias("latitude"), F.col("location_longitude").alias("longitude"))
+
+
+@query("select a.id, b.id as related_id from documents a join documents b on a.district_id = b.district_id and a.id <> b.id and ((starts_with(b.number, split_part(a.number, '.', 1) || '.')) or (contains(a.number, '.') and b.number = split_part(a.number, '.', 1)))", "documents")
+def number_hierarchy(c, spark, sf_dir):
+    return joins.related(c.documents)
+
+
+@query(
+    """, k as (select title, committee_id, row_number() over (partition by title order by id) as n from meetings where title is not null)
+    select m.id, coalesce(case when m.id % 2 = 0 then m.committee_id end, k.committee_id) as committee_id from meetings m left join k on k.title = m.title and k.n = 1""",
+    "meetings",
+)
+def committee_by_title(c, spark, sf_dir):
+    half = c.meetings.withColumn("committee_id", F.when(F.col("id") % 2 == 0, F.col("committee_id")))
+    return joins.committee_by_title(half, c.meetings).select("id", "committee_id")
+
+
+@query(
+    f""", days as (select cast(unnest(generate_series(date_trunc('month', {SQL_DAY})::timestamp, last_day({SQL_DAY})::timestamp, interval 1 day)) as date) as day)
+    select day, dayofweek(day) in (0, 6) as weekend, day = {SQL_DAY} as today, d.id as district_id, d.name as district, m.id as meeting_id, m.title
+    from days cross join districts d left join meetings m on m.date = day and m.district_id = d.id""",
+    "districts", "meetings",
+)
+def calendar_grid(c, spark, sf_dir):
+    return c.calendar(DAY, DAY)
+
+
+@query("select l.id from locations l join districts d on d.id = l.district_id where latitude between sw_lat and ne_lat and longitude between sw_lng and ne_lng", "locations", "districts")
+def bbox_filter(c, spark, sf_dir):
+    boxes = c.districts.select(F.col("id").alias("district_id"), "ne_lat", "ne_lng", "sw_lat", "sw_lng")
+    return scopes.inside(c.locations.join(boxes, "district_id")).select("id")
+
+
+@query("select id, sw_lat + (ne_lat - sw_lat) / 2 as lat, sw_lng + (ne_lng - sw_lng) / 2 as lng from districts", "districts")
+def bbox_centre(c, spark, sf_dir):
+    lat, lng = geo.centre()
+    return c.districts.select("id", lat.alias("lat"), lng.alias("lng"))
+
+
+@query("select id, decision, case decision when 'ungeändert beschlossen' then 'check-circle' when 'vertagt' then 'arrow-alt-circle-right' when 'abgelehnt' then 'times-circle' end as icon, case decision when 'ungeändert beschlossen' then 'success' when 'vertagt' then 'warning' when 'abgelehnt' then 'danger' end as colour from agenda_items", "agenda_items")
+def result_badges(c, spark, sf_dir):
+    icon, colour = scopes.result_badge()
+    return c.agenda_items.select("id", "decision", icon.alias("icon"), colour.alias("colour"))
+
+
+# search and text
+
+
+@query("select id, number, title, case when number ilike 'small%' then 2 else 0 end + case when title ilike 'small%' then 1 else 0 end as score from documents where title ilike '%small%' or number ilike '%small%' or full_text ilike '%small%' order by score desc, title nulls last, id limit 5", "documents")
+def suggest_ranked(c, spark, sf_dir):
+    return tops.suggestions(c.documents, "Small", 5).select("id", "number", "title", "score")
+
+
+@query("select i.id, meeting_id, date from agenda_items i join meetings m on m.id = meeting_id where minutes ilike '%zu 1%' order by date desc, i.id desc limit 25", "agenda_items", "meetings")
+def contains_newest_first(c, spark, sf_dir):
+    return tops.minutes_hits(c.agenda_items, c.meetings, "ZU 1", 25).select("id", "meeting_id", F.col("meetings_date").alias("date"))
+
+
+_HITS = r"""regexp_extract_all(lower({c}), '[\p{{L}}\p{{M}}\p{{Nd}}]+')"""
+_RANKED = f""", v as (select id, number, {_HITS.format(c='title')} as a, {_HITS.format(c='full_text')} as b from documents where title is not null and full_text is not null),
+    hits as (select id, number, round(len(list_filter(a, lambda x: x in ('steel', 'small'))) * 1.0 + len(list_filter(b, lambda x: x in ('steel', 'small'))) * 0.4, 6)::double as rank
+      from v where list_contains(list_concat(a, b), 'steel') and list_contains(list_concat(a, b), 'small'))"""
+
+
+@query(_RANKED + " select id, rank from hits", "documents")
+def search_all_terms(c, spark, sf_dir):
+    return tops.found(c.documents, "Steel, small!").select("id", "rank")
+
+
+@query(_RANKED + " select id, rank, (select greatest(count(*) - 25, 0) from hits) as more from hits order by rank desc, id limit 25", "documents")
+def search_with_overflow(c, spark, sf_dir):
+    hits = tops.found(c.documents, "steel small")
+    more = aggregates.overflow(hits, 25)
+    return hits.limit(25).select("id", "rank").join(F.broadcast(more))  # one row
+
+
+@query(
+    f""", v as (select d.id, {_HITS.format(c='title')} as a, {_HITS.format(c='full_text')} as b, {_HITS.format(c="coalesce(x.content, '')")} as c
+        from documents d left join attachments x on x.attachable_type = 'Document' and x.attachable_id = d.id where title is not null and full_text is not null)
+    select id, max(round(len(list_filter(a, lambda x: x = 'attachment')) * 1.0 + len(list_filter(b, lambda x: x = 'attachment')) * 0.4 + len(list_filter(c, lambda x: x = 'attachment')) * 0.2, 6)::double) as rank
+    from v where list_contains(list_concat(a, b, c), 'attachment') group by 1""",
+    "documents", "attachments",
+)
+def search_attachments(c, spark, sf_dir):
+    return tops.found(c.documents, "attachment", c.attachments).select("id", "rank")
+
+
+@query()
+def search_stemmed(c, spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("full_text"), F.lit(None).cast("string").alias("number"))
+    return tops.found(docs, "ungen sch", stem=stems).select("id", "rank")
+
+
+@query(r"select doc_id, len(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->|</?[a-zA-Z!?][^>]*>', '', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> ''))::integer as words from documents")
+def word_counts(c, spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("words"))
+
+
+@query(f"select doc_id, len({_HITS.format(c='text')})::integer as n, len(list_distinct({_HITS.format(c='text')}))::integer as n_distinct from documents")
+def tokens(c, spark, sf_dir):
+    words = text.tokens("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("n_distinct"))
+
+
+@query(
+    f"""with names as (select distinct lower(p_name) as name from part where length(p_name) >= 4),
+    t as (select p_partkey as id, {_HITS.format(c="p_name || ' ' || p_type")} as ws from part),
+    g as (select id, array_to_string(list_slice(ws, i, i + n - 1), ' ') as name from (select id, ws, unnest(range(1, len(ws) + 1)) as i from t), (select unnest(range(1, 4)) as n) where i + n - 1 <= len(ws))
+    select distinct id, name from g where name in (select name from names)"""
+)
+def ngram_dictionary_match(c, spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    streets = parts.select(text.normalize_street("p_name").alias("normalized_name"))
+    names = locate.dictionary(streets, scopes.blocked_names(c.districts))
+    return locate.street_matches(parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), names).select("id", "name")
+
+
+@query(r"select id, lower(trim(name)) as location, trim(regexp_replace(lower(name), '[^\p{L}\p{M}\p{Nd}]+', ' ', 'g')) as street, lower(regexp_replace(name, '[^\w ]', '', 'g')) as area from committees", "committees")
+def normalized_names(c, spark, sf_dir):
+    return c.committees.select("id", text.normalize_location("name").alias("location"), text.normalize_street("name").alias("street"), text.area_key("name").alias("area"))
+
+
+@query("select id, regexp_replace(lower(name), '[^a-z0-9_-]+', '-', 'g') || '-' || id as slug, cast(string_split(regexp_replace(lower(name), '[^a-z0-9_-]+', '-', 'g') || '-' || id, '-')[-1] as bigint) as slug_id from committees", "committees")
+def slugs(c, spark, sf_dir):
+    return c.committees.select("id", text.slug("name", "id").alias("slug")).withColumn("slug_id", text.slug_id("slug"))
+
+
+@query(r"select id, array_to_string(regexp_extract_all(number, '\d+'), '.') as numbers, split_part(number, '.', 1) as root from agenda_items", "agenda_items")
+def natural_order(c, spark, sf_dir):
+    keyed = tops.in_natural_order(c.agenda_items).select("id", text.natural_key("number").alias("k"), text.number_root("number").alias("root"))
+    return keyed.select("id", F.array_join(F.transform("k", lambda x: x.cast("string")), ".").alias("numbers"), "root")
+
+
+@query(
+    r""", t as (select id, district_id, unnest(regexp_extract_all('siehe ' || number || ' und 21-0001.1, 99-9999', '\d{2}-\d{4}(?:\.\d{1,2})+')) as cited from documents)
+    select t.id, cited, min(d.id) as document_id from t left join documents d on d.district_id = t.district_id and d.number = cited group by all""",
+    "documents",
+)
+def cited_documents(c, spark, sf_dir):
+    texts = c.documents.select("id", "district_id", F.concat(F.lit("siehe "), "number", F.lit(" und 21-0001.1, 99-9999")).alias("content"))
+    return joins.cited_documents(texts, c.documents).select("id", "cited", "document_id").distinct()
+
+
+@query("select id, case when position('steel' in lower(full_text)) > 0 then (case when position('steel' in lower(full_text)) > 6 then '...' else '' end) || substr(full_text, greatest(position('steel' in lower(full_text)) - 5, 1), position('steel' in lower(full_text)) + 10 - greatest(position('steel' in lower(full_text)) - 5, 1)) || (case when position('steel' in lower(full_text)) + 9 < length(full_text) then '...' else '' end) end as excerpt from documents", "documents")
+def excerpts(c, spark, sf_dir):
+    return c.documents.select("id", search.excerpt("full_text", "STEEL", 5).alias("excerpt"))
+
+
+@query("select id, regexp_replace(full_text, '(steel|small)', '<mark>\\1</mark>', 'gi') as shown from documents where full_text is not null", "documents")
+def highlights(c, spark, sf_dir):
+    return c.documents.where("full_text is not null").select("id", search.highlight("full_text", ["steel", "small"]).alias("shown"))
+
+
+@query("select id, case when length(full_text) > 20 then substr(full_text, 1, 17) || '...' else full_text end as short, strftime(date '1998-01-01' + cast(id % 300 as integer), '%d.%m.%Y') as day from documents", "documents")
+def shortened(c, spark, sf_dir):
+    day = F.date_add(F.lit("1998-01-01").cast("date"), (F.col("id") % 300).cast("int"))
+    return c.documents.select("id", text.truncate("full_text", 20).alias("short"), dates.german_date(day).alias("day"))
+
+
+@query("select id, cast(date as timestamp) + to_seconds(start_sec) as starts_at, cast(date as timestamp) + to_seconds(coalesce(end_sec, start_sec + coalesce(a, 14400))) as ends_at from (select m.*, c.average_duration as a from meetings m join committees c on c.id = m.committee_id) where start_sec is not null", "meetings", "committees")
+def meeting_times(c, spark, sf_dir):
+    rows = c.meetings.where("start_sec is not null").join(c.committees.select(F.col("id").alias("committee_id"), "average_duration"), "committee_id")
+    return rows.select("id", dates.starts_at().alias("starts_at"), dates.ends_at().alias("ends_at"))
+
+
+@query("select id, coalesce(ord, 100) as place from committees", "committees")
+def ranked_or_default(c, spark, sf_dir):
+    return tops.by_rank_or(c.committees).select("id", F.coalesce("ord", F.lit(100)).alias("place"))
+
+
+@query("select id, number from documents where title is not null order by number desc nulls last, id desc limit 25 offset 25", "documents")
+def second_page(c, spark, sf_dir):
+    return tops.page(scopes.complete(c.documents), [F.col("number").desc_nulls_last(), F.col("id").desc()], 2).select("id", "number")
+
+
+# events, JSON, sync, pages
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where json_extract_string(props, '$.k') in ('7', '42')")
+def json_props(c, spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    wanted = scopes.by_property(rows, "k", "7", "props").union(scopes.by_property(rows, "k", "42", "props"))
+    return wanted.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("select user_id, time_bucket(interval 5 minute, ts) as window_start, count(*) as requests, count(*) > 1 as throttled from events group by 1, 2")
+def throttle_5min(c, spark, sf_dir):
+    return throttle.windows(table(spark, sf_dir, "events"), limit=1)
+
+
+@query("select event_id, row_number() over (partition by user_id, time_bucket(interval 5 minute, ts) order by ts, event_id) <= 1 as allowed from events")
+def throttled_events(c, spark, sf_dir):
+    return throttle.flagged(table(spark, sf_dir, "events"), limit=1).select("event_id", "allowed")
+
+
+@query(
+    """, snap as (select s_suppkey as id, s_name as name, cast(s_nationkey % 5 as bigint) as party_id from supplier where s_suppkey % 3 = 0 and s_nationkey % 5 < 3)
+    select coalesce(m.id, s.id) as id, case when s.id is not null then s.party_id else m.party_id end as party_id, case when s.id is not null then false when m.party_id < 3 then true else m.inactive end as inactive
+    from members m full join snap s on s.id = m.id""",
+    "members",
+)
+def snapshot_soft_delete(c, spark, sf_dir):
+    seen = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0 and s_nationkey % 5 < 3").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_nationkey") % 5).cast("bigint").alias("party_id"))
+    return sync.roster(c.members.select("id", "party_id", "name", "inactive"), seen, ["id"], ["party_id"]).select("id", "party_id", "inactive")
+
+
+@query(
+    """, mark as (select s.id as district_id, greatest(any_value(oldest_doc_id), coalesce(max(ext_id), 0)) as mark, max(ext_id) + 3 as newest from districts s left join all_documents d on d.district_id = s.id group by s.id)
+    select district_id, cast(unnest(range(mark + 1, newest + 1)) as integer) as ext_id from mark""",
+    "districts", "documents",
+)
+def highwater_missing_ids(c, spark, sf_dir):
+    newest = c.all_documents.groupBy("district_id").agg((F.max("ext_id") + 3).alias("newest")).join(c.districts.select(F.col("id").alias("district_id"), F.col("oldest_doc_id").alias("oldest")), "district_id")
+    return sync.missing_ids(c.all_documents, newest)
+
+
+@query("select * from (select id, name, inactive from parties where id <> 2 union all select 2, 'renamed', false union all select 99, 'new', false)", "parties")
+def upsert_parties(c, spark, sf_dir):
+    new = spark.createDataFrame([(2, "renamed", False), (99, "new", False)], "id bigint, name string, inactive boolean")
+    return sync.upsert(c.parties, new, ["id"])
+
+
+@query("select attachable_id, name from (select distinct attachable_id, name from attachments where attachable_id % 2 = 1) union all select distinct attachable_id, 'Anlage 6' from attachments where attachable_id % 2 = 0", "attachments")
+def snapshot_hard_delete(c, spark, sf_dir):
+    stored = c.attachments.select("attachable_id", "name").distinct()
+    shown = stored.where("attachable_id % 2 = 0").select("attachable_id", F.lit("Anlage 6").alias("name")).distinct()
+    return sync.replaced(stored, shown, ["attachable_id"], ["name"])
+
+
+@query("select id, meeting_id from agenda_items where meeting_id in (select id from meetings where id % 3 > 0)", "agenda_items", "meetings")
+def without_orphans(c, spark, sf_dir):
+    return sync.without_orphans(c.agenda_items, c.meetings.where("id % 3 > 0"), "meeting_id").select("id", "meeting_id")
+
+
+@query(r"select id, len(list_filter(string_split_regex(trim(coalesce(regexp_replace(minutes, '</?[a-zA-Z!?][^>]*>', '', 'g'), '')), '\s+'), lambda x: x <> ''))::integer + len(list_filter(string_split_regex(trim(coalesce(regexp_replace(result, '</?[a-zA-Z!?][^>]*>', '', 'g'), '')), '\s+'), lambda x: x <> ''))::integer as word_count from agenda_items", "agenda_items")
+def derived_word_count(c, spark, sf_dir):
+    return sync.derived(c.agenda_items).select("id", "word_count")
+
+
+@query("select 'a' as source, cast(r_regionkey as bigint) as id, r_name as name, null::varchar as title from region union all select 'b', o_orderkey, null, o_orderpriority from orders where o_orderkey < 50")
+def heterogeneous_union(c, spark, sf_dir):
+    return sets.stacked(a=c.parties.select("id", "name"), b=c.meetings.where("id < 50").select("id", F.col("room").alias("title")))
+
+
+@query(
+    """select 'https://x.test/' || lower(regexp_replace(name, '[^A-Za-z0-9_-]+', '-', 'g')) as loc, 0.8 as priority, 'daily' as changefreq from districts
+    union all select 'https://x.test/documents/' || lower(regexp_replace(title, '[^A-Za-z0-9_-]+', '-', 'g')) || '-' || id, 0.5, 'weekly' from documents where title is not null
+    union all select 'https://x.test/committees/' || lower(regexp_replace(name, '[^A-Za-z0-9_-]+', '-', 'g')) || '-' || id, 0.5, 'weekly' from committees""",
+    "districts", "documents", "committees",
+)
+def sitemap_union(c, spark, sf_dir):
+    rows = sinks.sitemap("https://x.test", c.districts, c.documents, c.meetings.limit(0), c.committees)
+    return rows.withColumn("priority", F.col("priority").cast("decimal(2,1)"))
+
+
+@query()
+def html_strip(c, spark, sf_dir):
+    rows = table(spark, sf_dir, "pages")
+    return rows.select("page_id", markup.page_title("html").alias("title"), F.length(markup.page_text("html")).alias("n"))
+
+
+@query(r"select page_id, nullif(regexp_extract(url, 'page=(\d+)', 1), '') as number, contains(html, 'noauth.asp') as closed from pages")
+def href_ids(c, spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.capture_id("url", "page").alias("number"), text.has_marker("html", "noauth.asp", "Object moved").alias("closed"))
+
+
+@query()
+def page_links(c, spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(markup.hrefs("html")).alias("place", "href"))
+
+
+@query()
+def document_json(c, spark, sf_dir):
+    docs = c.documents.withColumns({k: F.lit(None).cast("string") for k in ("content", "resolution", "attached")}).withColumns({k: F.lit(None).cast("timestamp_ntz") for k in ("created_at", "updated_at")})
+    return sinks.document_json(docs, c.districts, c.agenda_items, c.meetings)
+
+
+@query()
+def statistics_page(c, spark, sf_dir):
+    found = c.statistics(PARTIES)
+    return sets.stacked(**{k: v for k, v in found.items() if k != "parties"})
