@@ -36,7 +36,7 @@ DOMAIN = {
         case when s_suppkey % 5 = 0 then 'zubenannte/r Bürger/in' when s_suppkey % 7 = 0 then null else 'Mitglied' end as kind, s_acctbal < 0 as inactive from {supplier}""",
     "memberships": """select c_custkey as committee_id, s_suppkey as member_id, 'Mitglied' as role, s_suppkey % 13 = 0 as inactive from {customer} join {supplier} on c_nationkey = s_nationkey where c_custkey % 4 = s_suppkey % 4""",
     "attachments": """select cast(l_orderkey * 10 + l_linenumber as bigint) as id, case when l_linenumber = 7 then 'Meeting' else 'Document' end as attachable_type, l_partkey as attachable_id, 'Anlage ' || cast(l_linenumber as string) as name,
-        'steel attachment ' || l_returnflag as content from {lineitem} where l_linenumber >= 6""",
+        'red attachment ' || l_returnflag as content from {lineitem} where l_linenumber >= 6""",
     "locations": """select s_suppkey as id, cast(s_nationkey as bigint) as district_id, s_name as name, cast(52 + s_nationkey as double) + cast(s_suppkey % 40 as double) / 16 as latitude, cast(9 + s_nationkey as double) + cast(s_suppkey % 30 as double) / 8 as longitude from {supplier}""",
     "document_locations": """select distinct l_partkey as document_id, l_suppkey as location_id from {lineitem}""",
 }

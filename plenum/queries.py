@@ -150,7 +150,7 @@ def meeting_stats(c, spark, sf_dir):
     return aggregates.meeting_stats(c.agenda_items)
 
 
-PARTIES = ["steel", "brass", "Brand#1", "small", "copper", "blue", "Brand#23"]
+PARTIES = ["red", "brass", "Brand#1", "small", "copper", "blue", "Brand#23"]
 
 
 @query(
@@ -190,9 +190,9 @@ def agenda_lines(c, spark, sf_dir):
     return aggregates.lines(c.agenda_items).select("meeting_id", F.translate("agenda", "\n", "|").alias("agenda"))
 
 
-@query("select greatest(count(*) - 25, 0) as more from documents where title ilike '%steel%'", "documents")
+@query("select greatest(count(*) - 25, 0) as more from documents where title ilike '%red%'", "documents")
 def overflow_count(c, spark, sf_dir):
-    return aggregates.overflow(c.documents.where(search.contains_term("title", "steel")), 25)
+    return aggregates.overflow(c.documents.where(search.contains_term("title", "red")), 25)
 
 
 @query("select cast(floor(latitude / 0.5) as bigint) as cell_row, cast(floor(longitude / 0.5) as bigint) as cell_column, count(*) as n, round(avg(latitude), 6) as latitude, round(avg(longitude), 6) as longitude from locations group by 1, 2", "locations")
@@ -238,9 +238,9 @@ def inquiries(c, spark, sf_dir):
     return sets.either(scopes.small_inquiries(c.documents), scopes.large_inquiries(c.documents), scopes.state_inquiries(c.documents)).select("id", "kind")
 
 
-@query("select id from documents where title ilike '%steel%' or author ilike '%steel%'", "documents")
+@query("select id from documents where title ilike '%red%' or author ilike '%red%'", "documents")
 def authored_by(c, spark, sf_dir):
-    return scopes.authored_by(c.documents, "steel").select("id")
+    return scopes.authored_by(c.documents, "red").select("id")
 
 
 @query("select d.id from documents d join districts s on s.id = d.district_id where number >= first_number", "documents", "districts")
@@ -360,18 +360,18 @@ def contains_newest_first(c, spark, sf_dir):
 
 _HITS = r"""regexp_extract_all(lower({c}), '[\p{{L}}\p{{M}}\p{{Nd}}]+')"""
 _RANKED = f""", v as (select id, number, {_HITS.format(c='title')} as a, {_HITS.format(c='full_text')} as b from documents where title is not null and full_text is not null),
-    hits as (select id, number, round(len(list_filter(a, lambda x: x in ('steel', 'small'))) * 1.0 + len(list_filter(b, lambda x: x in ('steel', 'small'))) * 0.4, 6)::double as rank
-      from v where list_contains(list_concat(a, b), 'steel') and list_contains(list_concat(a, b), 'small'))"""
+    hits as (select id, number, round(len(list_filter(a, lambda x: x in ('small', 'economy'))) * 1.0 + len(list_filter(b, lambda x: x in ('small', 'economy'))) * 0.4, 6)::double as rank
+      from v where list_contains(list_concat(a, b), 'small') and list_contains(list_concat(a, b), 'economy'))"""
 
 
 @query(_RANKED + " select id, rank from hits", "documents")
 def search_all_terms(c, spark, sf_dir):
-    return tops.found(c.documents, "Steel, small!").select("id", "rank")
+    return tops.found(c.documents, "Small, economy!").select("id", "rank")
 
 
 @query(_RANKED + " select id, rank, (select greatest(count(*) - 25, 0) from hits) as more from hits order by rank desc, id limit 25", "documents")
 def search_with_overflow(c, spark, sf_dir):
-    hits = tops.found(c.documents, "steel small")
+    hits = tops.found(c.documents, "small economy")
     more = aggregates.overflow(hits, 25)
     return hits.limit(25).select("id", "rank").join(F.broadcast(more))  # one row
 
@@ -443,14 +443,14 @@ def cited_documents(c, spark, sf_dir):
     return joins.cited_documents(texts, c.documents).select("id", "cited", "document_id").distinct()
 
 
-@query("select id, case when position('steel' in lower(full_text)) > 0 then (case when position('steel' in lower(full_text)) > 6 then '...' else '' end) || substr(full_text, greatest(position('steel' in lower(full_text)) - 5, 1), position('steel' in lower(full_text)) + 10 - greatest(position('steel' in lower(full_text)) - 5, 1)) || (case when position('steel' in lower(full_text)) + 9 < length(full_text) then '...' else '' end) end as excerpt from documents", "documents")
+@query("select id, case when position('red' in lower(full_text)) > 0 then (case when position('red' in lower(full_text)) > 6 then '...' else '' end) || substr(full_text, greatest(position('red' in lower(full_text)) - 5, 1), position('red' in lower(full_text)) + 8 - greatest(position('red' in lower(full_text)) - 5, 1)) || (case when position('red' in lower(full_text)) + 7 < length(full_text) then '...' else '' end) end as excerpt from documents", "documents")
 def excerpts(c, spark, sf_dir):
-    return c.documents.select("id", search.excerpt("full_text", "STEEL", 5).alias("excerpt"))
+    return c.documents.select("id", search.excerpt("full_text", "RED", 5).alias("excerpt"))
 
 
-@query("select id, regexp_replace(full_text, '(steel|small)', '<mark>\\1</mark>', 'gi') as shown from documents where full_text is not null", "documents")
+@query("select id, regexp_replace(full_text, '(red|small)', '<mark>\\1</mark>', 'gi') as shown from documents where full_text is not null", "documents")
 def highlights(c, spark, sf_dir):
-    return c.documents.where("full_text is not null").select("id", search.highlight("full_text", ["steel", "small"]).alias("shown"))
+    return c.documents.where("full_text is not null").select("id", search.highlight("full_text", ["red", "small"]).alias("shown"))
 
 
 @query("select id, case when length(full_text) > 20 then substr(full_text, 1, 17) || '...' else full_text end as short, strftime(date '1998-01-01' + cast(id % 300 as integer), '%d.%m.%Y') as day from documents", "documents")
