@@ -18,10 +18,14 @@ from plenum.streaming import throttle
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-DAY = F.lit(TODAY).cast("date")
 SQL_DAY = f"date '{TODAY}'"
 
 
+def day():
+    """The day on which the queries run."""
+    return F.lit(TODAY).cast("date")
+
+
 def query(sql: str | None = None, *domain: str):
     """Register a function (council, spark, sf_dir) -> DataFrame by its name, with SQL over the named domain tables."""
 
@@ -57,7 +61,7 @@ def average_durations(c, spark, sf_dir):
 
 @query(f"select committee_id, id as next_meeting_id, date as next_date from meetings where date >= {SQL_DAY} qualify row_number() over (partition by committee_id order by date, id) = 1", "meetings")
 def next_per_committee(c, spark, sf_dir):
-    rows = joins.next_meetings(c.committees, c.meetings, DAY).where("next_date is not null")
+    rows = joins.next_meetings(c.committees, c.meetings, day()).where("next_date is not null")
     return rows.select(F.col("id").alias("committee_id"), "next_meeting_id", "next_date")
 
 
@@ -115,7 +119,7 @@ def co_opted_members(c, spark, sf_dir):
 
 @query(f"select cast(floor(sum(case when date >= {SQL_DAY} then 1 else 0 end) / 25) as bigint) + 1 as page from meetings", "meetings")
 def page_of_today(c, spark, sf_dir):
-    return tops.page_of_today(c.meetings, DAY)
+    return tops.page_of_today(c.meetings, day())
 
 
 # counts and series
@@ -230,7 +234,7 @@ def complete_filter(c, spark, sf_dir):
 
 @query(f"select i.id from agenda_items i join meetings m on m.id = meeting_id where ext_id is not null and minutes is null and result is null and date between {SQL_DAY} - 270 and {SQL_DAY} - 30", "agenda_items", "meetings")
 def incomplete_items(c, spark, sf_dir):
-    return scopes.incomplete(c.agenda_items, c.meetings, DAY).select("id")
+    return scopes.incomplete(c.agenda_items, c.meetings, day()).select("id")
 
 
 @query("select id, kind from documents where kind in ('Große Anfrage öffentlich') or kind in ('Kleine Anfrage öffentlich') or kind = 'Auskunftsersuchen'", "documents")
@@ -255,12 +259,12 @@ def number_children(c, spark, sf_dir):
 
 @query(f"select id, date from meetings where date between date_trunc('month', {SQL_DAY} - interval 4 month)::date and last_day(({SQL_DAY} - interval 1 month)::date)", "meetings")
 def in_last_months(c, spark, sf_dir):
-    return scopes.in_last_months(c.meetings, 3, DAY).select("id", "date")
+    return scopes.in_last_months(c.meetings, 3, day()).select("id", "date")
 
 
 @query(f"select 'past' as span, count(*) as n from meetings where date between {SQL_DAY} - 30 and {SQL_DAY} union all select 'month', count(*) from meetings where date_trunc('month', date) = date_trunc('month', {SQL_DAY}) union all select 'future', count(*) from meetings where date >= {SQL_DAY} union all select 'recent', count(*) from meetings where date between {SQL_DAY} - 7 and {SQL_DAY} + 7", "meetings")
 def date_windows(c, spark, sf_dir):
-    parts = {"past": scopes.in_last_days(c.meetings, 30, DAY), "month": scopes.in_month(c.meetings, DAY), "future": scopes.in_future(c.meetings, DAY), "recent": scopes.recent(c.meetings, DAY)}
+    parts = {"past": scopes.in_last_days(c.meetings, 30, day()), "month": scopes.in_month(c.meetings, day()), "future": scopes.in_future(c.meetings, day()), "recent": scopes.recent(c.meetings, day())}
     # one pass: the four windows are conditional counts of the same scan
     rows = sets.stacked(**{k: v.select("id") for k, v in parts.items()})
     return rows.groupBy(F.col("source").alias("span")).agg(F.count("*").alias("n"))
@@ -278,7 +282,7 @@ def open_committees(c, spark, sf_dir):
 
 @query(f"select distinct d.id, d.number, d.title from documents d join agenda_items i on i.document_id = d.id join meetings m on m.id = meeting_id where d.title is not null and date between {SQL_DAY} - 60 and {SQL_DAY} and kind ilike '%antrag%' and (d.title ilike '%e%' or author ilike '%e%')", "documents", "agenda_items", "meetings")
 def archive_listing(c, spark, sf_dir):
-    return c.archive(DAY, 60, "proposals,unknown", party="e")
+    return c.archive(day(), 60, "proposals,unknown", party="e")
 
 
 @query("select d.id, m.id as meeting_id from documents d left join agenda_items i on i.document_id = d.id left join meetings m on m.id = i.meeting_id", "documents", "agenda_items", "meetings")
@@ -324,7 +328,7 @@ def committee_by_title(c, spark, sf_dir):
     "districts", "meetings",
 )
 def calendar_grid(c, spark, sf_dir):
-    return c.calendar(DAY, DAY)
+    return c.calendar(day(), day())
 
 
 @query("select l.id from locations l join districts d on d.id = l.district_id where latitude between sw_lat and ne_lat and longitude between sw_lng and ne_lng", "locations", "districts")
@@ -497,7 +501,7 @@ def throttled_events(c, spark, sf_dir):
 
 @query(
     """, snap as (select s_suppkey as id, s_name as name, cast(s_nationkey % 5 as bigint) as party_id from supplier where s_suppkey % 3 = 0 and s_nationkey % 5 < 3)
-    select coalesce(m.id, s.id) as id, case when s.id is not null then s.party_id else m.party_id end as party_id, case when s.id is not null then false when m.party_id < 3 then true else m.inactive end as inactive
+    select coalesce(m.id, s.id) as id, case when s.id is not null then s.party_id else m.party_id end as party_id, case when s.id is not null then false when m.party_id in (select party_id from snap) then true else m.inactive end as inactive
     from members m full join snap s on s.id = m.id""",
     "members",
 )
