@@ -30,7 +30,8 @@ DOMAIN = {
         '21-' || lpad(cast(cast(floor(p_partkey / 100) as bigint) as string), 4, '0') || case when p_partkey % 100 < 25 then '' when p_partkey % 100 < 50 then '.1' when p_partkey % 100 < 75 then '.1.1' else '.2' end as number,
         case when p_size % 17 = 0 then null else p_name end as title,
         case p_size % 6 when 0 then 'Antrag' when 1 then 'Kleine Anfrage öffentlich' when 2 then 'Große Anfrage öffentlich' when 3 then 'Auskunftsersuchen' when 4 then 'Interfraktioneller antrag' end as kind,
-        p_brand as author, case when p_size % 13 = 0 then null else p_name || ' ' || p_type end as full_text, case when p_size = 1 then null else p_size >= 45 end as non_public from {part}""",
+        p_brand as author, case when p_size % 13 = 0 then null else p_name || ' ' || p_type end as full_text, '<p>' || p_type || '</p>' as content, cast(null as string) as resolution, cast(null as string) as attached, cast(null as timestamp) as created_at, cast(null as timestamp) as updated_at,
+        case when p_size = 1 then null else p_size >= 45 end as non_public from {part}""",
     "parties": """select cast(r_regionkey as bigint) as id, r_name as name, r_regionkey = 4 as inactive from {region}""",
     "members": """select s_suppkey as id, cast(s_nationkey as bigint) as district_id, case when s_suppkey % 11 = 0 then null else cast(s_nationkey % 5 as bigint) end as party_id, s_name as name,
         case when s_suppkey % 5 = 0 then 'zubenannte/r Bürger/in' when s_suppkey % 7 = 0 then null else 'Mitglied' end as kind, s_acctbal < 0 as inactive from {supplier}""",

@@ -577,8 +577,7 @@ def page_links(c, spark, sf_dir):
 
 @query()
 def document_json(c, spark, sf_dir):
-    docs = c.documents.withColumns({k: F.lit(None).cast("string") for k in ("content", "resolution", "attached")}).withColumns({k: F.lit(None).cast("timestamp_ntz") for k in ("created_at", "updated_at")})
-    return sinks.document_json(docs, c.districts, c.agenda_items, c.meetings)
+    return sinks.document_json(c.documents, c.districts, c.agenda_items, c.meetings)
 
 
 @query()

@@ -20,12 +20,7 @@ MOVED, SIGN_IN, NO_INFORMATION = "Object moved", "noauth.asp", "Keine Informatio
 
 
 def pages(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """(path, source): one landed page a file."""
-    return spark.read.option("encoding", encoding).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"))
-
-
-def pages_binary(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """As pages, for encodings that the text reader does not know."""
+    """(path, source): one landed page a file. The text reader knows no encoding for whole files, so bytes are decoded."""
     return spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("source"))
 
 
