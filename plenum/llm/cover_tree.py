@@ -29,8 +29,9 @@ from plenum.llm.components import connected_components
 
 #: Points of a chunk, about; points that centres are chosen from, cells at most, centres sent at a time.
 CHUNK, SAMPLE, CELLS, SUMMARY = 4096, 2048, 256, 20_000
-#: Points of a leaf at most, radius below which nodes are leaves; slack of distances.
-LEAF, FLAT, SLACK = 24, 0.1, 1e-7
+#: Points of a leaf at most, of a node not worth keeping, radius below which nodes are leaves; slack of distances;
+#: pairs of points held at a time.
+LEAF, TINY, FLAT, SLACK, PAIRS = 24, 8, 0.1, 1e-7, 1 << 16
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -44,104 +45,165 @@ def distance(products: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """A cover tree over the rows of x, which are of length 1. nodes[k]: (centre row, radius, member rows, child nodes)."""
+    """A cover tree over the rows of x, which are of length 1, as flat arrays by node.
+
+    Node k has the centre row centre[k], the covering radius radius[k], the member rows
+    order[low[k]:high[k]] and the children child[k] to child[k] + children[k]. Nodes 0 to top are the first
+    level, of radius 1; each further one has half the radius of the one above.
+    """
+
+    FIELDS = ("order", "centre", "radius", "low", "high", "child", "children")
 
     def __init__(self, x: np.ndarray):
-        self.x, self.nodes = x, []
-        near = (x @ x[:1].T)[:, 0] if len(x) else np.zeros(0)
-        self.top = self._split(0, np.arange(len(x)), near, 2.0) if len(x) else []
-
-    def _split(self, centre: int, members: np.ndarray, near: np.ndarray, radius: float) -> list[int]:
-        """The nodes of the next level, at half the radius, over members; the first has the same centre."""
-        half, made = radius / 2, []
-        left, to = members, distance(near)
-        while len(left):
-            inside = to <= half
-            inside[left == centre] = True
-            own, far = left[inside], to[inside]
-            made.append(self._node(centre, own, float(far.max(initial=0.0)), half))
-            left = left[~inside]
-            if len(left):
-                centre = int(left[0])
-                to = distance(self.x[left] @ self.x[centre])
-        return made
-
-    def _node(self, centre: int, members: np.ndarray, radius: float, level: float) -> int:
-        at = len(self.nodes)
-        self.nodes.append(None)
-        children: list[int] = []
-        if len(members) > LEAF and radius > FLAT:
-            while radius <= level / 2:
-                level /= 2
-            children = self._split(centre, members, self.x[members] @ self.x[centre], level)
-        self.nodes[at] = (centre, radius + SLACK if len(members) > 1 else 0.0, members, children)
-        return at
+        self.x, self.single = x, x.astype(np.float32)
+        self.order = np.arange(len(x))
+        nodes: list[list] = []
+        self.top = self._split(nodes, 0, len(x), 0, 2.0) if len(x) else 0
+        table = np.array(nodes, float).reshape(-1, 6)
+        self.centre, self.low, self.high, self.child, self.children = (table[:, k].astype(np.int64) for k in (0, 2, 3, 4, 5))
+        self.radius = table[:, 1]
+
+    @classmethod
+    def of(cls, x: np.ndarray, arrays: dict, top: int) -> Tree:
+        tree = cls.__new__(cls)
+        tree.x, tree.single, tree.top = x, x.astype(np.float32), top
+        tree.__dict__.update(arrays)
+        return tree
+
+    def arrays(self) -> dict:
+        return {k: getattr(self, k) for k in self.FIELDS}
+
+    def _split(self, nodes: list, low: int, high: int, centre: int, radius: float) -> int:
+        """Append the next level below the members order[low:high], the node of the same centre first; its nodes in number.
+
+        A point near no other is a node at once; the others are taken in order, each with what is near it.
+        A wide node of at most TINY points is replaced by its points, the leaves that it would end in.
+        """
+        members, half = self.order[low:high].copy(), radius / 2
+        near = np.zeros((len(members), len(members)), bool)
+        for at in range(0, len(members), 1024):
+            near[at : at + 1024] = self.single[members[at : at + 1024]] @ self.single[members].T >= 1 - half * half / 2
+        np.fill_diagonal(near, True)
+        alone = near.sum(axis=1) == 1
+        groups, open_ = [], ~alone
+        for k in [int(np.flatnonzero(members == centre)[0]), *np.flatnonzero(open_).tolist()]:
+            if open_[k]:
+                inside = np.flatnonzero(near[k] & open_)
+                open_[inside] = False
+                groups.append(members[np.concatenate([[k], inside[inside != k]])])
+        groups += [members[k : k + 1] for k in np.flatnonzero(alone)]
+        far = [float(distance(self.x[g] @ self.x[g[0]]).max()) if len(g) > 1 else 0.0 for g in groups]
+        groups = [part for g, f in zip(groups, far) for part in ([g] if len(g) > TINY or f <= FLAT else np.split(g, len(g)))]
+        first = len(nodes)
+        self.order[low:high] = np.concatenate(groups)
+        for own in groups:
+            far = float(distance(self.x[own] @ self.x[own[0]]).max()) + SLACK if len(own) > 1 else 0.0
+            nodes.append([own[0], far, low, low + len(own), 0, 0])
+            low += len(own)
+        for k in range(first, len(nodes)):
+            centre, far, a, b = nodes[k][:4]
+            if b - a > LEAF and far > FLAT:
+                level = half
+                while far <= level / 2:
+                    level /= 2
+                nodes[k][4] = len(nodes)
+                nodes[k][5] = self._split(nodes, a, b, centre, level)
+        return len(groups)
 
 
 def _union(label: np.ndarray, members: np.ndarray) -> None:
-    found = np.unique(label[members])
-    if len(found) > 1:
+    own = label[members]
+    if (own != own[0]).any():
+        found = np.unique(own)
         label[np.isin(label, found[1:])] = found[0]
 
 
 def dual(a: Tree, b: Tree | None, cosine: float, wa: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links within a (b is None) or between a and b: weights linked with each point of a and of b, and labels of a's then b's points."""
+    """Links within a (b is None) or between a and b: weights linked with each point of a and of b, and labels of a's then b's points.
+
+    Centres are compared in single precision with slack, so a pair is dropped only if it holds no link;
+    links are counted in double precision, or by the triangle inequality.
+    """
     same, b = b is None, a if b is None else b
     limit = np.sqrt(2 - 2 * cosine)
     na, nb, off = np.zeros(len(a.x), np.int64), np.zeros(len(b.x), np.int64), 0 if same else len(a.x)
     label = np.arange(len(a.x) if same else len(a.x) + len(b.x))
-
-    def pairs(left: list[int], right: list[int], square: bool) -> list[tuple[int, int, float]]:
-        """Pairs of the given nodes that may hold links, with the distance of their centres."""
-        ra, rb = np.array([a.nodes[k][1] for k in left]), np.array([b.nodes[k][1] for k in right])
-        ca, cb = a.x[[a.nodes[k][0] for k in left]], b.x[[b.nodes[k][0] for k in right]]
-        out = []
-        for at in range(0, len(left), 1024):
-            d = distance(ca[at : at + 1024] @ cb.T)
-            i, j = np.nonzero(d <= ra[at : at + 1024, None] + rb + limit + SLACK)
-            if square:
-                i, j = i[i + at <= j], j[i + at <= j]
-            out += [(left[p + at], right[q], float(d[p, q])) for p, q in zip(i.tolist(), j.tolist())]
-        return out
-
-    def links(ma: np.ndarray, mb: np.ndarray, alike: bool, whole: bool) -> None:
-        if whole:
-            if alike:
-                na[ma] += wa[ma].sum() - wa[ma]
-            else:
-                na[ma] += wb[mb].sum()
-                (na if same else nb)[mb] += wa[ma].sum()
-            _union(label, np.concatenate([ma, mb + off]))
-            return
+    other = na if same else nb
+
+    def pairs(left: np.ndarray, right: np.ndarray, square: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the given nodes, of a and of b, that may hold links; of a square, one order of each.
+
+        Pairs of single points are settled on the way, PAIRS at a time, and not returned.
+        """
+        found = [(left[:0], right[:0])]
+        order_l, order_r = (x[np.argsort(t.radius[x], kind="stable")] for x, t in ((left, a), (right, b)))
+        for at in range(0, len(order_l), 1024):
+            part = order_l[at : at + 1024]
+            reach = np.minimum(a.radius[part].max() + b.radius[order_r] + limit + 1e-4, 2.0)
+            near = a.single[a.centre[part]] @ b.single[b.centre[order_r]].T >= (1 - reach * reach / 2 - 1e-5).astype(np.float32)
+            rows, columns = np.nonzero(near)
+            for k in range(0, len(rows), PAIRS):
+                i, j = part[rows[k : k + PAIRS]], order_r[columns[k : k + PAIRS]]
+                if square:
+                    i, j = i[i <= j], j[i <= j]
+                dot = np.einsum("ij,ij->i", a.x[a.centre[i]], b.x[b.centre[j]])
+                good = distance(dot) <= a.radius[i] + b.radius[j] + limit + SLACK
+                single = (a.high[i] - a.low[i] == 1) & (b.high[j] - b.low[j] == 1)
+                linked = single & (dot >= cosine) & ~(same & (i == j))
+                points(a.centre[i[linked]], b.centre[j[linked]])
+                found.append((i[good & ~single], j[good & ~single]))
+        i, j = (np.concatenate(x) for x in zip(*found))
+        return i, j
+
+    def points(i: np.ndarray, j: np.ndarray) -> None:
+        """Links between pairs of rows."""
+        np.add.at(na, i, wb[j])
+        np.add.at(other, j, wa[i])
+        new = label[i] != label[j + off]
+        for p, q in zip(i[new].tolist(), (j[new] + off).tolist()):
+            if label[p] != label[q]:
+                _union(label, np.array([p, q]))
+
+    def blocks(ma: np.ndarray, mb: np.ndarray, alike: bool) -> None:
+        """Links between two sets of rows, or within one."""
         for at in range(0, len(ma), 1024):
             part = ma[at : at + 1024]
             near = a.x[part] @ b.x[mb].T >= cosine
             if alike:
                 near[np.arange(len(part)), np.arange(at, at + len(part))] = False
-            if not near.any():
-                continue
-            na[part] += near @ wb[mb]
-            if not alike:
-                (na if same else nb)[mb] += wa[part] @ near
-            for k in np.flatnonzero(near.any(axis=1)):
-                _union(label, np.append(mb[near[k]] + off, part[k]))
-
-    stack = pairs(a.top, b.top, same)
-    while stack:
-        i, j, d = stack.pop()
-        (_, ra, ma, ka), (_, rb, mb, kb) = a.nodes[i], b.nodes[j]
-        alike = same and i == j
-        if ra + rb + (0 if alike else d) + SLACK <= limit and len(ma) * len(mb) > 1 and not (alike and 2 * ra > limit):
-            links(ma, mb, alike, True)
-        elif not ka and not kb:
-            if not alike or len(ma) > 1:
-                links(ma, mb, alike, False)
-        elif alike:
-            stack += pairs(ka, ka, True)
-        elif ka and (not kb or ra >= rb):
-            stack += pairs(ka, [j], False)
+            if near.any():
+                na[part] += near @ wb[mb]
+                if not alike:
+                    other[mb] += wa[part] @ near
+                for k in np.flatnonzero(near.any(axis=1)):
+                    _union(label, np.append(mb[near[k]] + off, part[k]))
+
+    def whole(ma: np.ndarray, mb: np.ndarray, alike: bool) -> None:
+        """Every row of one set with every one of the other, or of the same."""
+        if alike:
+            na[ma] += wa[ma].sum() - wa[ma]
         else:
-            stack += pairs([i], kb, False)
+            na[ma] += wb[mb].sum()
+            other[mb] += wa[ma].sum()
+        _union(label, np.concatenate([ma, mb + off]))
+
+    stack = [pairs(np.arange(a.top), np.arange(b.top), same)]
+    while stack:
+        i, j = stack.pop()
+        for p, q in zip(i.tolist(), j.tolist()):
+            ma, mb, alike = a.order[a.low[p] : a.high[p]], b.order[b.low[q] : b.high[q]], same and p == q
+            reach = 2 * a.radius[p] if alike else a.radius[p] + b.radius[q] + float(distance(a.x[a.centre[p]] @ b.x[b.centre[q]]))
+            ka, kb = np.arange(a.child[p], a.child[p] + a.children[p]), np.arange(b.child[q], b.child[q] + b.children[q])
+            if reach + SLACK <= limit:
+                whole(ma, mb, alike)
+            elif not len(ka) and not len(kb):
+                blocks(ma, mb, alike)
+            elif alike:
+                stack.append(pairs(ka, ka, True))
+            elif len(ka) and (not len(kb) or a.radius[p] >= b.radius[q]):
+                stack.append(pairs(ka, np.array([q]), False))
+            else:
+                stack.append(pairs(np.array([p]), kb, False))
     return na, nb, label
 
 
@@ -184,7 +246,7 @@ def chunks(rows: DataFrame, dim: int, n: int, chunk: int = CHUNK) -> DataFrame:
         tree = Tree(x)
         middle = centres.value[group["cell"].iloc[0]]
         radius = float(distance(x @ middle).max()) + SLACK
-        blob = pickle.dumps((raw, tree.nodes, tree.top, group["rid"].to_numpy(), group["m"].to_numpy()), 5)
+        blob = pickle.dumps((raw, tree.arrays(), tree.top, group["rid"].to_numpy(), group["m"].to_numpy()), 5)
         return pd.DataFrame({"tree": [blob], "centre": [middle.tobytes()], "radius": [radius]})
 
     made = written(dealt.groupBy("cell", "part").applyInPandas(build, "tree binary, centre binary, radius double"), "trees")
@@ -230,10 +292,8 @@ def compared(made: DataFrame, cosine: float) -> DataFrame:
     both = both.select("a", "b", "ta", F.when(F.col("a") != F.col("b"), F.col("tb")).alias("tb"))
 
     def load(blob: bytes):
-        raw, nodes, top, rid, m = pickle.loads(blob)
-        tree = Tree.__new__(Tree)
-        tree.x, tree.nodes, tree.top = unit(raw), nodes, top
-        return tree, rid, m
+        raw, arrays, top, rid, m = pickle.loads(blob)
+        return Tree.of(unit(raw), arrays, top), rid, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -123,8 +123,9 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
         near = lanes(within(lambda i, m=mask: vertical[i][None, :] ^ m[i], (len(part), vertical.shape[1]), radius), len(other))
         for k in np.flatnonzero(near.sum(axis=1) > (b is None)):
             members = np.append(np.flatnonzero(near[k]) + off, at + k)
-            found = np.unique(label[members])
-            if len(found) > 1:
+            own = label[members]
+            if (own != own[0]).any():
+                found = np.unique(own)
                 label[np.isin(label, found[1:])] = found[0]
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
