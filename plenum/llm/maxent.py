@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,82 +40,96 @@ CLASSES = 1 + SINGLES + GROUPS
 PROFILE = 64
 #: Shards of a round at most, rounds (the documents are dealt to them), tokens of a step, step size.
 SHARDS, ROUNDS, STEP, RATE = 256, 2, 8192, 0.25
-#: Words that a task remembers before it starts anew.
-LEXICON = 400_000
+#: Bytes of text whose words are counted at a time.
+COUNTED = 8 << 20
 BLOCK = 256
 CLOSERS = b".,;:!?\"')"
+#: Bytes in lower case; which are white space, and which close a word. Words up to LONG bytes are hashed together.
+LOWER = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
+BLANK, CLOSING = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13]), np.isin(np.arange(256), list(CLOSERS))
+LONG = 256
 
 
 def ending(word: bytes) -> int:
     """The group of endings that a word falls in: its last three bytes without closing punctuation, hashed."""
-    return zlib.crc32((word.rstrip(CLOSERS) or word)[-3:]) % ENDINGS
-
-
-class Lexicon:
-    """Numbers for the words of a task's texts, with columns of what is known of each; 0 is the end of a text."""
-
-    def __init__(self, describe):
-        self.describe = describe
-        self.clear()
-
-    def clear(self) -> None:
-        self.index, self.words = {None: 0}, [None]
-        self.columns = self.describe([None])
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all texts' words, each text followed by 0, and the texts' lengths with that."""
-        split = [x.lower().split() for x in texts]
-        new = list(set().union(*split).difference(self.index))
-        if new:
-            self.index.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            self.words += new
-            self.columns = [np.concatenate([a, b]) for a, b in zip(self.columns, self.describe(new))]
-        sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
-        ids, at, get = np.zeros(int(sizes.sum()), np.int32), 0, self.index.__getitem__
-        for ws in split:
-            ids[at : at + len(ws)] = np.fromiter(map(get, ws), np.int32, len(ws))
-            at += len(ws) + 1
-        return ids, sizes
+    return (int.from_bytes((word.rstrip(CLOSERS) or word)[-3:], "big") * 2654435761 & 0xFFFFFFFF) * ENDINGS >> 32
+
+
+def endings(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """ending() of the words of a buffer."""
+    left, open_ = sizes.copy(), np.arange(len(sizes))
+    while len(open_):
+        open_ = open_[CLOSING[low[starts[open_] + left[open_] - 1]]]
+        left[open_] -= 1
+        open_ = open_[left[open_] > 0]
+    left = np.where(left > 0, left, sizes)
+    key = np.zeros(len(sizes), np.uint64)
+    for back in range(3):
+        at = left > back
+        key[at] |= low[starts[at] + left[at] - 1 - back].astype(np.uint64) << np.uint64(8 * back)
+    return ((key * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) * np.uint64(ENDINGS) >> np.uint64(32)).astype(np.int64)
+
+
+def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes in lower case, one after another, with their words' starts and sizes, and words by text."""
+    low = LOWER[np.frombuffer(b"\n".join(texts) + b"\n" + bytes(8), np.uint8)]
+    blank = BLANK[low[:-8]]
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
+    edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+    return low, starts, ends - starts, np.diff(np.searchsorted(starts, edges))
+
+
+def hashes(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time for all words that have them."""
+    eight = np.lib.stride_tricks.as_strided(low[: max(len(low) - 7, 1)].view(np.uint8), (len(low) - 7, 8), (1, 1))
+    out = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+    open_ = np.flatnonzero(sizes <= LONG)
+    for at in range(0, LONG, 8):
+        if not len(open_):
+            break
+        word = np.ascontiguousarray(eight[starts[open_] + at]).view("<u8")[:, 0]
+        short = np.minimum(8 - np.minimum(sizes[open_] - at, 8), 7).astype(np.uint64) * np.uint64(8)
+        h = (out[open_] ^ (word << short)) * np.uint64(0xBF58476D1CE4E5B9)
+        out[open_] = h ^ h >> np.uint64(29)
+        open_ = open_[sizes[open_] > at + 8]
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(low[starts[k] : starts[k] + sizes[k]].tobytes(), 1)
+    out *= np.uint64(0x94D049BB133111EB)
+    return out ^ out >> np.uint64(31)
 
 
 def counted(rows: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
-    """(doc_id, body) -> the table (word, c), the profile of each ending, and the number of texts."""
+    """(doc_id, body) -> the table (word, c), the profile of each ending, and the number of texts.
+
+    Words are counted by their hash for some COUNTED bytes of text at a time, and then by themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def describe(words):
-            return [np.array([0 if w is None else ending(w) for w in words], np.int32), np.array([0 if w is None else 1 + zlib.crc32(w) % (PROFILE - 1) for w in words], np.int32)]
-
-        lexicon, counts, profile, ends = Lexicon(describe), np.zeros(0, np.int64), np.zeros(ENDINGS * PROFILE, np.int64), 0
-
-        def flush():
-            nonlocal counts
-            seen = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lexicon.words[k] for k in seen], pa.binary()), pa.array(counts[seen]), pa.nulls(len(seen), pa.int32())], ["word", "c", "cell"])
-            lexicon.clear()
-            counts = np.zeros(0, np.int64)
-
-        for _, texts in bodies(batches, 4 << 20):
-            ids, sizes = lexicon.read(texts)
-            more = np.bincount(ids, minlength=len(lexicon.words))
-            more[: len(counts)] += counts
-            counts, ends = more, ends + len(sizes)
-            counts[0] = 0
-            last, before = lexicon.columns[0][ids[1:]], lexicon.columns[1][ids[:-1]]
-            profile += np.bincount((last * PROFILE + before)[ids[1:] > 0], minlength=len(profile))
-            if len(lexicon.words) > LEXICON:
-                yield from flush()
-        yield from flush()
+        profile, ends = np.zeros(ENDINGS * PROFILE, np.int64), 0
+        for _, texts in bodies(batches, COUNTED):
+            low, starts, sizes, counts = cut(texts)
+            own, ends = hashes(low, starts, sizes), ends + len(texts)
+            _, first, times = np.unique(own, return_index=True, return_counts=True)
+            text = low.tobytes()
+            words = [text[a : a + n] for a, n in zip(starts[first].tolist(), sizes[first].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(times), pa.nulls(len(words), pa.int32())], ["word", "c", "cell"])
+            before = 1 + (own >> np.uint64(58)).astype(np.int64) % (PROFILE - 1)
+            before = np.concatenate([[0], before[:-1]]) if len(before) else before
+            before[(np.cumsum(counts) - counts)[counts > 0]] = 0
+            profile += np.bincount(endings(low, starts, sizes) * PROFILE + before, minlength=len(profile))
         cells = np.flatnonzero(profile)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(cells), pa.binary()), pa.array(profile[cells]), pa.array(cells.astype(np.int32))], ["word", "c", "cell"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([ends], pa.int64()), pa.array([-1], pa.int32())], ["word", "c", "cell"])
 
     found = written(rows.mapInArrow(run, "word binary, c long, cell int").groupBy("word", "cell").agg(F.sum("c").alias("c")), "counts")
     profile, ends = np.zeros((ENDINGS, PROFILE)), 0
-    for r in found.where("cell is not null").collect():
-        if r["cell"] < 0:
-            ends = r["c"] or 0
+    cells = found.where("cell is not null").select("cell", "c").toArrow()
+    for cell, c in zip(cells.column("cell").to_pylist(), cells.column("c").to_pylist()):
+        if cell < 0:
+            ends = c
         else:
-            profile.flat[r["cell"]] = r["c"]
+            profile.flat[cell] = c
     return found.where("word is not null").select("word", "c"), profile, int(ends)
 
 
@@ -145,29 +160,78 @@ def grouped(profile: np.ndarray, groups: int = GROUPS, rounds: int = 25) -> np.n
 
 @dataclass
 class Vocabulary:
-    """What executors know of words: the hot ones with their counts, the classes, and each class's size."""
+    """What executors know of words: the hot ones with their counts, classes and codes, the groups, and each class's size."""
 
     hot: dict[bytes, int]
+    hot_class: np.ndarray
+    hot_code: np.ndarray
     counts: np.ndarray
     groups: np.ndarray
     log_class: np.ndarray
     share: np.ndarray
 
-    def describe(self, words: list[bytes | None]) -> list[np.ndarray]:
-        """class, code as a feature, log10(count + 1) (nan: not hot) of each word; None is the end of a text."""
-        hot = [-2 if w is None else self.hot.get(w, -1) for w in words]
-        classes = np.array([0 if h == -2 else 1 + h if 0 <= h < SINGLES else 1 + SINGLES + int(self.groups[ending(w)]) for h, w in zip(hot, words)], np.int32)
-        code = np.array([zlib.crc32(w) if h >= 0 else 7919 * (k + 1) for h, w, k in zip(hot, words, classes.tolist())], np.uint32)
-        logs = np.array([self.counts[h] if h >= 0 else self.counts[-1] if h == -2 else np.nan for h in hot])
-        return [classes, code, logs]
+    def table(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """The hot words' hashes by slot, their numbers, and the bits of a slot: an open table, free slots -1."""
+        words = list(self.hot)
+        low, starts, sizes, _ = cut(words)
+        own = hashes(low, starts, sizes) if words else np.zeros(0, np.uint64)
+        bits = max(4, (4 * len(words)).bit_length())
+        held, number = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
+        left = np.arange(len(words))
+        slot = (own >> np.uint64(64 - bits)).astype(np.int64)
+        while len(left):
+            free = left[number[slot[left]] < 0]
+            number[slot[free]] = free
+            held[slot[free]] = own[free]
+            left = left[number[slot[left]] != left]
+            slot[left] = slot[left] + 1 & (1 << bits) - 1
+        return held, number, bits
+
+
+class Coder:
+    """Texts as classes, codes and log10(count + 1) of their tokens. Hot words are known by their 64-bit hash."""
+
+    def __init__(self, words: Vocabulary):
+        self.words = words
+        self.held, self.number, self.bits = words.table()
+
+    def hot(self, own: np.ndarray) -> np.ndarray:
+        """The numbers of the hot words among hashes, else -1."""
+        slot = (own >> np.uint64(64 - self.bits)).astype(np.int64)
+        out, open_ = np.full(len(own), -1, np.int64), np.arange(len(own))
+        while len(open_):
+            number = self.number[slot[open_]]
+            same = (self.held[slot[open_]] == own[open_]) & (number >= 0)
+            out[open_[same]] = number[same]
+            open_ = open_[~same & (number >= 0)]
+            slot[open_] = slot[open_] + 1 & (1 << self.bits) - 1
+        return out
+
+    def read(self, texts: list[bytes]):
+        """(classes, code, logs, sizes, words): tokens of all texts, each text's last the end; logs are nan where a word is not
+        hot; words is (buffer, starts, sizes, hashes, token) of those that are not."""
+        low, starts, lengths, counts = cut(texts)
+        own = hashes(low, starts, lengths)
+        hot, w = self.hot(own), self.words
+        sizes = counts + 1
+        place = np.arange(len(starts)) + np.repeat(np.arange(len(texts)), counts)
+        n = int(sizes.sum())
+        classes, code, logs = np.zeros(n, np.int32), np.full(n, 7919, np.uint32), np.full(n, w.counts[-1])
+        rest = np.flatnonzero(hot < 0)
+        kind = w.hot_class[hot] if len(w.hot) else np.zeros(len(hot), np.int32)
+        kind[rest] = 1 + SINGLES + w.groups[endings(low, starts[rest], lengths[rest])]
+        classes[place] = kind
+        code[place] = np.where(hot >= 0, w.hot_code[hot], 7919 * (kind + 1)) if len(w.hot) else 7919 * (kind + 1)
+        logs[place] = np.where(hot >= 0, w.counts[hot], np.nan)
+        return classes, code, logs, sizes, (low, starts[rest], lengths[rest], own[rest], place[rest])
 
 
 def vocabulary(counts: DataFrame, groups: np.ndarray, ends: int) -> tuple[Vocabulary, int, int]:
     """The vocabulary, the number of training tokens and that of distinct ones."""
-    top = counts.orderBy(F.col("c").desc(), "word").limit(HOT).collect()
-    hot = {bytes(r["word"]): k for k, r in enumerate(top)}
-    singles = {bytes(r["word"]) for r in top[:SINGLES]}
-    table = groups.tolist()
+    top = counts.orderBy(F.col("c").desc(), "word").limit(HOT).toArrow()
+    names, most = top.column("word").to_pylist(), top.column("c").to_numpy()
+    hot = {w: k for k, w in enumerate(names)}
+    singles, table = set(names[:SINGLES]), groups.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
@@ -183,60 +247,64 @@ def vocabulary(counts: DataFrame, groups: np.ndarray, ends: int) -> tuple[Vocabu
     for r in counts.mapInArrow(run, "g long, n long, v long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         n[1 + SINGLES + r["g"]], v[1 + SINGLES + r["g"]] = r["n"], r["v"]
     n[0], v[0] = ends, ends > 0
-    for k, r in enumerate(top[:SINGLES]):
-        n[1 + k], v[1 + k] = r["c"], 1
-    logs = np.log10(np.array([*(r["c"] for r in top), ends], float) + 1)
-    return Vocabulary(hot, logs, groups, np.log10(n + v + 1.0), ((n + 1) / (n.sum() + CLASSES)).astype(np.float32)), int(n.sum()), int(v.sum())
-
-
-def history(ids: np.ndarray, sizes: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The class of every token and its four hashed features; nothing is seen across the start of a text."""
-    classes, code = columns[0][ids], columns[1][ids].astype(np.uint64)
-    inside = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    far = np.zeros((3, len(ids)), np.uint64)
-    kinds = np.zeros((2, len(ids)), np.uint64)
+    n[1 : 1 + len(singles)], v[1 : 1 + len(singles)] = most[:SINGLES], 1
+    logs = np.log10(np.append(most, ends) + 1.0)
+    own = np.array([1 + k if k < SINGLES else 1 + SINGLES + table[ending(w)] for k, w in enumerate(names)], np.int32)
+    code = np.array([zlib.crc32(w) for w in names], np.uint32)
+    return Vocabulary(hot, own, code, logs, groups, np.log10(n + v + 1.0), ((n + 1) / (n.sum() + CLASSES)).astype(np.float32)), int(n.sum()), int(v.sum())
+
+
+def history(classes: np.ndarray, code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The four hashed features of every token; nothing is seen across the start of a text."""
+    n, code = len(code), code.astype(np.uint64)
+    inside = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    far, kinds = np.zeros((3, n), np.uint64), np.zeros((2, n), np.uint64)
     for back in (1, 2, 3):
-        far[back - 1, back:] = code[:-back] if len(ids) > back else 0
+        far[back - 1, back:] = code[:-back] if n > back else 0
         far[back - 1, inside < back] = 1
         if back < 3:
-            kinds[back - 1, back:] = classes[:-back] + 1 if len(ids) > back else 0
+            kinds[back - 1, back:] = classes[:-back] + 1 if n > back else 0
             kinds[back - 1, inside < back] = 0
     keys = np.stack([far[0], kinds[0] * np.uint64(997) + kinds[1], far[1], far[2]])
     keys = (keys + np.arange(1, 5, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    return classes, ((keys ^ keys >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - HASH_BITS)).astype(np.uint16)
+    return ((keys ^ keys >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - HASH_BITS)).astype(np.uint16)
 
 
 def logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = weights[features[0]]
+    z = np.take(weights, features[0], axis=0, mode="clip")
+    more = np.empty_like(z)
     for row in features[1:]:
-        z += weights[row]
+        z += np.take(weights, row, axis=0, out=more, mode="clip")
     z += bias
     return np.minimum(z, 60, out=z)
 
 
 def learn(texts: Iterator[list[bytes]], words: Vocabulary, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One pass of gradient steps over the texts, from the given weights: what changed, and how often each row was met."""
-    lexicon = Lexicon(words.describe)
-    own, speed, met = weights.copy(), np.full(weights.shape, 1.0, np.float32), np.zeros(len(weights), np.int64)
-    ones = np.ones(CLASSES, np.float32)
+    coder, own, speed, met = Coder(words), weights.copy(), np.full(weights.shape, 1.0, np.float32), np.zeros(len(weights), np.int64)
+    ones, held = np.ones(CLASSES, np.float32), np.empty((STEP, CLASSES), np.float32)
     for part in texts:
-        ids, sizes = lexicon.read(part)
-        classes, features = history(ids, sizes, lexicon.columns)
-        for at in range(0, len(ids), STEP):
+        classes, code, _, sizes, _ = coder.read(part)
+        features = history(classes, code, sizes)
+        for at in range(0, len(classes), STEP):
             k, f = classes[at : at + STEP], features[:, at : at + STEP]
-            p = np.exp(logits(own, bias, f))
+            p = logits(own, bias, f)
+            np.exp(p, out=p)
             p /= (p @ ones)[:, None]
             p[np.arange(len(k)), k] -= 1
             for row in f:
                 order = np.argsort(row, kind="stable")
                 sorted_ = row[order]
-                first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-                g, rows = np.add.reduceat(p[order], first, axis=0), sorted_[first]
-                speed[rows] += g * g
-                own[rows] -= RATE * g / np.sqrt(speed[rows])
-                met[rows] += np.diff(np.r_[first, len(row)])
-        if len(lexicon.words) > LEXICON:
-            lexicon.clear()
+                first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+                g, rows = np.add.reduceat(np.take(p, order, axis=0, out=held[: len(k)], mode="clip"), first, axis=0), sorted_[first].astype(np.intp)
+                fast = speed[rows]
+                fast += g * g
+                speed[rows] = fast
+                np.sqrt(fast, out=fast)
+                g /= fast
+                g *= RATE
+                own[rows] -= g
+                met[rows] += np.diff(np.append(first, len(row)))
     return own - weights, met
 
 
@@ -279,33 +347,32 @@ def scored(rows: DataFrame, words: Vocabulary, weights: np.ndarray, bias: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights, bias = shared.value
-        lexicon, uid, ones = Lexicon(words.describe), TaskContext.get().partitionId() << 40, np.ones(CLASSES, np.float32)
+        coder, uid, ones = Coder(words), TaskContext.get().partitionId() << 40, np.ones(CLASSES, np.float32)
         for batch in batches:
             done = 0
             for keys, texts in bodies(iter([batch]), 2 << 20):
-                ids, sizes = lexicon.read(texts)
-                classes, features = history(ids, sizes, lexicon.columns)
-                rest = np.zeros(len(ids))
-                for at in range(0, len(ids), STEP):
+                classes, code, logs, sizes, (low, at_, lengths, own_, place) = coder.read(texts)
+                features, rest = history(classes, code, sizes), np.zeros(len(classes))
+                for at in range(0, len(classes), STEP):
                     k = classes[at : at + STEP]
                     z = logits(weights, bias, features[:, at : at + STEP])
                     own = z[np.arange(len(k)), k].astype(np.float64)
                     np.exp(z, out=z)
                     rest[at : at + STEP] = (own - np.log((z @ ones).astype(np.float64))) / np.log(10) - words.log_class[k]
-                logs = lexicon.columns[2][ids]
-                tail = np.isnan(logs)
-                starts = np.cumsum(sizes) - sizes
-                doc = np.repeat(np.arange(len(sizes)), sizes)[tail]
-                pairs, times = np.unique(doc * len(lexicon.words) + ids[tail], return_counts=True)
-                owner = pairs // len(lexicon.words)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array([lexicon.words[i] for i in (pairs % len(lexicon.words)).tolist()], pa.binary()), pa.array(times)], ["word", "times"]))
+                tail, starts = np.isnan(logs), np.cumsum(sizes) - sizes
+                doc = np.searchsorted(starts, place, side="right") - 1
+                order = np.lexsort((own_, doc))
+                doc, own_ = doc[order], own_[order]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (own_[1:] != own_[:-1])])) if len(order) else order
+                text = low.tobytes()
+                names = [text[a : a + n] for a, n in zip(at_[order[first]].tolist(), lengths[order[first]].tolist())]
+                edges = np.searchsorted(doc[first], np.arange(len(sizes) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(np.diff(np.append(first, len(order))))], ["word", "times"]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(uid + np.arange(len(sizes))), keys, batch.column("held_out").slice(done, len(sizes)), pa.array(sizes), pa.array(np.add.reduceat(~tail, starts, dtype=np.int64)), pa.array(np.add.reduceat(np.where(tail, 0, logs), starts)), pa.array(np.add.reduceat(rest, starts)), lists],
                     ["uid", "doc_id", "held_out", "n", "known", "logs", "rest", "tail"],
                 )
                 uid, done = uid + len(sizes), done + len(sizes)
-                if len(lexicon.words) > LEXICON:
-                    lexicon.clear()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return written(rows.mapInArrow(run, f"uid long, doc_id {kind}, held_out boolean, n long, known long, logs double, rest double, tail array<struct<word: binary, times: long>>"), "scored")
