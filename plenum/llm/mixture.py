@@ -19,7 +19,11 @@ BROADCAST_SOURCES = 20_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with size (words of the text, null: 0) and hash, 60 bits of doc_id and text."""
+    """(doc_id, text, source) of docs with size (words of the text, null: 0) and hash, 60 bits of doc_id and text."""
+    return _sized(docs.select("doc_id", "text", "source"))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), F.lit(0)).cast("long")
     size = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(size)
     return docs.select("*", size.alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - HASH_BITS).alias("hash"))
@@ -96,7 +100,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     """
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
     names = dict(zip(docs.columns, own.columns))
-    rows = sized(own.withColumnsRenamed({names[c]: c for c in ("doc_id", "text", "source")}))
+    rows = _sized(own.withColumnsRenamed({names[c]: c for c in ("doc_id", "text", "source")}))
     limits, n = plan(written(rows.select("source", "size", "hash"), "sizes"), weights, share, most)
     times = F.col("copies") + (F.col("hash") < F.col("limit")).cast("long")
     taken = _beside(rows, limits, n).withColumn("_time", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
