@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plenum.plans.api import Council
-from plenum.session import table
 
 TODAY = "1998-06-15"
 
@@ -43,14 +42,47 @@ DOMAIN = {
 }
 
 
+#: The test tables' schemas, so that none is inferred from files.
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
+def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the test tables."""
+    return spark.read.schema(RAW[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Analogue(Council):
+    """The domain over the tables below sf_dir; a table is made when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._made:
+            sql = DOMAIN[name]
+            used = [t for t in RAW if "{" + t + "}" in sql]
+            self._made[name] = self.spark.sql(sql, **{t: raw(self.spark, self.sf_dir, t) for t in used})
+        return self._made[name]
+
+
+for _name in DOMAIN:
+    setattr(Analogue, "all_documents" if _name == "documents" else _name, property(lambda self, n=_name: self._table(n)))
+
+
 def council(spark: SparkSession, sf_dir: str) -> Council:
     """The domain over the tables below sf_dir."""
-    tables: dict[str, DataFrame] = {}
-    for name, sql in DOMAIN.items():
-        used = [t for t in ("nation", "region", "customer", "orders", "lineitem", "part", "supplier") if "{" + t + "}" in sql]
-        tables[name] = spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
-    tables["all_documents"] = tables.pop("documents")
-    return Council(**tables)
+    return Analogue(spark, sf_dir)
 
 
 def with_sql(*names: str) -> str:
@@ -58,7 +90,7 @@ def with_sql(*names: str) -> str:
     parts = []
     for n in names:
         sql = DOMAIN[n]
-        for t in ("nation", "region", "customer", "orders", "lineitem", "part", "supplier"):
+        for t in RAW:
             sql = sql.replace("{" + t + "}", f"main.{t}")
         if n == "documents":
             parts.append(f"all_documents as ({sql})")

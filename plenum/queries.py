@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from plenum.functions import dates, geo, markup, search, text
 from plenum.functions.stem import stems
 from plenum.operators import aggregates, joins, locate, scopes, sets, sync, tops
-from plenum.plans.analogue import TODAY, council, with_sql
-from plenum.session import ship, table
+from plenum.plans.analogue import TODAY, council, raw, with_sql
+from plenum.session import ship
 from plenum.sources import sinks
 from plenum.streaming import throttle
 
@@ -169,13 +169,13 @@ def party_counts(c, spark, sf_dir):
 
 @query("select l_returnflag, (sum(l_extendedprice) - sum(l_quantity)) / nullif(sum(l_extendedprice), 0) as ratio from lineitem group by 1")
 def ratio_of_sums(c, spark, sf_dir):
-    rows = aggregates.ratio_of_sums(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ("l_returnflag",))
+    rows = aggregates.ratio_of_sums(raw(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ("l_returnflag",))
     return rows
 
 
 @query("select o_custkey, cast(case when count(*) > 0 then floor(100 * sum(case when o_orderstatus = 'F' then 1 else 0 end) / count(*)) else 0 end as bigint) as percent from orders group by 1")
 def percent_case(c, spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count("*").alias("b"))
+    rows = raw(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count("*").alias("b"))
     return rows.select("o_custkey", aggregates.percent("a", "b").alias("percent"))
 
 
@@ -393,19 +393,19 @@ def search_attachments(c, spark, sf_dir):
 
 @query()
 def search_stemmed(c, spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("full_text"), F.lit(None).cast("string").alias("number"))
+    docs = raw(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("full_text"), F.lit(None).cast("string").alias("number"))
     return tops.found(docs, "ungen sch", stem=stems).select("id", "rank")
 
 
 @query(r"select doc_id, len(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->|</?[a-zA-Z!?][^>]*>', '', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> ''))::integer as words from documents")
 def word_counts(c, spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("words"))
+    return raw(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("words"))
 
 
 @query(f"select doc_id, len({_HITS.format(c='text')})::integer as n, len(list_distinct({_HITS.format(c='text')}))::integer as n_distinct from documents")
 def tokens(c, spark, sf_dir):
     words = text.tokens("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("n_distinct"))
+    return raw(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("n_distinct"))
 
 
 @query(
@@ -415,7 +415,7 @@ def tokens(c, spark, sf_dir):
     select distinct id, name from g where name in (select name from names)"""
 )
 def ngram_dictionary_match(c, spark, sf_dir):
-    parts = table(spark, sf_dir, "part")
+    parts = raw(spark, sf_dir, "part")
     streets = parts.select(text.normalize_street("p_name").alias("normalized_name"))
     names = locate.dictionary(streets, scopes.blocked_names(c.districts))
     return locate.street_matches(parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), names).select("id", "name")
@@ -484,19 +484,19 @@ def second_page(c, spark, sf_dir):
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where json_extract_string(props, '$.k') in ('7', '42')")
 def json_props(c, spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
+    rows = raw(spark, sf_dir, "events")
     wanted = scopes.by_property(rows, "k", "7", "props").union(scopes.by_property(rows, "k", "42", "props"))
     return wanted.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
 @query("select user_id, time_bucket(interval 5 minute, ts) as window_start, count(*) as requests, count(*) > 1 as throttled from events group by 1, 2")
 def throttle_5min(c, spark, sf_dir):
-    return throttle.windows(table(spark, sf_dir, "events"), limit=1)
+    return throttle.windows(raw(spark, sf_dir, "events"), limit=1)
 
 
 @query("select event_id, row_number() over (partition by user_id, time_bucket(interval 5 minute, ts) order by ts, event_id) <= 1 as allowed from events")
 def throttled_events(c, spark, sf_dir):
-    return throttle.flagged(table(spark, sf_dir, "events"), limit=1).select("event_id", "allowed")
+    return throttle.flagged(raw(spark, sf_dir, "events"), limit=1).select("event_id", "allowed")
 
 
 @query(
@@ -506,7 +506,7 @@ def throttled_events(c, spark, sf_dir):
     "members",
 )
 def snapshot_soft_delete(c, spark, sf_dir):
-    seen = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0 and s_nationkey % 5 < 3").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_nationkey") % 5).cast("bigint").alias("party_id"))
+    seen = raw(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0 and s_nationkey % 5 < 3").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_nationkey") % 5).cast("bigint").alias("party_id"))
     return sync.roster(c.members.select("id", "party_id", "name", "inactive"), seen, ["id"], ["party_id"]).select("id", "party_id", "inactive")
 
 
@@ -561,18 +561,18 @@ def sitemap_union(c, spark, sf_dir):
 
 @query()
 def html_strip(c, spark, sf_dir):
-    rows = table(spark, sf_dir, "pages")
+    rows = raw(spark, sf_dir, "pages")
     return rows.select("page_id", markup.page_title("html").alias("title"), F.length(markup.page_text("html")).alias("n"))
 
 
 @query(r"select page_id, nullif(regexp_extract(url, 'page=(\d+)', 1), '') as number, contains(html, 'noauth.asp') as closed from pages")
 def href_ids(c, spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.capture_id("url", "page").alias("number"), text.has_marker("html", "noauth.asp", "Object moved").alias("closed"))
+    return raw(spark, sf_dir, "pages").select("page_id", text.capture_id("url", "page").alias("number"), text.has_marker("html", "noauth.asp", "Object moved").alias("closed"))
 
 
 @query()
 def page_links(c, spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(markup.hrefs("html")).alias("place", "href"))
+    return raw(spark, sf_dir, "pages").select("page_id", F.posexplode(markup.hrefs("html")).alias("place", "href"))
 
 
 @query()
