@@ -226,10 +226,23 @@ class Coder:
         return classes, code, logs, sizes, (low, starts[rest], lengths[rest], own[rest], place[rest])
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent words, at most HOT: those above a count that a histogram of counts gives, so that nothing is sorted."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 32)
+    total, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > HOT:
+            break
+        least = r["step"]
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 def vocabulary(counts: DataFrame, groups: np.ndarray, ends: int) -> tuple[Vocabulary, int, int]:
     """The vocabulary, the number of training tokens and that of distinct ones."""
-    top = counts.orderBy(F.col("c").desc(), "word").limit(HOT).toArrow()
-    names, most = top.column("word").to_pylist(), top.column("c").to_numpy()
+    top = frequent(counts).toArrow()
+    pairs = sorted(zip((-top.column("c").to_numpy()).tolist(), top.column("word").to_pylist()))
+    names, most = [w for _, w in pairs], -np.array([c for c, _ in pairs], np.int64)
     hot = {w: k for k, w in enumerate(names)}
     singles, table = set(names[:SINGLES]), groups.tolist()
 
