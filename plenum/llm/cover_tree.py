@@ -222,7 +222,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def chunks(rows: DataFrame, dim: int, n: int, chunk: int = CHUNK) -> DataFrame:
     """Points of one dimension -> (chunk, tree, centre, radius), each row a chunk with its cover tree."""
     cells = min(CELLS, -(-n // chunk))
-    some = unit(np.array([r["embedding"] for r in rows.orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select("embedding").collect()], float).reshape(-1, dim))
+    low = F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) <= int(min(1.0, SAMPLE / n) * (1 << 30))
+    drawn = sorted(rows.where(low).select("rid", "embedding").collect())[:SAMPLE] or rows.select("rid", "embedding").limit(1).collect()
+    some = unit(np.array([r["embedding"] for r in drawn], float).reshape(-1, dim))
     picked, far = [0], distance(some @ some[0])
     while len(picked) < min(cells, len(some)):
         picked.append(int(far.argmax()))
