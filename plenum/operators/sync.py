@@ -103,10 +103,10 @@ def replaced(stored: DataFrame, snapshot: DataFrame, scope: list[str], keys: lis
 def agenda(stored: DataFrame, snapshot: DataFrame, meetings: DataFrame, today) -> DataFrame:
     """Agenda items after a visit: of meetings from today on replaced, of past ones updated by number.
 
-    snapshot(meeting_id, number, ...): rows without a number are no items.
+    snapshot(meeting_id, number, ...): rows without a number are no items, but tell that the meeting was visited.
     """
     rows = snapshot.where(F.length(F.trim("number")) > 0)
-    ahead = meetings.where(F.col("date") >= col(today)).select(F.col("id").alias("meeting_id")).join(rows.select("meeting_id").distinct(), "meeting_id", "left_semi")
+    ahead = meetings.where(F.col("date") >= col(today)).select(F.col("id").alias("meeting_id")).join(snapshot.select("meeting_id").distinct(), "meeting_id", "left_semi")
     past = stored.join(ahead, "meeting_id", "left_anti").select(*stored.columns)
     return upsert(past, rows, ["meeting_id", "number"])
 

@@ -584,3 +584,162 @@ def document_json(c, spark, sf_dir):
 def statistics_page(c, spark, sf_dir):
     found = c.statistics(PARTIES)
     return sets.stacked(**{k: v for k, v in found.items() if k != "parties"})
+
+
+# resolution, state changes, formats
+
+
+@query(
+    """, boxes as (select * from districts), wanted as (select distinct s_nationkey as district_id, s_name as name from supplier),
+    known as (select distinct district_id, name from wanted where exists (select 1 from locations l where l.district_id = wanted.district_id and l.id % 3 = 0 and lower(trim(l.name)) = lower(trim(wanted.name))))
+    select cast(w.district_id as bigint) as district_id, w.name as extracted_name, case when k.name is not null then 'stored' else 'geocoder' end as stage from wanted w left join known k on k.district_id = w.district_id and k.name = w.name
+    where k.name is not null or (cast(string_split(w.name, '#')[-1] as integer) % 3 = 1)""",
+    "locations", "districts",
+)
+def resolved_locations(c, spark, sf_dir):
+    # a third of the names is stored, a third has an answer of the geocoder inside its district, a third has none
+    rows = raw(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("bigint").alias("district_id"), F.col("s_name").alias("name"))
+    stored = c.locations.where("id % 3 = 0").select("*", F.col("name").alias("extracted_name"), text.normalize_location("name").alias("normalized_name"), F.lit(None).cast("string").alias("place_id"), F.lit(None).cast("string").alias("formatted_address"))
+    inside = F.format_string('{"candidates": [{"place_id": "p", "name": "x", "geometry": {"location": {"lat": %d.0, "lng": %d.0}}, "types": ["park"]}]}', F.col("s_nationkey") + 53, F.col("s_nationkey") + 9)
+    answers = raw(spark, sf_dir, "supplier").where("s_suppkey % 3 = 1").select(F.col("s_nationkey").cast("bigint").alias("district_id"), text.normalize_location("s_name").alias("query"), inside.alias("locations"))
+    from plenum.schemas import empty
+
+    found = locate.resolved(rows, stored, empty(spark, "streets"), answers, c.districts)
+    return found.select("district_id", "extracted_name", "stage")
+
+
+@query(
+    """select document_id, name from (select distinct l_partkey as document_id, p_name as name, string_split(p_name, ' ')[1] as area from lineitem join part on p_partkey = l_partkey)
+    where not exists (select 1 from lineitem x where x.l_partkey = document_id and x.l_linestatus = 'O' and x.l_linenumber = 1 and lower(area) = 'red') or lower(name) <> 'red'"""
+)
+def local_area_exclusion(c, spark, sf_dir):
+    items, parts = raw(spark, sf_dir, "lineitem"), raw(spark, sf_dir, "part")
+    named = items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    names = named.select(F.col("l_partkey").alias("document_id"), F.col("p_name").alias("name")).distinct()
+    handled = named.where("l_linestatus = 'O' and l_linenumber = 1").select(F.col("l_partkey").alias("document_id"), F.concat(F.lit("Regionalausschuss "), F.split("p_name", " ")[0]).alias("committee")).distinct()
+    return locate.without_local_areas(names, handled)
+
+
+@query("select m.id, case when m.party_id in (1, 2) then true else m.inactive end as inactive from members m", "members")
+def expired_parties(c, spark, sf_dir):
+    gone = spark.createDataFrame([(1,), (2,)], "party_id bigint")
+    return sync.expire(c.parties, c.members, gone)[1].select("id", "inactive")
+
+
+@query(
+    f"""select coalesce(i.meeting_id, s.meeting_id) as meeting_id, coalesce(i.number, s.number) as number, case when s.number is not null then 'new' else i.title end as title
+    from (select meeting_id, number, i.title from agenda_items i join meetings m on m.id = meeting_id where m.date < {SQL_DAY} or meeting_id % 5 > 0) i
+    full join (select distinct meeting_id, number from agenda_items where meeting_id % 5 = 0 and id % 10 < 3) s on s.meeting_id = i.meeting_id and s.number = i.number""",
+    "agenda_items", "meetings",
+)
+def agenda_replaced(c, spark, sf_dir):
+    page = c.agenda_items.where("meeting_id % 5 = 0 and id % 10 < 3").select("meeting_id", "number", F.lit("new").alias("title"))
+    # meetings of the page from today on lose what they had, those that it shows empty too
+    known = c.agenda_items.where("meeting_id % 5 = 0").select("meeting_id").distinct().join(page.select("meeting_id").distinct(), "meeting_id", "left_anti").select("meeting_id", F.lit("").alias("number"), F.lit("").alias("title"))
+    return sync.agenda(c.agenda_items.select("meeting_id", "number", "title"), page.union(known), c.meetings, day())
+
+
+@query("select id, case when document_id % 2 = 0 then document_id end as document_id from agenda_items", "agenda_items")
+def nullified_references(c, spark, sf_dir):
+    return sync.nullified(c.agenda_items.select("id", "document_id"), c.all_documents.where("id % 2 = 0"), "document_id")
+
+
+@query(
+    """, ends as (select district_id, max(date) as last from meetings where title is not null group by 1)
+    select district_id, cast(unnest(generate_series(date_trunc('month', last - interval 2 month)::timestamp, date_trunc('month', date '2002-01-01' + interval 9 month)::timestamp, interval 1 month)) as date) as month from ends where date_trunc('month', last - interval 2 month) <= date_trunc('month', date '2002-01-01' + interval 9 month)""",
+    "meetings",
+)
+def months_to_visit(c, spark, sf_dir):
+    districts = c.districts.withColumn("oldest_meeting_date", F.lit(None).cast("date"))
+    return sync.months_to_visit(c.meetings, districts, F.lit("2002-01-01").cast("date"))
+
+
+@query("select id, case when id = 2 then 'MIDDLE' else name end as name from (select id, case when id = 2 then 'MIDDLE' else name end as name from parties) union all select 77, 'new'", "parties")
+def found_or_created(c, spark, sf_dir):
+    stored = c.parties.select("id", F.when(F.col("id") == 2, "MIDDLE").otherwise(F.col("name")).alias("name"))
+    return sync.upsert(stored, spark.createDataFrame([(2, "ignored"), (77, "new")], "id bigint, name string"), ["id"], update=False)
+
+
+@query("select s_nationkey::bigint as district_id, s_name as query, 'old' as locations from supplier where s_suppkey % 2 = 0 union all select s_nationkey, s_name, 'new' from supplier where s_suppkey % 2 = 1 and s_suppkey % 3 = 0")
+def geocode_cache(c, spark, sf_dir):
+    rows = raw(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("district_id"), F.col("s_name").alias("query"))
+    cache = rows.where("s_suppkey % 2 = 0").select("district_id", "query", F.lit("old").alias("locations"))
+    answers = rows.select("district_id", "query", F.lit("new").alias("locations"), F.when(F.col("s_suppkey") % 3 == 0, "OK").otherwise("ZERO_RESULTS").alias("status"))
+    return sync.to_cache(cache, answers)
+
+
+@query("select document_id, location_id from document_locations union select document_id + 1, location_id from document_locations", "document_locations")
+def links_added_once(c, spark, sf_dir):
+    return sync.added_links(c.document_locations, c.document_locations.select(F.col("document_id") + 1, "location_id").toDF("document_id", "location_id"))
+
+
+@query(
+    """, held as (select m.*, (select sum(word_count) from agenda_items i where i.meeting_id = m.id) as words, row_number() over (partition by committee_id order by date desc, id desc) as n
+         from meetings m where id in (select meeting_id from agenda_items where minutes is not null)),
+    a as (select committee_id, cast(round(sum(words) / count(*)) as integer) as w, cast(round(avg(end_sec - start_sec)) as integer) as d from held where n <= 5 group by 1)
+    select c.id, a.w as average_word_count, coalesce(a.d, c.average_duration) as average_duration from committees c left join a on a.committee_id = c.id""",
+    "committees", "meetings", "agenda_items",
+)
+def averages_written_back(c, spark, sf_dir):
+    own = c.committees.withColumn("average_word_count", F.lit(None).cast("int"))
+    return sync.with_averages(own, tops.recent_averages(c.committees, c.meetings, c.agenda_items)).select("id", "average_word_count", "average_duration")
+
+
+@query("select id, ((10 + id % 9) * 3600 + (id % 60) * 60)::integer as start_sec, ((11 + id % 9) * 3600)::integer as end_sec, date '1998-01-01' + cast(id % 300 as integer) as date from agenda_items", "agenda_items")
+def split_times_and_dates(c, spark, sf_dir):
+    shown = F.format_string("%02d:%02d - %02d:00", 10 + F.col("id") % 9, F.col("id") % 60, 11 + F.col("id") % 9)
+    held = F.concat(F.lit("Montag, "), dates.german_date(F.date_add(F.lit("1998-01-01").cast("date"), (F.col("id") % 300).cast("int"))))
+    start, end = dates.split_times("shown")
+    return c.agenda_items.select("id", shown.alias("shown"), held.alias("held")).select("id", start.alias("start_sec"), end.alias("end_sec"), dates.parse_german_date("held").alias("date"))
+
+
+@query("select id, trim(regexp_replace(regexp_replace(regexp_replace(minutes, '</?[a-zA-Z!?][^>]*>', '', 'g'), '<br\\s*/?>', ' ', 'g'), '\\s+', ' ', 'g')) as text, coalesce(regexp_replace(minutes, '</?[a-zA-Z!?][^>]*>', '', 'g'), '') || case when length(trim(coalesce(result, ''))) > 0 then ' ' || regexp_replace(result, '</?[a-zA-Z!?][^>]*>', '', 'g') else '' end as whole from agenda_items", "agenda_items")
+def cleaned_texts(c, spark, sf_dir):
+    return c.agenda_items.select("id", text.clean_linebreaks(text.strip_tags("minutes")).alias("text"), text.full_text("minutes", "result").alias("whole"))
+
+
+@query("select id, ext_id, minutes is not null or result is not null as shown from agenda_items where ext_id is not null and (minutes is not null or result is not null)", "agenda_items")
+def items_with_protocol(c, spark, sf_dir):
+    return scopes.has_protocol(scopes.logged(c.agenda_items)).select("id", "ext_id", F.lit(True).alias("shown"))
+
+
+@query("select id, number, title, row_number() over (order by number desc nulls last, id desc) as place from documents where district_id = 3 and title is not null qualify place <= 10", "documents")
+def newest_of_district(c, spark, sf_dir):
+    rows = tops.page(scopes.complete(scopes.in_district(c.documents, 3)), [F.col("number").desc_nulls_last(), F.col("id").desc()], 1, 10)
+    return rows.select("id", "number", "title", F.row_number().over(Window.orderBy(F.col("number").desc_nulls_last(), F.col("id").desc())).cast("bigint").alias("place"))
+
+
+@query("select id, '1' || '' as one, case when average_duration is not null then replace(printf('%.2f', average_duration / 3600.0), '.', ',') || ' h' end as hours from committees", "committees")
+def german_hours(c, spark, sf_dir):
+    return c.committees.select("id", F.lit("1").alias("one"), text.hours("average_duration").alias("hours"))
+
+
+@query("select user_id, min(ts) as started_at, max(ts) as ended_at, count(*) as events from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as n from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 4 hour then 0 else 1 end as fresh from events)) group by user_id, n")
+def visits(c, spark, sf_dir):
+    from plenum.streaming.events import visits as runs
+
+    return runs(raw(spark, sf_dir, "events"))
+
+
+@query(f"select 'meeting' as kind, id from meetings where date between {SQL_DAY} - 7 and {SQL_DAY} + 7 union select 'meeting', id from meetings where date between {SQL_DAY} - 270 and {SQL_DAY} - 8 and id not in (select meeting_id from agenda_items where ext_id is not null) union select 'item', i.id from agenda_items i join meetings m on m.id = meeting_id where ext_id is not null and minutes is null and result is null and date between {SQL_DAY} - 270 and {SQL_DAY} - 30 union select 'document', id from documents where title is null", "documents", "meetings", "agenda_items")
+def work_list(c, spark, sf_dir):
+    from plenum.streaming.ingest import work_list as due
+
+    return due(c.documents.withColumn("updated_at", F.lit(TODAY).cast("timestamp")), c.meetings, c.agenda_items, day(), F.lit(TODAY).cast("timestamp"))
+
+
+@query("select district_id, max(number) as newest, count(*) filter (number >= first_number) as current from documents d join districts s on s.id = d.district_id group by 1", "documents", "districts")
+def legislation_counts(c, spark, sf_dir):
+    now = scopes.current_legislation(c.documents, c.districts).groupBy("district_id").agg(F.count("*").alias("current"))
+    every = c.documents.groupBy("district_id").agg(F.max("number").alias("newest"))
+    return every.join(now, "district_id", "left").select("district_id", "newest", F.coalesce("current", F.lit(0)).alias("current"))
+
+
+@query()
+def meeting_events(c, spark, sf_dir):
+    return sinks.event(c.meetings.where("start_sec is not null"), c.committees, aggregates.lines(c.agenda_items))
+
+
+@query()
+def requests_json(c, spark, sf_dir):
+    return sinks.as_json(c.suggest_documents("widget"))
