@@ -14,15 +14,17 @@ from plenum.functions import text
 from plenum.functions.text import col
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str]):
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def next_ids(stored: DataFrame, new: DataFrame, key: str = "id", buckets: int = 1024) -> DataFrame:
+    """New rows with ids above the largest stored one: different, the same in a rerun, and with gaps.
 
-
-def next_ids(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """New rows numbered from the largest stored id on. The order is that of all other columns, so a rerun agrees."""
-    order = Window.orderBy(*[F.col(f"`{c}`") for c in new.columns if c != key])
+    Rows are counted within buckets of a hash, so no task numbers them all: id = top + bucket + 1 + place * buckets.
+    """
+    others = [F.col(f"`{c}`") for c in new.columns if c != key]
+    bucket = F.pmod(F.xxhash64(*others), F.lit(buckets))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*others)) - 1
     top = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    return new.withColumn("_n", F.row_number().over(order)).join(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_n")).drop("_top", "_n")  # one row
+    numbered = new.withColumn("_bucket", bucket).withColumn("_place", place).join(F.broadcast(top))  # one row
+    return numbered.withColumn(key, F.col("_top") + F.col("_bucket") + 1 + F.col("_place") * buckets).drop("_top", "_bucket", "_place")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], update: bool = True) -> DataFrame:

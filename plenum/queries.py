@@ -86,15 +86,14 @@ def first10_per_location(c, spark, sf_dir):
 
 @query(
     """, sizes as (select party_id, count(*) as n from members where not inactive and kind not in ('zubenannte/r Bürger/in', 'Zubenannte/r Bürger/in') group by 1)
-    select committee_id, member_id, m.party_id, p.name as party_name, cast(row_number() over (order by m.party_id is null, coalesce(n, 0) desc, p.name nulls last, m.name, member_id, committee_id) as bigint) as place
+    select committee_id, member_id, m.party_id, p.name as party_name, cast(row_number() over (partition by committee_id order by m.party_id is null, coalesce(n, 0) desc, p.name nulls last, m.name, member_id) as bigint) as place
     from memberships s join members m on m.id = member_id left join parties p on p.id = m.party_id left join sizes z on z.party_id = m.party_id
     where not s.inactive and not m.inactive""",
     "memberships", "members", "parties",
 )
 def party_size_order(c, spark, sf_dir):
-    # the place in the roster's order is what the check compares; rank within committees would be the usual use
     rows = joins.current_members(c.memberships, c.members, c.parties).join(aggregates.party_sizes(c.members), "party_id", "left")
-    order = Window.orderBy(F.col("party_id").isNull(), F.coalesce("size", F.lit(0)).desc(), F.col("party_name").asc_nulls_last(), F.col("member_name"), "member_id", "committee_id")
+    order = Window.partitionBy("committee_id").orderBy(F.col("party_id").isNull(), F.coalesce("size", F.lit(0)).desc(), F.col("party_name").asc_nulls_last(), F.col("member_name"), "member_id")
     return rows.select("committee_id", "member_id", "party_id", "party_name", F.row_number().over(order).cast("bigint").alias("place"))
 
 
@@ -265,7 +264,6 @@ def in_last_months(c, spark, sf_dir):
 @query(f"select 'past' as span, count(*) as n from meetings where date between {SQL_DAY} - 30 and {SQL_DAY} union all select 'month', count(*) from meetings where date_trunc('month', date) = date_trunc('month', {SQL_DAY}) union all select 'future', count(*) from meetings where date >= {SQL_DAY} union all select 'recent', count(*) from meetings where date between {SQL_DAY} - 7 and {SQL_DAY} + 7", "meetings")
 def date_windows(c, spark, sf_dir):
     parts = {"past": scopes.in_last_days(c.meetings, 30, day()), "month": scopes.in_month(c.meetings, day()), "future": scopes.in_future(c.meetings, day()), "recent": scopes.recent(c.meetings, day())}
-    # one pass: the four windows are conditional counts of the same scan
     rows = sets.stacked(**{k: v.select("id") for k, v in parts.items()})
     return rows.groupBy(F.col("source").alias("span")).agg(F.count("*").alias("n"))
 

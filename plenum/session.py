@@ -20,11 +20,6 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
-    """One of the Parquet tables below sf_dir."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ship(spark: SparkSession) -> SparkSession:
     """Let the executors import this package, once per application, wherever the driver found it."""
     import tempfile

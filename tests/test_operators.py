@@ -109,8 +109,10 @@ def test_upsert_and_marks(spark):
     known = spark.createDataFrame([(1, 7)], "district_id long, ext_id int")
     newest = spark.createDataFrame([(1, 9, 3), (2, 2, 2), (3, 2, 0)], "district_id long, newest int, oldest int")
     assert [tuple(r) for r in sync.missing_ids(known, newest).collect()] == [(1, 9), (1, 8), (3, 2), (3, 1)]
-    numbered = sync.next_ids(stored, spark.createDataFrame([("q",), ("p",)], "name string"))
-    assert {(r["id"], r["name"]) for r in numbered.collect()} == {(3, "p"), (4, "q")}
+    names = spark.createDataFrame([("q",), ("p",), ("p",)], "name string")
+    numbered = sync.next_ids(stored, names)
+    ids = sorted(column(numbered, "id"))
+    assert len(set(ids)) == 3 and ids[0] > 2 and ids == sorted(column(sync.next_ids(stored, names.repartition(3)), "id"))
 
 
 def test_hard_sync_and_agenda(spark):
