@@ -71,11 +71,12 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     found = written(found.where("doc_id is not null"), "classes")
     gone = found.where("doc_id <> c_id or h <> c_h").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(gone, (docs["doc_id"] == F.col("_id")) & (own == F.col("_h")), "left_anti")
+    kept = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (own == gone["_h"]), "left_anti")
     if found.where("doc_id = c_id and h = c_h").groupBy("doc_id", "h").count().where("count > 1").isEmpty():
         return kept
-    numbered = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.lit(0))))
-    return numbered.where("doc_id is null or _n = 1").drop("_n")
+    place = next(c for c in (f"_n{k}" for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    numbered = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.lit(0))))
+    return numbered.where(F.col("doc_id").isNull() | (F.col(place) == 1)).drop(place)
 
 
 def planes(values: np.ndarray) -> np.ndarray:
