@@ -12,7 +12,7 @@ from plenum.functions.stem import stems
 from plenum.operators import aggregates, joins, locate, scopes, sets, sync, tops
 from plenum.plans.analogue import TODAY, council, raw, with_sql
 from plenum.session import ship
-from plenum.sources import sinks
+from plenum.sources import records, sinks, streets
 from plenum.streaming import throttle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -741,3 +741,64 @@ def meeting_events(c, spark, sf_dir):
 @query()
 def requests_json(c, spark, sf_dir):
     return sinks.as_json(c.suggest_documents("widget"))
+
+
+# sources and sinks
+
+
+@query("select cast(s_nationkey as bigint) as id, cast(s_suppkey as integer) as ext_id, s_name as name, case when s_suppkey % 2 = 0 then 'Vorsitz' else 'Mitglied' end as kind from supplier where s_suppkey % 10 <> 3")
+def roster_pages(c, spark, sf_dir):
+    # rosters as pages, a page for each nation; rows without a link are no members
+    line = F.when(F.col("s_suppkey") % 10 != 3, F.concat(F.lit('<tr class="zl11"><td class="text1">'), F.when(F.col("s_suppkey") % 2 == 0, "Vorsitz").otherwise("Mitglied"), F.lit('<td><a href="kp020.asp?KPLFDNR='), F.col("s_suppkey").cast("string"), F.lit('"> '), "s_name", F.lit(" </a></tr>"))).otherwise(F.lit('<tr class="zl12"><td class="text1">x</td></tr>'))
+    pages = raw(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("bigint").alias("id")).agg(F.concat(F.lit('<h1>x</h1><table class="tl1">'), F.array_join(F.collect_list(line), "\n"), F.lit("</table>")).alias("source"))
+    return records.parsed(pages, "roster").drop("row")
+
+
+@query("select p_partkey as id, '21-' || p_partkey as number, p_name as title, 'Antrag' as kind, '<p>' || p_type || '</p>' as content, p_brand as resolution, false as non_public from part")
+def paper_pages(c, spark, sf_dir):
+    page = F.format_string('<h1>Drucksache - 21-%d</h1><table class="risdeco"><tr><td class="text1">%s</td><td class="text4">Antrag</td></tr><tr><td><div><span>Sachverhalt:</span><p class="x">%s</p></div><div><span>Petitum/Beschluss:</span>%s</div></td></tr></table>', "p_partkey", "p_name", "p_type", "p_brand")
+    rows = records.parsed(raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), page.alias("source")), "paper")
+    clean = lambda c_: F.regexp_replace(c_, "</?span>", "")
+    return rows.select("id", "number", "title", "kind", clean("content").alias("content"), clean("resolution").alias("resolution"), "non_public")
+
+
+@query("select l_orderkey as id, 'Ö ' || l_linenumber || '-' || l_suppkey as number, cast(l_suppkey as integer) as ext_id, 'Punkt ' || l_quantity::integer as title, cast(l_partkey as integer) as document_ext_id from lineitem where l_orderkey % 10 = 1")
+def agenda_pages(c, spark, sf_dir):
+    line = F.format_string('<tr class="zl12"><td><input name="TOLFDNR" value="%d"></td><td class="text4">Ö %d-%d</td><td nowrap="nowrap"><a href="a">a</a><a href="vo020.asp?VOLFDNR=%d">b</a></td><td>Punkt %d</td></tr>', "l_suppkey", "l_linenumber", "l_suppkey", "l_partkey", F.col("l_quantity").cast("int"))
+    pages = raw(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1").groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(F.lit('<h1>Tagesordnung - x</h1><table class="risdeco">'), F.array_join(F.collect_list(line), "\n"), F.lit("</table>")).alias("source"))
+    return records.parsed(pages, "agenda").drop("row")
+
+
+@query("select p_name as name, lower(p_name) as normalized_name, 53 + (p_partkey % 8) / 8.0 as latitude, 9 + (p_partkey % 16) / 16.0 as longitude, p_brand as quarter, cast(20000 + p_partkey as varchar) as postal_code, '02;' || p_size || ';1' as street_key, p_size::varchar as districts from part")
+def street_register(c, spark, sf_dir):
+    point = F.concat_ws(" ", (9 + (F.col("p_partkey") % 16) / 16.0).cast("string"), (53 + (F.col("p_partkey") % 8) / 8.0).cast("string"))
+    keys = F.array(F.concat(F.lit("02;"), F.col("p_size").cast("string"), F.lit(";1")), F.concat(F.lit(" 02;"), F.col("p_size").cast("string"), F.lit(";2 ")))
+    raw_rows = raw(spark, sf_dir, "part").select(F.col("p_name").alias("strassenname"), (20000 + F.col("p_partkey")).cast("string").alias("postleitzahl"), keys.alias("strassenschluessel"), F.array(F.concat("p_brand", F.lit(",OT 1"))).alias("ortsteilname"), F.struct(F.struct(point.alias("pos")).alias("Point")).alias("position"))
+    return streets.rows(raw_rows).withColumn("districts", F.array_join(F.transform("districts", lambda x: x.cast("string")), ","))
+
+
+@query("""select '{"id":' || id || ',"name":' || to_json(name)::varchar || ',"ord":' || coalesce(ord::varchar, 'null') || '}' as json from committees""", "committees")
+def json_rows(c, spark, sf_dir):
+    return sinks.as_json(c.committees.select("id", "name", "ord"))
+
+
+@query("select meeting_id, i.number, i.title, d.number as document, case when d.id is not null then concat_ws('-', '/documents/' || regexp_replace(lower(d.title), '[^a-z0-9_-]+', '-', 'g'), case when d.title is null then '/documents/' || d.id else d.id::varchar end) end as url from agenda_items i left join documents d on d.id = document_id and d.title is not null where i.meeting_id % 20 = 0", "agenda_items", "documents")
+def agenda_sheet(c, spark, sf_dir):
+    return sinks.agenda_rows(c.agenda_items.where("meeting_id % 20 = 0"), scopes.complete(c.documents), "")
+
+
+@query("select p_partkey as id, case when p_size >= 20 and p_size % 2 = 0 then regexp_replace(p_brand, '[^0-9A-Za-z -]', '', 'g') else '' end as names from part")
+def entity_filter(c, spark, sf_dir):
+    entity = F.struct(F.col("p_brand").alias("text"), F.when(F.col("p_size") % 2 == 0, "LOCATION").otherwise("PERSON").alias("tag"), (F.col("p_size") / 50.0).cast("double").alias("score"))
+    return raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(scopes.location_entities(F.array(entity, entity)), ",").alias("names"))
+
+
+@query("select s_suppkey as id, case when s_suppkey % 4 = 0 then 'p' || s_suppkey end as place_id from supplier where s_suppkey % 4 = 0")
+def geocoder_candidates(c, spark, sf_dir):
+    rows = raw(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("bigint").alias("district_id"), F.col("s_name").alias("name"))
+    kind = F.when(F.col("id") % 2 == 0, "park").otherwise("store")
+    lat = F.when(F.col("id") % 4 == 0, F.col("district_id") + 53).otherwise(F.lit(0))
+    answer = F.format_string('{"candidates": [{"place_id": "p%d", "geometry": {"location": {"lat": %d.0, "lng": %d.0}}, "types": ["x", "%s"]}]}', "id", lat, F.col("district_id") + 9, kind)
+    cache = rows.select("district_id", text.normalize_location("name").alias("query"), answer.alias("locations"))
+    found = locate.from_geocoder(rows.select("district_id", "name"), cache, c.districts)
+    return found.join(rows.select("id", F.col("name").alias("extracted_name")), "extracted_name").select("id", "place_id")

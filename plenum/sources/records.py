@@ -18,6 +18,9 @@ from plenum.sources.files import MOVED, NO_INFORMATION, SIGN_IN
 #: Labels in front of the parts of a paper, in the order in which they are tried.
 CONTENT_LABELS = ["Sachverhalt:", "Sachverhalt", "Hintergrund:"]
 RESOLUTION_LABELS = ["Petitum/Beschluss:", "Petitum/Beschlussvorschlag:", "Petitum/Beschlussempfehlung:", "Petitum/", "Petitum:", "Petitum"]
+#: Names of anchors around minutes and result, of pages that links lead to, and of a form.
+MINUTES_ANCHOR, DECISION_ANCHOR, END_ANCHOR = "allrisWP", "allrisBS", "allrisAE"
+PERSON_PAGE, PARTY_PAGE, DOWNLOAD_FORM = "kp020", "fr020", "do027.asp"
 ATTACHED_LABEL, OPENS_FILE, UNDECIDED, END_DATE = "Anlage/n:", "(Öffnet Dokument in neuem Fenster)", "(offen)", "Endedatum"
 
 
@@ -124,7 +127,7 @@ def item(source: str | None) -> list[tuple]:
     names = lambda nodes: {n.attrs.get("name") for n in nodes if n.tag == "a"}
     around = [(d, *map(names, d.before_after())) for d in html.find_all("div") if d.parent]
     between = lambda first, last=None: _first([inner for d, a, b in around if first in a and (last is None or last in b) and (inner := (inner_html(d) or "").strip())])
-    return [(None if decision == UNDECIDED else decision, between("allrisWP", "allrisBS"), between("allrisAE") or between("allrisBS"))]
+    return [(None if decision == UNDECIDED else decision, between(MINUTES_ANCHOR, DECISION_ANCHOR), between(END_ANCHOR) or between(DECISION_ANCHOR))]
 
 
 ROSTER = "ext_id int, name string, kind string"
@@ -134,7 +137,7 @@ def roster(source: str | None) -> list[tuple]:
     """Members in the first table of links to persons; rows without link, id or name are none."""
     if _gone(source, MOVED, SIGN_IN):
         return []
-    person = lambda n: "kp020" in n.attrs.get("href", "")
+    person = lambda n: PERSON_PAGE in n.attrs.get("href", "")
     table = next((t for t in parse(source).find_all("table", "tl1") if t.find("a", where=person)), None)
     rows = []
     for line in table.find_all("tr", ("zl11", "zl12")) if table else ():
@@ -162,7 +165,7 @@ def parties(source: str | None) -> list[tuple]:
     """(ext_id, name, kind): parties that an index links."""
     if source is None:
         return []
-    links = [a for t in parse(source).find_all("table", "tl1") for a in t.find_all("a", where=lambda n: "fr020" in n.attrs.get("href", ""))]
+    links = [a for t in parse(source).find_all("table", "tl1") for a in t.find_all("a", where=lambda n: PARTY_PAGE in n.attrs.get("href", ""))]
     return [(n, squished(a.text()), None) for a in links if (n := _number(a.attrs["href"], "FRLFDNR")) is not None]
 
 
@@ -216,7 +219,7 @@ def protocol_form(source: str | None) -> list[tuple]:
         return []
     from urllib.parse import urlencode
 
-    for form in parse(source).find_all("form", where=lambda n: n.attrs.get("action") == "do027.asp"):
+    for form in parse(source).find_all("form", where=lambda n: n.attrs.get("action") == DOWNLOAD_FORM):
         inputs = {n.attrs.get("name"): n.attrs.get("value") for n in form.find_all("input")}
         button = form.find("input", where=lambda n: n.attrs.get("type") == "submit")
         label = f"{button.attrs.get('value')} {button.attrs.get('title')}" if button else ""
