@@ -75,8 +75,7 @@ def word_count(*columns) -> Column:
     """Words of the given markup columns together, tags apart; null counts 0."""
     total = F.lit(0)
     for c in columns:
-        text = F.trim(F.regexp_replace(strip_tags(c), r"\s+", " "))
-        total = total + F.coalesce(F.when(text == "", 0).otherwise(F.size(F.split(text, " "))), F.lit(0))
+        total = total + F.coalesce(F.array_size(F.regexp_extract_all(strip_tags(c), F.lit(r"\S+"), F.lit(0))), F.lit(0))
     return total
 
 

@@ -223,3 +223,8 @@ def by_property(events: DataFrame, key: str, value: str, column: str = "properti
 def by_id(df: DataFrame, value, key: str = "id") -> DataFrame:
     """Point look-up: at most one row."""
     return df.where(F.col(key) == value).limit(1)
+
+
+def from_register(locations: DataFrame) -> DataFrame:
+    """Locations that the street register gave, by the prefix of their place id."""
+    return locations.where(F.col("place_id").like("gazetteer:%"))

@@ -144,3 +144,15 @@ def to_cache(cache: DataFrame, answers: DataFrame) -> DataFrame:
 def added_links(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Links with new ones; a repeated analysis adds nothing."""
     return stored.unionByName(new.select(*stored.columns)).dropDuplicates(["document_id", "location_id"])
+
+
+def backfilled_addresses(locations: DataFrame, streets: DataFrame) -> DataFrame:
+    """Locations with the register's address where they came from it and have none; others stay as they are."""
+    known = streets.where("street_key is not null").groupBy(F.concat(F.lit("gazetteer:"), "street_key").alias("place_id")).agg(F.min(text.address("name", "postal_code", "quarter")).alias("_address"))
+    rows = locations.join(known, "place_id", "left")
+    return rows.withColumn("formatted_address", F.coalesce(text.blank_to_null("formatted_address"), F.col("_address"))).select(*locations.columns)
+
+
+def owned_attachments(attachments: DataFrame, kind: str = "Document", key: str = "document_id") -> DataFrame:
+    """Attachments of one kind of owner with the tag and id that name any owner: a one-off change of shape."""
+    return attachments.withColumnRenamed(key, "attachable_id").withColumn("attachable_type", F.when(F.col("attachable_id").isNotNull(), F.lit(kind)))

@@ -166,12 +166,6 @@ def party_counts(c, spark, sf_dir):
     return aggregates.party_counts(c.documents, PARTIES, {"all_documents": F.lit(True), "proposals": search.contains_term("kind", "Antrag"), "small_inquiries": F.col("kind").isin(scopes.SMALL_INQUIRIES)})
 
 
-@query("select l_returnflag, (sum(l_extendedprice) - sum(l_quantity)) / nullif(sum(l_extendedprice), 0) as ratio from lineitem group by 1")
-def ratio_of_sums(c, spark, sf_dir):
-    rows = aggregates.ratio_of_sums(raw(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ("l_returnflag",))
-    return rows
-
-
 @query("select o_custkey, cast(case when count(*) > 0 then floor(100 * sum(case when o_orderstatus = 'F' then 1 else 0 end) / count(*)) else 0 end as bigint) as percent from orders group by 1")
 def percent_case(c, spark, sf_dir):
     rows = raw(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count("*").alias("b"))
@@ -802,3 +796,22 @@ def geocoder_candidates(c, spark, sf_dir):
     cache = rows.select("district_id", text.normalize_location("name").alias("query"), answer.alias("locations"))
     found = locate.from_geocoder(rows.select("district_id", "name"), cache, c.districts)
     return found.join(rows.select("id", F.col("name").alias("extracted_name")), "extracted_name").select("id", "place_id")
+
+
+@query("select s_suppkey as id, case when s_suppkey % 2 = 0 then p_name || ', ' || (20000 + p_partkey) || ' ' || p_brand when s_suppkey % 3 = 0 then 'known' end as formatted_address from supplier left join part on p_partkey = s_suppkey")
+def backfilled_addresses(c, spark, sf_dir):
+    rows = raw(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("gazetteer:"), F.col("s_suppkey").cast("string"))).otherwise(F.lit("other")).alias("place_id"), F.when((F.col("s_suppkey") % 2 == 1) & (F.col("s_suppkey") % 3 == 0), "known").alias("formatted_address"))
+    register = raw(spark, sf_dir, "part").select(F.col("p_name").alias("name"), (20000 + F.col("p_partkey")).cast("string").alias("postal_code"), F.col("p_brand").alias("quarter"), F.col("p_partkey").cast("string").alias("street_key"))
+    return sync.backfilled_addresses(rows, register).select("id", "formatted_address")
+
+
+@query("select id, place_id from (select s_suppkey as id, case when s_suppkey % 2 = 0 then 'gazetteer:' || s_suppkey else 'g' end as place_id from supplier) where starts_with(place_id, 'gazetteer:')")
+def register_locations(c, spark, sf_dir):
+    rows = raw(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("gazetteer:"), F.col("s_suppkey").cast("string"))).otherwise(F.lit("g")).alias("place_id"))
+    return scopes.from_register(rows)
+
+
+@query("select l_returnflag, round((sum(l_extendedprice) - sum(l_quantity)) / nullif(sum(l_extendedprice), 0), 9) as ratio from lineitem group by 1")
+def ratio_of_sums(c, spark, sf_dir):
+    rows = aggregates.ratio_of_sums(raw(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ("l_returnflag",))
+    return rows.withColumn("ratio", F.round("ratio", 9))
