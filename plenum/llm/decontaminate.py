@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_BYTES = 8 << 20
+#: Words by which suffixes are sorted in the search for longest matches; longer ones are followed word by word.
+DEPTH = 64
 
 #: Keeps a-z, 0-9 and all bytes from 0x80, lower-cases A-Z, and makes the rest blank.
 LETTERS = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -55,18 +57,24 @@ class Block:
             self.low[k, : len(ids)] = self.high[k, : len(ids)] = ids
 
 
-def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
-    """The benchmark in blocks; a null text or one without words has no window, a null id is named null."""
+def item_groups(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """(item, words) of the benchmark, block_words words at a time; a null text has no words, a null id is named null."""
     items, held = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     for item, body in rows.toLocalIterator():
         ws = words(bytes(body))
         if items and held + len(ws) > block_words:
-            yield Block(items, window)
+            yield items
             items, held = [], 0
         items.append((item, ws))
         held += len(ws)
-    yield Block(items, window)
+    yield items
+
+
+def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
+    """The benchmark's windows in blocks."""
+    for items in item_groups(benchmark, block_words):
+        yield Block(items, window)
 
 
 def packed(rows: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -117,7 +125,7 @@ class Shard:
         rows[np.arange(depth) >= (stop[suffixes] - suffixes)[:, None]] = 0
         keys = packed(rows, block.bits)
         order = np.lexsort(keys[::-1])
-        self.suffixes, self.keys, self.rows, self.n = suffixes[order], [k[order] for k in keys], rows[order], len(ids)
+        self.suffixes, self.keys, self.rows, self.n, self.ids = suffixes[order], [k[order] for k in keys], rows[order], len(ids), ids
 
     def occurrences(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(position, window) of each place where a window of the block stands."""
@@ -226,20 +234,11 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, blo
 
     Each suffix is searched to its full length in every shard; its neighbours in the suffix array hold the
     shard's longest match. Matches shorter than a window (or than a whole shorter item) are left out; of
-    equal lengths the smallest doc_id and position win. Starts count words from 0.
+    equal lengths the smallest doc_id wins. Starts count words from 0.
     """
     sc, kind, out = docs.sparkSession.sparkContext, docs.schema["doc_id"].dataType.simpleString(), None
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
-    items = [(i, words(bytes(b))) for i, b in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce(F.col("text").cast("binary"), F.lit(b""))).toLocalIterator()]
-    held, group = 0, []
-    groups = [group]
-    for item in items:
-        if group and held + len(item[1]) > block_words:
-            group, held = [], 0
-            groups.append(group)
-        group.append(item)
-        held += len(item[1])
-    for group in groups:
+    for group in item_groups(benchmark, block_words):
         found = rows.mapInArrow(_longest(sc.broadcast((Block(group, window), group)), window), f"item_id string, item_start long, n_words long, doc_id {kind}, doc_start long")
         out = found if out is None else out.union(found)
     best = F.max_by(F.struct("n_words", "doc_id", "doc_start"), F.struct("n_words", -F.col("doc_id"), -F.col("doc_start"))).alias("m")
@@ -249,12 +248,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, blo
 def _longest(shared, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, group = shared.value
-        depth = max([1, *(len(ws) for _, ws in group)])
-        tests = [(item, at, [block.get(w) for w in ws[at:]], min(window, len(ws))) for item, ws in group for at in range(len(ws))]
+        depth = min(DEPTH, max([1, *(len(ws) for _, ws in group)]))
+        tests = [(item, at, [block.get(w) for w in ws[at : at + depth]], ws, min(window, len(ws))) for item, ws in group for at in range(len(ws))]
         wanted = np.zeros((len(tests), depth), np.int64)
-        for k, (_, _, ids, _) in enumerate(tests):
-            wanted[k, : len(ids)] = ids
-        least = np.array([n for *_, n in tests], np.int64)
+        for k, test in enumerate(tests):
+            wanted[k, : len(test[2])] = test[2]
+        least = np.array([t[4] for t in tests], np.int64)
         keys = packed(wanted, block.bits)
         for batch in batches:
             ids, bodies = batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()
@@ -262,13 +261,20 @@ def _longest(shared, window: int):
                 shard = Shard(bodies[a:b], block, depth)
                 if not len(shard.suffixes) or not tests:
                     continue
-                at = bounds(shard.keys, keys, False)
+                at, end = bounds(shard.keys, keys, False), bounds(shard.keys, keys, True)
                 length, place = np.zeros(len(tests), np.int64), np.zeros(len(tests), np.int64)
                 for side in (at - 1, at):
                     inside = np.clip(side, 0, len(shard.suffixes) - 1)
                     same = np.cumprod((shard.rows[inside] == wanted) & (wanted > 0), axis=1).sum(axis=1)
                     better = same > length
                     length, place = np.where(better, same, length), np.where(better, shard.suffixes[inside], place)
+                for k in np.flatnonzero(length == depth).tolist():  # all that agree so far go on word by word
+                    alive, rest = shard.suffixes[at[k] : end[k]], tests[k][3][tests[k][1] + depth :]
+                    for word in rest:
+                        alive = alive[shard.ids[alive + length[k]] == block.get(word)]
+                        if not len(alive):
+                            break
+                        length[k], place[k] = length[k] + 1, alive[0]
                 good = np.flatnonzero(length >= least)
                 doc = np.searchsorted(shard.starts, place[good], side="right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array([tests[k][0] for k in good], pa.string()), pa.array([tests[k][1] for k in good], pa.int64()), pa.array(length[good]), pa.array([ids[a + d] for d in doc], batch.schema.field("doc_id").type), pa.array(place[good] - shard.starts[doc])], ["item_id", "item_start", "n_words", "doc_id", "doc_start"])

@@ -62,15 +62,19 @@ _REFRESH = r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["']?[^>]*>"""
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(u, v): every page's url and the absolute targets of its canonical link and its meta redirect.
+    """(u, v): every page's url and the targets of its canonical link and its meta redirect.
 
-    Targets without :// are left out, like pages without a url. Only pages that name either at all are parsed.
+    Targets that start with / or // are taken from the page's host or scheme; others without :// are left
+    out, like pages without a url. Only pages that name either kind of link at all are parsed.
     """
-    named = pages.where(F.col("html").contains("anonical") | F.col("html").contains("ANONICAL") | F.col("html").contains("efresh") | F.col("html").contains("EFRESH"))
+    low = F.lower("html")
+    named = pages.where(low.contains("canonical") | low.contains("refresh"))
     href = F.transform(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, r"""(?is)href\s*=\s*["']?([^"'\s>]+)""", 1))
     to = F.transform(F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, r"""(?is)url\s*=\s*["']?([^"'\s>;]+)""", 1))
-    found = named.select(node().alias("u"), F.explode(F.concat(href, to)).alias("to"))
-    return found.where(F.col("to").contains("://")).select("u", node("to").alias("v")).where("u is not null and u <> v").distinct()
+    found = named.select("url", node().alias("u"), F.explode(F.concat(href, to)).alias("to"))
+    scheme, head = F.regexp_extract("url", r"(?s)^\s*([^/?#]*:)//", 1), F.regexp_extract("url", r"(?s)^\s*([^/?#]*://[^/?#]*)", 1)
+    whole = F.when(F.startswith(F.col("to"), F.lit("//")), F.concat(scheme, "to")).when(F.startswith(F.col("to"), F.lit("/")), F.concat(head, "to")).otherwise(F.col("to"))
+    return found.select("u", whole.alias("to")).where(F.col("to").contains("://")).select("u", node("to").alias("v")).where("u is not null and u <> v").distinct()
 
 
 def filtered(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:

@@ -75,3 +75,25 @@ def test_longest_matches(frame):
 
 def test_digest():
     assert D.digest(["1", "10", "2"]) == hashlib.sha256(b"1,10,2").hexdigest()
+
+
+def test_long_items(frame, monkeypatch):
+    rng = random.Random(9)
+    item = [f"t{rng.randrange(5)}" for _ in range(300)]
+    docs = [(k, " ".join(["x", *item[a:b], "y"])) for k, (a, b) in enumerate([(0, 300), (10, 150), (100, 299), (0, 80)])] + [(9, " ".join(rng.choice(item) for _ in range(500)))]
+    expected = {}
+    for at in range(300):
+        best = (0,)
+        for doc_id, text in docs:
+            ws = text.split()
+            for p in range(len(ws)):
+                n = 0
+                while at + n < 300 and p + n < len(ws) and ws[p + n] == item[at + n]:
+                    n += 1
+                best = max(best, (n, -doc_id))
+        if best[0] >= 10:
+            expected[at] = (best[0], -best[1])
+    for depth in (64, 12):
+        monkeypatch.setattr(D, "DEPTH", depth)
+        rows = D.longest_matches(frame(docs, SCHEMA).coalesce(1), frame([(1, " ".join(item))], "item_id long, text string")).collect()
+        assert {r["item_start"]: r["n_words"] for r in rows} == {k: v[0] for k, v in expected.items()}

@@ -66,3 +66,21 @@ def test_random_access(frame, spark, tokenizer, tmp_path):
 
 def test_empty(frame, tokenizer):
     assert T.token_rows(frame([], SCHEMA)).count() == 0
+
+
+def test_small_memory(tokenizer, monkeypatch):
+    import random
+
+    monkeypatch.setattr(T, "BYTES", 60)
+    monkeypatch.setattr(T, "CACHED_WORDS", 40)
+    encoder, rng = T.Encoder(T.default_tokenizer()), random.Random(1)
+    for k in range(30):
+        bodies = [" ".join(f"w{rng.randrange(30 + 20 * k)}é" for _ in range(rng.randrange(80))) for _ in range(5)] + ["x\n" * 200, "y" * 500 + " z"]
+        assert [list(np.frombuffer(x, encoder.dtype)) for x in encoder.encode([b.encode() for b in bodies])] == [ids(tokenizer, b)[:-1] for b in bodies]
+
+
+def test_parts():
+    for body in (b"", b"abc", b"a b c d e f", b"abcdefgh ij\tk", b" " * 9):
+        for most in (1, 3, 5):
+            pieces = list(T.parts(body, most))
+            assert b"".join(pieces) == body and [w for p in pieces for w in p.split()] == body.split()

@@ -89,6 +89,8 @@ def test_aliases(frame, spark):
     found = {r["page_id"]: r["verdict"] for r in U.filtered(frame(pages, SCHEMA), redirects=redirects).collect()}
     # 1, 2 and 3 are aliases of a blocked url, but 3 is allowed by a rule, and that goes before
     assert found == {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "block"}
+    rooted = [(1, "http://a.org/1", link.format("/2")), (2, "http://a.org/2", link.format("//x.net/3").replace("canonical", "Canonical"))]
+    assert {r["verdict"] for r in U.filtered(frame(rooted, SCHEMA)).collect()} == {"block"}
     found = {r["page_id"]: r["verdict"] for r in U.filtered(frame(pages[:2], SCHEMA)).collect()}
     assert found == {1: "block", 2: "block"}
     assert U.filtered(frame([], SCHEMA)).count() == 0
