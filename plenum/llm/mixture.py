@@ -3,7 +3,9 @@
 A document is taken if its hash lies below its source's threshold. The threshold is found from histograms:
 words are summed by source and hash bucket, the bucket in which the budget runs out is cut again by the
 next bits, and only its documents are read for that. Nothing is sorted; a hot source is only a partial sum.
-Thresholds of growing budgets are nested, so a larger mix holds the smaller one.
+What the document at the threshold is too large for is filled in further rounds, each with a threshold above
+the last one among documents that are small enough for the rest; at last one document is added if the one
+nearest to what is then left brings the sum nearer to its target.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plenum.llm.common import written
 
-HASH_BITS, LEVEL_BITS = 60, 12
+HASH_BITS, LEVEL_BITS, ROUNDS = 60, 12, 4
 #: Sources up to this number are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -56,34 +58,67 @@ def _beside(rows: DataFrame, small: DataFrame, n: int, on: str = "source") -> Da
     return rows.join(F.broadcast(small) if n <= BROADCAST_SOURCES else small, F.col(on).eqNullSafe(F.col("_at"))).drop("_at")
 
 
+def _threshold(rows: DataFrame, open_: DataFrame, n_sources: int, name: str) -> DataFrame:
+    """open_(source, left, low, most) with high and rest: documents of hashes from low to high and at most `most` words fill
+    left but for rest, and the next one would be too much. With too few such documents high is above all hashes.
+    """
+    found, totals, state, at = [], None, open_.select("source", "left", "low", "most", F.lit(0).cast("long").alias("prefix")), 0
+    while at < HASH_BITS:
+        at += LEVEL_BITS
+        bucket = F.shiftrightunsigned("hash", HASH_BITS - at)
+        here = F.shiftrightunsigned("hash", HASH_BITS - at + LEVEL_BITS) == F.col("prefix")
+        inside = _beside(rows, state, n_sources).where(here & (F.col("hash") >= F.col("low")) & (F.col("size") <= F.col("most")))
+        sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("left", "low", "most")])
+        if totals is None:
+            sums = written(sums, f"sums_{name}")
+            totals = sums.groupBy(F.col("source").alias("_of")).agg(F.sum("words").alias("total"))
+        sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
+        edge = written(sums.where("before < left and before + words >= left").withColumn("left", F.col("left") - F.col("before")), f"edge_{name}_{at}")
+        fits = F.col("words") <= F.col("left")
+        last = F.lit(at == HASH_BITS) | (F.col("n") == 1) | fits
+        high = F.shiftleft(F.col("bucket") + fits.cast("long"), HASH_BITS - at)
+        found.append(edge.where(last).select("source", "low", high.alias("high"), "most", (F.col("left") - F.when(fits, F.col("words")).otherwise(0)).alias("rest")))
+        state = edge.where(~last).select("source", "left", "low", "most", F.col("bucket").alias("prefix"))
+        if state.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    known = out.select(F.col("source").alias("_at"))
+    whole = open_.join(known, F.col("source").eqNullSafe(F.col("_at")), "left_anti").join(totals, F.col("source").eqNullSafe(F.col("_of")), "left")
+    whole = whole.select("source", "low", F.lit(1 << HASH_BITS).alias("high"), "most", (F.col("left") - F.coalesce("total", F.lit(0))).alias("rest"))
+    return written(out.union(whole), f"threshold_{name}")
+
+
 def thresholds(rows: DataFrame, goal: DataFrame, n_sources: int) -> DataFrame:
-    """rows(source, size, hash), goal(source, source_size, target) -> goal with copies and limit.
+    """rows(source, size, hash), goal(source, source_size, target) -> goal with copies and rules.
 
-    Every document of the source is taken `copies` times, and once more if its hash is below limit.
+    Every document of the source is taken `copies` times, and once more if a rule (low, high, most) fits its
+    hash and size. The words taken differ from the target by at most half of the smallest document that is left
+    out and larger than that difference.
     """
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = goal.withColumn("copies", copies).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
-    goal = written(goal, "goal")
-    open_, done = goal.select("source", "left", F.lit(0).cast("long").alias("prefix")).where("left > 0"), []
-    for at in range(LEVEL_BITS, HASH_BITS + 1, LEVEL_BITS):
-        bucket = F.shiftrightunsigned("hash", HASH_BITS - at)
-        inside = _beside(rows.select("source", "size", "hash"), open_, n_sources).where(F.shiftrightunsigned("hash", HASH_BITS - at + LEVEL_BITS) == F.col("prefix"))
-        sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("left").alias("left"))
-        order = Window.partitionBy("source").orderBy("bucket")
-        sums = sums.withColumn("before", F.sum("words").over(order) - F.col("words"))
-        edge = sums.where("before < left and before + words >= left").select("source", "bucket", "n", "words", (F.col("left") - F.col("before")).alias("left"))
-        edge = written(edge, f"edge_{at}")
-        last = F.lit(at == HASH_BITS) | (F.col("n") == 1)
-        up = (F.col("left") * 2 >= F.col("words")).cast("long")
-        done.append(edge.where(last).select("source", F.shiftleft(F.col("bucket") + up, HASH_BITS - at).alias("limit")))
-        open_ = edge.where(~last).select("source", "left", F.col("bucket").alias("prefix"))
+    goal = written(goal.withColumn("copies", copies).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size")), "goal")
+    open_, rules = goal.where("left > 0").select("source", "left", F.lit(0).cast("long").alias("low"), F.lit(float("inf")).alias("most")), None
+    for k in range(ROUNDS):
+        found = _threshold(rows.select("source", "size", "hash"), open_, n_sources, str(k))
+        rules = found if rules is None else rules.union(found)
+        open_ = found.where(F.col("high") < 1 << HASH_BITS).where("rest >= 1").select("source", F.col("rest").alias("left"), F.col("high").alias("low"), F.col("rest").alias("most"))
         if open_.isEmpty():
             break
-    limits = done[0]
-    for more in done[1:]:
-        limits = limits.union(more)
-    limits = limits.withColumnRenamed("source", "_at")
-    return goal.join(limits, F.col("source").eqNullSafe(F.col("_at")), "left").select("source", "source_size", "target", "copies", F.coalesce("limit", F.lit(0).cast("long")).alias("limit"))
+    lists = written(rules.groupBy("source").agg(F.collect_list(F.struct("low", "high", "most")).alias("rules"), F.min("rest").alias("rest")), "rules")
+    beside = _beside(rows.select("source", "size", "hash"), lists.where("rest >= 1").withColumn("copies", F.lit(0)), n_sources)
+    near = beside.where((times() == 0) & (F.col("size") < 2 * F.col("rest")) & (F.col("size") > 0)).groupBy(F.col("source").alias("_at")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("rest")).alias("by"), "hash", "size")).alias("near"))
+    one = F.when(F.col("near").isNotNull(), F.array(F.struct(F.col("near.hash").alias("low"), (F.col("near.hash") + 1).alias("high"), F.col("near.size").cast("double").alias("most"))))
+    none = F.array().cast(lists.schema["rules"].dataType)
+    lists = lists.join(near, F.col("source").eqNullSafe(F.col("_at")), "left").select(F.col("source").alias("_at"), F.concat("rules", F.coalesce(one, none)).alias("rules"))
+    return goal.join(lists, F.col("source").eqNullSafe(F.col("_at")), "left").select("source", "source_size", "target", "copies", F.coalesce("rules", none).alias("rules"))
+
+
+def times():
+    """How often the mix takes a row that stands beside its source's copies and rules."""
+    fits = F.exists("rules", lambda r: (F.col("hash") >= r["low"]) & (F.col("hash") < r["high"]) & (F.col("size") <= r["most"]))
+    return F.col("copies") + fits.cast("long")
 
 
 def plan(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, int]:
@@ -102,8 +137,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     names = dict(zip(docs.columns, own.columns))
     rows = _sized(own.withColumnsRenamed({names[c]: c for c in ("doc_id", "text", "source")}))
     limits, n = plan(written(rows.select("source", "size", "hash"), "sizes"), weights, share, most)
-    times = F.col("copies") + (F.col("hash") < F.col("limit")).cast("long")
-    taken = _beside(rows, limits, n).withColumn("_time", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
+    taken = _beside(rows, limits, n).withColumn("_time", F.explode(F.array_repeat(F.lit(0), times().cast("int"))))
     return taken.select(*[F.col(c if c in ("doc_id", "text", "source") else names[c]).alias(c) for c in docs.columns])
 
 
@@ -112,5 +146,4 @@ def op5_mixture(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     rows = written(sized(docs).select("doc_id", "source", "size", "hash"), "sizes")
     limits, n = plan(rows)
-    taken = F.col("size") * (F.col("copies") + (F.col("hash") < F.col("limit")).cast("long"))
-    return _beside(rows, limits, n).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return _beside(rows, limits, n).select("doc_id", "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
