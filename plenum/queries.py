@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plenum.functions import dates, geo, markup, search, text
 from plenum.functions.stem import stems
 from plenum.operators import aggregates, joins, locate, scopes, sets, sync, tops
+from plenum.plans import index
 from plenum.plans.analogue import TODAY, council, raw, with_sql
 from plenum.session import ship
 from plenum.sources import records, sinks, streets
@@ -365,6 +366,11 @@ def search_all_terms(c, spark, sf_dir):
     return tops.found(c.documents, "Small, economy!").select("id", "rank")
 
 
+@query(_RANKED + " select id, rank from hits", "documents")
+def search_postings(c, spark, sf_dir):
+    return index.found(index.postings(c.documents), "Small, economy!")
+
+
 @query(_RANKED + " select id, rank, (select greatest(count(*) - 25, 0) from hits) as more from hits order by rank desc, id limit 25", "documents")
 def search_with_overflow(c, spark, sf_dir):
     hits = tops.found(c.documents, "small economy")
