@@ -26,12 +26,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.common import bodies, written
+from plenum.llm.words import HashTable, cut, hashes
 
 #: Words in the dictionary, classes of one word, groups of endings, endings, hashed weight rows.
 HOT, SINGLES, GROUPS, ENDINGS, HASH_BITS = 200_000, 31, 16, 4096, 15
@@ -44,10 +44,8 @@ SHARDS, ROUNDS, STEP, RATE = 256, 2, 8192, 0.25
 COUNTED = 8 << 20
 BLOCK = 256
 CLOSERS = b".,;:!?\"')"
-#: Bytes in lower case; which are white space, and which close a word. Words up to LONG bytes are hashed together.
-LOWER = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
-BLANK, CLOSING = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13]), np.isin(np.arange(256), list(CLOSERS))
-LONG = 256
+#: Bytes that close a word.
+CLOSING = np.isin(np.arange(256), list(CLOSERS))
 
 
 def ending(word: bytes) -> int:
@@ -70,35 +68,6 @@ def endings(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return ((key * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) * np.uint64(ENDINGS) >> np.uint64(32)).astype(np.int64)
 
 
-def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' bytes in lower case, one after another, with their words' starts and sizes, and words by text."""
-    low = LOWER[np.frombuffer(b"\n".join(texts) + b"\n" + bytes(8), np.uint8)]
-    blank = BLANK[low[:-8]]
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
-    edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
-    return low, starts, ends - starts, np.diff(np.searchsorted(starts, edges))
-
-
-def hashes(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, eight bytes at a time for all words that have them."""
-    eight = np.lib.stride_tricks.as_strided(low[: max(len(low) - 7, 1)].view(np.uint8), (len(low) - 7, 8), (1, 1))
-    out = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
-    open_ = np.flatnonzero(sizes <= LONG)
-    for at in range(0, LONG, 8):
-        if not len(open_):
-            break
-        word = np.ascontiguousarray(eight[starts[open_] + at]).view("<u8")[:, 0]
-        short = np.minimum(8 - np.minimum(sizes[open_] - at, 8), 7).astype(np.uint64) * np.uint64(8)
-        h = (out[open_] ^ (word << short)) * np.uint64(0xBF58476D1CE4E5B9)
-        out[open_] = h ^ h >> np.uint64(29)
-        open_ = open_[sizes[open_] > at + 8]
-    for k in np.flatnonzero(sizes > LONG).tolist():
-        out[k] = xxhash.xxh64_intdigest(low[starts[k] : starts[k] + sizes[k]].tobytes(), 1)
-    out *= np.uint64(0x94D049BB133111EB)
-    return out ^ out >> np.uint64(31)
-
-
 def counted(rows: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     """(doc_id, body) -> the table (word, c), the profile of each ending, and the number of texts.
 
@@ -170,49 +139,21 @@ class Vocabulary:
     log_class: np.ndarray
     share: np.ndarray
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """The hot words' hashes by slot, their numbers, and the bits of a slot: an open table, free slots -1."""
-        words = list(self.hot)
-        low, starts, sizes, _ = cut(words)
-        own = hashes(low, starts, sizes) if words else np.zeros(0, np.uint64)
-        bits = max(4, (4 * len(words)).bit_length())
-        held, number = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
-        left = np.arange(len(words))
-        slot = (own >> np.uint64(64 - bits)).astype(np.int64)
-        while len(left):
-            free = left[number[slot[left]] < 0]
-            number[slot[free]] = free
-            held[slot[free]] = own[free]
-            left = left[number[slot[left]] != left]
-            slot[left] = slot[left] + 1 & (1 << bits) - 1
-        return held, number, bits
-
 
 class Coder:
     """Texts as classes, codes and log10(count + 1) of their tokens. Hot words are known by their 64-bit hash."""
 
     def __init__(self, words: Vocabulary):
-        self.words = words
-        self.held, self.number, self.bits = words.table()
-
-    def hot(self, own: np.ndarray) -> np.ndarray:
-        """The numbers of the hot words among hashes, else -1."""
-        slot = (own >> np.uint64(64 - self.bits)).astype(np.int64)
-        out, open_ = np.full(len(own), -1, np.int64), np.arange(len(own))
-        while len(open_):
-            number = self.number[slot[open_]]
-            same = (self.held[slot[open_]] == own[open_]) & (number >= 0)
-            out[open_[same]] = number[same]
-            open_ = open_[~same & (number >= 0)]
-            slot[open_] = slot[open_] + 1 & (1 << self.bits) - 1
-        return out
+        self.words, names = words, list(words.hot)
+        self.hot = HashTable(max(4, (4 * len(names)).bit_length()))
+        self.hot.add(hashes(*cut(names)[:3]))
 
     def read(self, texts: list[bytes]):
         """(classes, code, logs, sizes, words): tokens of all texts, each text's last the end; logs are nan where a word is not
         hot; words is (buffer, starts, sizes, hashes, token) of those that are not."""
         low, starts, lengths, counts = cut(texts)
         own = hashes(low, starts, lengths)
-        hot, w = self.hot(own), self.words
+        hot, w = self.hot.find(own), self.words
         sizes = counts + 1
         place = np.arange(len(starts)) + np.repeat(np.arange(len(texts)), counts)
         n = int(sizes.sum())

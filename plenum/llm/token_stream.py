@@ -15,6 +15,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -28,14 +29,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plenum.llm.common import shared_dir, written
+from plenum.llm.words import HashTable, cut, hashes
 
 SEQUENCE, ROWS = 2048, 64
 #: Ids in a file, before the document that passes it.
 FILE_IDS = 4 << 20
-#: Words kept with their ids, the longest that are, and texts and words encoded at a time.
-CACHED_WORDS, CACHED_BYTES, TEXTS, WORDS = 600_000, 48, 1024, 1000
+#: Words kept with their ids and the longest that are, texts, bytes and words encoded at a time, and pieces kept.
+CACHED_WORDS, CACHED_BYTES, TEXTS, BYTES, WORDS, PIECES = 1_000_000, 48, 1024, 4 << 20, 1000, 150_000
 #: Stands between words that are encoded together; a text that has it is encoded whole.
 MARK = "\x01"
+SPACE = re.compile(rb"[ \t-\r]")
 
 #: A byte as the letter that stands for it in byte-level vocabularies: itself where printable, else one from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
@@ -49,22 +52,24 @@ class Encoder:
 
     Where the tokenizer drops white space before it looks at words, as `by_word` allows and a probe
     confirms, words between ASCII white space are remembered with their ids, up to CACHED_WORDS of them, in
-    the second half only those that are met again; unknown ones are encoded many at a time, a mark between,
-    or, where the vocabulary cuts words by one pattern, piece by piece by its model. A text that holds a special token's
-    string or the mark is encoded whole. When over a fifth of the words are unknown, memory starts anew.
+    the second half only those that are met again, and known by a 64-bit hash. Unknown ones are encoded many
+    at a time, a mark between, or, where the vocabulary cuts words by one pattern, piece by piece by its
+    model. A text that holds a special token's string or the mark is encoded whole. When memory is full and
+    over a fifth of the words are unknown, it starts anew.
     """
 
     def __init__(self, path: str, by_word: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.met = Tokenizer.from_file(path), {}, np.zeros(1 << 24, bool)
+        self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         probe = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.mark = probe(MARK)
         self.by_word = by_word and len(self.mark) == 1 and probe(f" a\n\tb {MARK} c\r ") == probe("a") + probe("b") + self.mark + probe("c")
         self.lower = probe("AZ") == probe("az")
-        self.pattern, self.pieces = self._cuts(), {}
+        self.pattern = self._cuts()
+        self._forget()
         self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()] + [MARK.encode()]
 
     @classmethod
@@ -74,6 +79,24 @@ class Encoder:
             _encoders[path, by_word] = cls(path, by_word)
         return _encoders[path, by_word]
 
+    def _forget(self) -> None:
+        self.known, self.pieces, self.met = HashTable((4 * CACHED_WORDS).bit_length() - 1), {}, np.zeros(1 << 24, bool)
+        self.ids, self.used = np.empty(1 << 20, self.dtype), 0
+        self.start, self.size = np.zeros(CACHED_WORDS, np.int64), np.zeros(CACHED_WORDS, np.int64)
+
+    def _remember(self, own: np.ndarray, found: list[np.ndarray]) -> None:
+        """Keep the ids of words by their hash."""
+        if not len(own):
+            return
+        sizes, at = np.fromiter(map(len, found), np.int64, len(found)), self.known.size
+        total = int(sizes.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + total] = np.concatenate(found)
+        self.start[at : at + len(own)], self.size[at : at + len(own)] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.known.add(own)
+        self.used += total
+
     def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
         return [np.array(x.ids, self.dtype) for x in found]
@@ -107,7 +130,7 @@ class Encoder:
                 found = get(piece)
                 if found is None:
                     found = self._piece(piece)
-                    if len(self.pieces) < CACHED_WORDS // 4 and len(piece) < CACHED_BYTES:
+                    if len(self.pieces) < PIECES and len(piece) < CACHED_BYTES:
                         self.pieces[piece] = found
                 ids.append(found)
             out[word] = ids[0] if len(ids) == 1 else b"".join(ids)
@@ -129,32 +152,59 @@ class Encoder:
         """The ids of each text."""
         if not self.by_word:
             return [x.tobytes() for x in self._whole(bodies)]
-        low = [x.lower() for x in bodies]
-        whole = [k for k, x in enumerate(low) if any(t in x for t in self.special)]
-        split = [x.split() for x in (low if self.lower else bodies)]
-        for k in whole:
-            split[k] = []
-        held = [list(map(self.known.get, ws)) for ws in split]
-        gaps = [[k for k, x in enumerate(ids) if x is None] if None in ids else () for ids in held]
-        new = list({ws[k] for ws, at in zip(split, gaps) for k in at})
-        found = self._new(new)
-        for ws, ids, at in zip(split, held, gaps):
-            for k in at:
-                ids[k] = found[ws[k]]
-        out = list(map(b"".join, held))
-        if len(new) * 5 > sum(map(len, split)) and len(self.known) >= CACHED_WORDS // 2:
-            self.known, self.pieces, self.met[:] = {}, {}, False
-        keep = np.array([len(w) <= CACHED_BYTES for w in new], bool)
-        if len(self.known) > CACHED_WORDS // 2:
-            place = np.fromiter(map(hash, new), np.int64, len(new)) & len(self.met) - 1
-            keep &= self.met[place]
-            self.met[place] = True
-        keep[np.cumsum(keep) > CACHED_WORDS - len(self.known)] = False
-        self.known.update((w, found[w]) for w, k in zip(new, keep.tolist()) if k)
-        for k, ids in zip(whole, self._whole([bodies[k] for k in whole])):
-            out[k] = ids.tobytes()
+        out, held, start = [], 0, 0
+        for k, body in enumerate(bodies):
+            if held and held + len(body) > BYTES:
+                out += self._some(bodies[start:k])
+                held, start = 0, k
+            held += len(body)
+        return out + (self._some(bodies[start:]) if start < len(bodies) else [])
+
+    def _some(self, bodies: list[bytes]) -> list[bytes]:
+        if len(bodies) == 1 and len(bodies[0]) > 2 * BYTES and not self._special(bodies[0].lower()) and len(pieces := list(parts(bodies[0], BYTES))) > 1:
+            return [b"".join(x for part in pieces for x in self._some([part]))]
+        whole = [k for k, x in enumerate(bodies) if self._special(x.lower())] if self._special(b"\n".join(bodies).lower()) else []
+        low, starts, sizes, counts = cut([b"" if k in whole else x for k, x in enumerate(bodies)] if whole else bodies, self.lower)
+        text, own = low.tobytes(), hashes(low, starts, sizes)
+        number = self.known.find(own)
+        gaps = np.flatnonzero(number < 0)
+        new, first, place = np.unique(own[gaps], return_index=True, return_inverse=True)
+        words = [text[a : a + n] for a, n in zip(starts[gaps[first]].tolist(), sizes[gaps[first]].tolist())]
+        encoded = self._new(words)
+        found = [np.frombuffer(encoded[w], self.dtype) for w in words]
+        more = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.concatenate([self.ids[: self.used], *found])
+        at, length = self.start[number], self.size[number]
+        at[gaps], length[gaps] = (self.used + np.cumsum(more) - more)[place], more[place]
+        edges = np.concatenate([[0], np.cumsum(length)])
+        flat = ids[np.repeat(at - edges[:-1], length) + np.arange(edges[-1])]
+        ends = edges[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        out = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+        for k, x in zip(whole, self._whole([bodies[k] for k in whole])):
+            out[k] = x.tobytes()
+        if len(new) * 5 > len(own) and self.known.size >= CACHED_WORDS // 2:
+            self._forget()
+        keep = sizes[gaps[first]] <= CACHED_BYTES
+        if self.known.size > CACHED_WORDS // 2:
+            slot = (new & np.uint64(len(self.met) - 1)).astype(np.int64)
+            keep &= self.met[slot]
+            self.met[slot] = True
+        keep[np.cumsum(keep) > CACHED_WORDS - self.known.size] = False
+        self._remember(new[keep], [found[k] for k in np.flatnonzero(keep).tolist()])
         return out
 
+    def _special(self, text: bytes) -> bool:
+        return any(t in text for t in self.special)
+
+
+def parts(body: bytes, most: int) -> Iterator[bytes]:
+    """A text in pieces of about `most` bytes, cut at ASCII white space."""
+    at = 0
+    while at < len(body):
+        end = SPACE.search(body, at + most)
+        yield body[at : end.start() if end else len(body)]
+        at = end.start() if end else len(body)
+
 
 def _fixed(values: np.ndarray, width: int) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(values), width)
