@@ -109,19 +109,21 @@ def found(documents: DataFrame, query: str, attachments: DataFrame | None = None
     """
     if order not in ("relevance", "date"):
         raise ValueError(f"no such order: {order}")
-    wanted, parts = search.terms(query), {"A": "title", "B": "full_text"}
-    rows = documents
-    if attachments is not None:
-        rows, parts = joins.with_attachments(documents, attachments), parts | {"C": "attachment_content"}
+    wanted = search.terms(query)
     if stem is not None and wanted:
         from plenum.functions.stem import stem as one
 
         wanted = list(dict.fromkeys(one(t) for t in wanted))
-    v = search.vector(stem, **parts)
-    hits = rows.withColumn("_v", v).where(search.matches(F.col("_v"), wanted)).withColumn("rank", search.rank(F.col("_v"), wanted))
+    own = search.vector(stem, A="title", B="full_text")
+    if attachments is None:
+        hits = documents.withColumn("_v", own)
+    else:
+        # each text is cut into terms once, before attachments multiply the rows
+        held = attachments.where("attachable_type = 'Document'").select(F.col("attachable_id").alias("id"), search.vector(stem, C="content").alias("_c"))
+        both = documents.select("id", own.alias("_d")).where("_d is not null").join(held, "id", "left")
+        hits = both.select("id", F.when(F.col("_c").isNull(), F.col("_d")).otherwise(F.concat("_d", "_c")).alias("_v"))
+    hits = hits.where(search.matches(F.col("_v"), wanted)).withColumn("rank", search.rank(F.col("_v"), wanted)).drop("_v")
     if attachments is not None:
-        best = hits.groupBy("id").agg(F.max("rank").alias("rank"))
-        hits = documents.join(best, "id")
-    hits = hits.drop("_v")
+        hits = documents.join(hits.groupBy("id").agg(F.max("rank").alias("rank")), "id")
     first = F.col("rank").desc() if order == "relevance" else F.col("number").desc_nulls_last()
     return hits.orderBy(first, "id")
