@@ -563,12 +563,17 @@ def html_strip(c, spark, sf_dir):
     return rows.select("page_id", markup.page_title("html").alias("title"), F.length(markup.page_text("html")).alias("n"))
 
 
+@query(r"""select page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) as title from pages""")
+def page_titles(c, spark, sf_dir):
+    return raw(spark, sf_dir, "pages").select("page_id", markup.page_title("html").alias("title"))
+
+
 @query(r"select page_id, nullif(regexp_extract(url, 'page=(\d+)', 1), '') as number, contains(html, 'noauth.asp') as closed from pages")
 def href_ids(c, spark, sf_dir):
     return raw(spark, sf_dir, "pages").select("page_id", text.capture_id("url", "page").alias("number"), text.has_marker("html", "noauth.asp", "Object moved").alias("closed"))
 
 
-@query()
+@query("""select page_id, cast(unnest(range(len(h))) as integer) as place, unnest(h) as href from (select page_id, list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: replace(x, '&amp;', '&')) as h from pages)""")
 def page_links(c, spark, sf_dir):
     return raw(spark, sf_dir, "pages").select("page_id", F.posexplode(markup.hrefs("html")).alias("place", "href"))
 
@@ -578,7 +583,15 @@ def document_json(c, spark, sf_dir):
     return sinks.document_json(c.documents, c.districts, c.agenda_items, c.meetings)
 
 
-@query()
+@query(
+    """, rows as (select d.* from documents d join districts s on s.id = d.district_id where number >= first_number),
+    m as (select date_trunc('month', date)::date as month, kind from rows d join agenda_items i on i.document_id = d.id join meetings m on m.id = i.meeting_id),
+    s as (select 'months' as source, month, count(*) as n from m group by all union all select 'proposals', month, count(*) from m where kind ilike '%antrag%' group by all),
+    spine as (select source, cast(unnest(generate_series(min(month)::timestamp, max(month)::timestamp, interval 1 month)) as date) as month from s group by source)
+    select 'total' as source, count(*) as n, null::date as month, null::bigint as n_appearances from rows
+    union all select p.source, null, p.month, coalesce(n, 0) from spine p left join s on s.source = p.source and s.month = p.month""",
+    "documents", "districts", "agenda_items", "meetings",
+)
 def statistics_page(c, spark, sf_dir):
     found = c.statistics(PARTIES)
     return sets.stacked(**{k: v for k, v in found.items() if k != "parties"})
