@@ -10,23 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plenum.llm import decontaminate, mixture, preference, simhash, token_stream
-from plenum.llm.common import shared_dir
-from plenum.session import ship
+from plenum.llm.common import prepared, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that score at least the threshold."""
-    return preference.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return preference.keep(docs, prepared(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
+    prepared(spark)
     return simhash.keep_one(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a window of the benchmark."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean(docs, prepared(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document in the token files."""
+    prepared(spark)
     return token_stream.token_rows(docs)
 
 
@@ -53,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    ship(spark)
+    prepared(spark)
     docs, base = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}_{name}"

@@ -11,6 +11,21 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenum.session import ship
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with this package on its executors, and with Arrow batches of at most 8 MB unless it sets another size.
+
+    A batch stands in memory several times, in the JVM, on the way and in Python; tasks need no larger ones.
+    """
+    if spark.conf.get(BATCH_BYTES) in ("67108864b", "64MB"):
+        spark.conf.set(BATCH_BYTES, "8MB")
+    return ship(spark)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.

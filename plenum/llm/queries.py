@@ -7,7 +7,7 @@ import importlib
 import pkgutil
 
 import plenum.llm
-from plenum.session import ship
+from plenum.llm.common import prepared
 
 
 def _modules():
@@ -25,7 +25,7 @@ def queries() -> dict:
 def _shipping(query):
     @functools.wraps(query)
     def run(spark, sf_dir):
-        return query(ship(spark), sf_dir)
+        return query(prepared(spark), sf_dir)
 
     return run
 
