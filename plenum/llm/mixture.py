@@ -61,22 +61,23 @@ def _beside(rows: DataFrame, small: DataFrame, n: int, on: str = "source") -> Da
 def _threshold(rows: DataFrame, open_: DataFrame, n_sources: int, name: str) -> DataFrame:
     """open_(source, left, low, most) with high and rest: documents of hashes from low to high and at most `most` words fill
     left but for rest, and the next one would be too much. With too few such documents high is above all hashes.
+    Sources without any such document are left out. Each level is one small table: a row for each open source.
     """
-    found, totals, state, at = [], None, open_.select("source", "left", "low", "most", F.lit(0).cast("long").alias("prefix")), 0
+    found, state, at = [], open_.select("source", "left", "low", "most", F.lit(0).cast("long").alias("prefix")), 0
     while at < HASH_BITS:
         at += LEVEL_BITS
         bucket = F.shiftrightunsigned("hash", HASH_BITS - at)
         here = F.shiftrightunsigned("hash", HASH_BITS - at + LEVEL_BITS) == F.col("prefix")
-        inside = _beside(rows, state, n_sources).where(here & (F.col("hash") >= F.col("low")) & (F.col("size") <= F.col("most")))
+        inside = _beside(rows, state, n_sources).where(here & (F.col("hash") >= F.col("low")) & (F.col("size") <= F.col("most")) & (F.col("size") > 0))
         sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("left", "low", "most")])
-        if totals is None:
-            sums = written(sums, f"sums_{name}")
-            totals = sums.groupBy(F.col("source").alias("_of")).agg(F.sum("words").alias("total"))
-        sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
-        edge = written(sums.where("before < left and before + words >= left").withColumn("left", F.col("left") - F.col("before")), f"edge_{name}_{at}")
+        own = Window.partitionBy("source")
+        sums = sums.withColumn("before", F.sum("words").over(own.orderBy("bucket")) - F.col("words")).withColumn("few", F.sum("words").over(own) < F.col("left"))
+        end = F.col("before") + F.col("words")
+        edge = sums.withColumn("top", F.max("bucket").over(own)).where(F.when(F.col("few"), F.col("bucket") == F.col("top")).otherwise((F.col("before") < F.col("left")) & (end >= F.col("left"))))
+        edge = written(edge.withColumn("left", F.col("left") - F.col("before")), f"edge_{name}_{at}")
         fits = F.col("words") <= F.col("left")
         last = F.lit(at == HASH_BITS) | (F.col("n") == 1) | fits
-        high = F.shiftleft(F.col("bucket") + fits.cast("long"), HASH_BITS - at)
+        high = F.when(F.col("few"), F.lit(1 << HASH_BITS)).otherwise(F.shiftleft(F.col("bucket") + fits.cast("long"), HASH_BITS - at))
         found.append(edge.where(last).select("source", "low", high.alias("high"), "most", (F.col("left") - F.when(fits, F.col("words")).otherwise(0)).alias("rest")))
         state = edge.where(~last).select("source", "left", "low", "most", F.col("bucket").alias("prefix"))
         if state.isEmpty():
@@ -84,10 +85,7 @@ def _threshold(rows: DataFrame, open_: DataFrame, n_sources: int, name: str) ->
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    known = out.select(F.col("source").alias("_at"))
-    whole = open_.join(known, F.col("source").eqNullSafe(F.col("_at")), "left_anti").join(totals, F.col("source").eqNullSafe(F.col("_of")), "left")
-    whole = whole.select("source", "low", F.lit(1 << HASH_BITS).alias("high"), "most", (F.col("left") - F.coalesce("total", F.lit(0))).alias("rest"))
-    return written(out.union(whole), f"threshold_{name}")
+    return out
 
 
 def thresholds(rows: DataFrame, goal: DataFrame, n_sources: int) -> DataFrame:
