@@ -40,11 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/plenum-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: a cut in the lineage that outlives executors."""
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: a cut in the lineage that outlives executors.
+
+    With compact its rows are dealt to files of the advisory size first, for slim tables that would else be as
+    many small files as the scan had tasks.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,7 @@ SEQUENCE, ROWS = 2048, 64
 #: Ids in a file, before the document that passes it.
 FILE_IDS = 4 << 20
 #: Words kept with their ids and the longest that are, texts, bytes and words encoded at a time, and pieces kept.
-CACHED_WORDS, CACHED_BYTES, TEXTS, BYTES, WORDS, PIECES = 1_000_000, 48, 1024, 4 << 20, 1000, 150_000
+CACHED_WORDS, CACHED_BYTES, TEXTS, BYTES, WORDS, PIECES = 1_000_000, 48, 1024, 1 << 20, 1000, 60_000
 #: Stands between words that are encoded together; a text that has it is encoded whole.
 MARK = "\x01"
 SPACE = re.compile(rb"[ \t-\r]")
@@ -80,7 +80,7 @@ class Encoder:
         return _encoders[path, by_word]
 
     def _forget(self) -> None:
-        self.known, self.pieces, self.met = HashTable((4 * CACHED_WORDS).bit_length() - 1), {}, np.zeros(1 << 24, bool)
+        self.known, self.pieces, self.met = HashTable((4 * CACHED_WORDS).bit_length() - 1), {}, np.zeros(1 << 23, bool)
         self.ids, self.used = np.empty(1 << 20, self.dtype), 0
         self.start, self.size = np.zeros(CACHED_WORDS, np.int64), np.zeros(CACHED_WORDS, np.int64)
 
@@ -210,7 +210,7 @@ def _fixed(values: np.ndarray, width: int) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(values), width)
 
 
-def stream(docs: list[tuple], ids: np.ndarray, shard: tuple[int, int], key: pa.DataType, sequence: int = SEQUENCE, rows: int = ROWS) -> bytes:
+def stream(docs: list[tuple], ids: np.ndarray, shard: tuple[int, int], key: pa.DataType, sequence: int = SEQUENCE, rows: int = ROWS) -> pa.Buffer:
     """One file: docs is (doc_id, start, n_tokens) of each document, ids all their ids."""
     n = -(-len(ids) // sequence) * sequence
     padded, mask = np.zeros(n, ids.dtype), np.zeros(n, bool)
@@ -222,7 +222,7 @@ def stream(docs: list[tuple], ids: np.ndarray, shard: tuple[int, int], key: pa.D
     kind = pa.from_numpy_dtype(ids.dtype)
     about = {"docs": inner.getvalue(), "n_ids": str(len(ids)), "part": str(shard[0]), "file": str(shard[1]), "sequence": str(sequence), "rows": str(rows)}
     schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))], metadata=about)
-    out = io.BytesIO()
+    out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, schema) as w:
         for at in range(0, n, sequence * rows):
             w.write_batch(pa.RecordBatch.from_arrays([_fixed(x[at : at + sequence * rows], sequence) for x in (padded, mask)], schema=schema))
@@ -285,7 +285,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int = 2, by_wor
 
         def flush():
             ids = np.frombuffer(b"".join(held), encoder.dtype)
-            return pa.RecordBatch.from_arrays([pa.array([stream(index, ids, (part, file), key, sequence, rows)], pa.binary())], ["value"])
+            one = stream(index, ids, (part, file), key, sequence, rows)
+            value = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(one)], np.int32)), one])
+            return pa.RecordBatch.from_arrays([value], ["value"])
 
         for batch in batches:
             key = batch.schema.field("doc_id").type
@@ -298,8 +300,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int = 2, by_wor
                     if n >= file_ids:
                         yield flush()
                         held, index, n, file = [], [], 0, file + 1
+                        pa.default_memory_pool().release_unused()
         if index:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     ranged.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(out)
 
@@ -319,7 +323,7 @@ def read_documents(spark: SparkSession, out: str, key: str = "bigint") -> DataFr
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("content")
     rows = files.mapInArrow(run, f"doc_id {key}, start long, n_tokens long, ids_crc32 long, part long, file long, n_ids long")
-    rows = written(rows, "tokens")
+    rows = written(rows, "tokens", compact=True)
     before = F.sum("n_ids").over(Window.orderBy("part", "file")) - F.col("n_ids")
     bases = rows.groupBy("part", "file").agg(F.first("n_ids").alias("n_ids")).select("part", "file", before.alias("base"))
     return rows.join(bases, ["part", "file"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
