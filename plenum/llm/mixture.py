@@ -134,7 +134,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
     names = dict(zip(docs.columns, own.columns))
     rows = _sized(own.withColumnsRenamed({names[c]: c for c in ("doc_id", "text", "source")}))
-    limits, n = plan(written(rows.select("source", "size", "hash"), "sizes"), weights, share, most)
+    limits, n = plan(written(rows.select("source", "size", "hash"), "sizes", compact=True), weights, share, most)
     taken = _beside(rows, limits, n).withColumn("_time", F.explode(F.array_repeat(F.lit(0), times().cast("int"))))
     return taken.select(*[F.col(c if c in ("doc_id", "text", "source") else names[c]).alias(c) for c in docs.columns])
 
@@ -142,6 +142,6 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
 def op5_mixture(spark, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words that the mix takes of it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    rows = written(sized(docs).select("doc_id", "source", "size", "hash"), "sizes")
+    rows = written(sized(docs).select("doc_id", "source", "size", "hash"), "sizes", compact=True)
     limits, n = plan(rows)
     return _beside(rows, limits, n).select("doc_id", "size", "source_size", "target", (F.col("size") * times()).alias("taken"))

@@ -67,7 +67,7 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     different texts are told apart by a hash of the text.
     """
     marked = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("doc_id"), "text")
-    found = classes(written(fingerprints(marked), "prints"), radius).select("doc_id.doc_id", "doc_id.h", F.col("component_id.doc_id").alias("c_id"), F.col("component_id.h").alias("c_h"))
+    found = classes(written(fingerprints(marked), "prints", compact=True), radius).select("doc_id.doc_id", "doc_id.h", F.col("component_id.doc_id").alias("c_id"), F.col("component_id.h").alias("c_h"))
     found = written(found.where("doc_id is not null"), "classes")
     gone = found.where("doc_id <> c_id or h <> c_h").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
@@ -235,5 +235,5 @@ def classes(prints: DataFrame, radius: int = 3, blocks: int = 5, chunk: int = 40
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint in hexadecimal and its component."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    prints = written(fingerprints(docs), "prints")
+    prints = written(fingerprints(docs), "prints", compact=True)
     return classes(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
