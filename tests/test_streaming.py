@@ -1,4 +1,5 @@
 import datetime
+import os
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ def events(spark):
 def test_stream_is_batch(spark, tmp_path):
     base = str(tmp_path)
     events(spark).repartitionByRange(3, "ts").write.parquet(f"{base}/in")
+    for k, part in enumerate(sorted((tmp_path / "in").glob("part-*"))):
+        os.utime(part, (1_700_000_000 + 60 * k,) * 2)  # files are read in order of their time
     stream = throttle.stream(throttle.read_events(spark, f"{base}/in", SCHEMA), limit=2, late="1 hour")
     throttle.run(stream, f"{base}/out", f"{base}/check")
     expected = throttle.windows(events(spark), limit=2).withColumn("window_start", F.col("window_start").cast("timestamp"))
