@@ -553,7 +553,7 @@ def heterogeneous_union(c, spark, sf_dir):
     "districts", "documents", "committees",
 )
 def sitemap_union(c, spark, sf_dir):
-    rows = sinks.sitemap("https://x.test", c.districts, c.documents, c.meetings.limit(0), c.committees)
+    rows = sinks.sitemap("https://x.test", c.districts, c.documents, c.meetings, c.committees)
     return rows.withColumn("priority", F.col("priority").cast("decimal(2,1)"))
 
 
