@@ -543,7 +543,7 @@ def derived_word_count(c, spark, sf_dir):
 
 @query("select 'a' as source, cast(r_regionkey as bigint) as id, r_name as name, null::varchar as title from region union all select 'b', o_orderkey, null, o_orderpriority from orders where o_orderkey < 50")
 def heterogeneous_union(c, spark, sf_dir):
-    return sets.stacked(a=c.parties.select("id", "name"), b=c.meetings.where("id < 50").select("id", F.col("room").alias("title")))
+    return sets.stacked(a=c.parties.select("id", "name"), b=c.meetings.select("id", F.col("room").alias("title")))
 
 
 @query(
@@ -778,7 +778,7 @@ def paper_pages(c, spark, sf_dir):
 @query("select l_orderkey as id, 'Ö ' || l_linenumber || '-' || l_suppkey as number, cast(l_suppkey as integer) as ext_id, 'Punkt ' || l_quantity::integer as title, cast(l_partkey as integer) as document_ext_id from lineitem where l_orderkey % 10 = 1")
 def agenda_pages(c, spark, sf_dir):
     line = F.format_string('<tr class="zl12"><td><input name="TOLFDNR" value="%d"></td><td class="text4">Ö %d-%d</td><td nowrap="nowrap"><a href="a">a</a><a href="vo020.asp?VOLFDNR=%d">b</a></td><td>Punkt %d</td></tr>', "l_suppkey", "l_linenumber", "l_suppkey", "l_partkey", F.col("l_quantity").cast("int"))
-    pages = raw(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1").groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(F.lit('<h1>Tagesordnung - x</h1><table class="risdeco">'), F.array_join(F.collect_list(line), "\n"), F.lit("</table>")).alias("source"))
+    pages = raw(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(F.lit('<h1>Tagesordnung - x</h1><table class="risdeco">'), F.array_join(F.collect_list(line), "\n"), F.lit("</table>")).alias("source"))
     return records.parsed(pages, "agenda").drop("row")
 
 
@@ -797,7 +797,7 @@ def json_rows(c, spark, sf_dir):
 
 @query("select meeting_id, i.number, i.title, d.number as document, case when d.id is not null then concat_ws('-', '/documents/' || regexp_replace(lower(d.title), '[^a-z0-9_-]+', '-', 'g'), case when d.title is null then '/documents/' || d.id else d.id::varchar end) end as url from agenda_items i left join documents d on d.id = document_id and d.title is not null where i.meeting_id % 20 = 0", "agenda_items", "documents")
 def agenda_sheet(c, spark, sf_dir):
-    return sinks.agenda_rows(c.agenda_items.where("meeting_id % 20 = 0"), scopes.complete(c.documents), "")
+    return sinks.agenda_rows(c.agenda_items, scopes.complete(c.documents), "")
 
 
 @query("select p_partkey as id, case when p_size >= 20 and p_size % 2 = 0 then regexp_replace(p_brand, '[^0-9A-Za-z -]', '', 'g') else '' end as names from part")
