@@ -127,34 +127,38 @@ def parsed(messages: DataFrame, schemas: dict = SCHEMAS, exchange: bool = True)
     return rows.mapInArrow(run, f"{own}, part int, kind string, call_id string, after array<string>, problems string, json string")
 
 
-def ordered(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def ordered(calls: DataFrame) -> DataFrame:
     """Distinct calls (conv_id, call_id, turn, after) -> (conv_id, call_id, order_turn, level).
 
     A call comes after those that it names: its order_turn is the largest turn of itself and all before it,
     its level the longest way to it. Ids that are no call of the conversation are ignored. Calls on a cycle,
-    or behind one, have null. A round settles the calls whose predecessors are settled.
+    or behind one, have null. Each round replaces an edge to a call that has at most one open edge left by
+    that call's own, the way's length added, so a chain takes a logarithmic number of rounds; rounds go on
+    until no edge can be replaced. Calls that all come after two or more others each settle one level a
+    round. A way longer than there are calls holds a cycle, and its edge is never replaced again.
     """
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("before"))
-    known = calls.select("conv_id", F.col("call_id").alias("before"))
-    edges = written(edges.join(known, ["conv_id", "before"]), "after")
+    key = ["conv_id", "call_id"]
+    edges = calls.select(*key, F.explode(F.array_distinct("after")).alias("before"), F.lit(1).cast("long").alias("way"))
+    edges = written(edges.join(calls.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"]).select(*key, "before", "way"), "after")
     if edges.isEmpty():
-        return calls.select("conv_id", "call_id", F.col("turn").alias("order_turn"), F.lit(0).alias("level"))
-    open_ = written(calls.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_semi").select("conv_id", "call_id", "turn"), "open")
-    settled = written(calls.join(open_, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.col("turn").alias("order_turn"), F.lit(0).alias("level")), "settled")
-    every = settled
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
-        seen = edges.join(every.select("conv_id", F.col("call_id").alias("before"), "order_turn", "level"), ["conv_id", "before"], "left")
-        state = seen.groupBy("conv_id", "call_id").agg(F.bool_and(F.col("level").isNotNull()).alias("all"), F.max("order_turn").alias("t"), (F.max("level") + 1).alias("level")).where("all")
-        ready = open_.join(state, ["conv_id", "call_id"]).select("conv_id", "call_id", F.greatest("turn", "t").alias("order_turn"), "level")
-        settled = written(ready, "settled")
-        if settled.isEmpty():
+        return calls.select(*key, F.col("turn").alias("order_turn"), F.lit(0).alias("level"))
+    most = edges.select(*key).distinct().count() + 1
+    nodes = written(calls.select(*key, F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("level")), "places")
+    while True:
+        open_ = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("before").alias("next"), F.max("way").alias("step"))
+        short = nodes.join(open_, key, "left").where("n is null or n = 1 and next <> call_id").where(F.coalesce("step", F.lit(0)) <= most)
+        short = short.select("conv_id", F.col("call_id").alias("before"), "order_turn", "level", "next", "step", F.lit(True).alias("is_short"))
+        seen = written(edges.join(short, ["conv_id", "before"], "left").withColumn("is_short", F.col("is_short").isNotNull() & (F.col("way") <= most)), "seen")
+        passed = seen.where("is_short")
+        if passed.isEmpty():
             break
-        every = written(every.union(settled), "every")
-        open_ = written(open_.join(settled, ["conv_id", "call_id"], "left_anti"), "open")
-    none = open_.select("conv_id", "call_id", F.lit(None).cast(calls.schema["turn"].dataType).alias("order_turn"), F.lit(None).cast("int").alias("level"))
-    return every.union(none)
+        gained = passed.groupBy(*key).agg(F.max("order_turn").alias("t"), F.max(F.col("way") + F.col("level")).alias("l"))
+        nodes = written(nodes.join(gained, key, "left").select(*key, F.greatest("order_turn", "t").alias("order_turn"), F.greatest("level", "l").alias("level")), "places")
+        further = passed.where("next is not null").select(*key, F.col("next").alias("before"), (F.col("way") + F.col("step")).alias("way"))
+        edges = written(seen.where("not is_short").select(*key, "before", "way").union(further).groupBy(*key, "before").agg(F.max("way").alias("way")), "after")
+    stuck = edges.select(*key).distinct().withColumn("stuck", F.lit(True))
+    known = F.col("stuck").isNull()
+    return nodes.join(stuck, key, "left").select(*key, F.when(known, F.col("order_turn")).alias("order_turn"), F.when(known, F.col("level").cast("int")).alias("level"))
 
 
 def linked(messages: DataFrame, schemas: dict = SCHEMAS, exchange: bool = True) -> DataFrame:

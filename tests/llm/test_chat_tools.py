@@ -56,3 +56,16 @@ def test_schemas(value, schema, expected):
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_as_sql(spark):
     same(C.op4_chat_tools(spark, str(DATA)), C.ORACLE["op4_chat_tools"], connection())
+
+
+def test_long_chains_are_no_cycles(frame, spark):
+    n = 1200
+    schema = "conv_id long, call_id string, turn long, after array<string>"
+    chain = [(1, f"c{k}", n - k, [f"c{k - 1}"] if k else []) for k in range(n)]
+    cycle = [(2, f"c{k}", k, [f"c{(k + 1) % 5}"]) for k in range(5)] + [(2, "behind", 9, ["c0"]), (2, "free", 9, [])]
+    wide = [(3, f"c{k}", k, [f"c{j}" for j in range(max(0, k - 2), k)]) for k in range(6)] + [(3, "x", 0, ["c5", "c1", "c1", "none"])]
+    found = {(r["conv_id"], r["call_id"]): (r["order_turn"], r["level"]) for r in C.ordered(spark.createDataFrame(chain + cycle + wide, schema)).collect()}
+    assert len(found) == len(chain + cycle + wide)
+    assert all(found[1, f"c{k}"] == (n, k) for k in range(n))
+    assert {k[1]: x for k, x in found.items() if k[0] == 2} == {**{f"c{k}": (None, None) for k in range(5)}, "behind": (None, None), "free": (9, 0)}
+    assert {k[1]: x for k, x in found.items() if k[0] == 3} == {**{f"c{k}": (k, k) for k in range(6)}, "x": (5, 6)}
