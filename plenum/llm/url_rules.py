@@ -8,6 +8,11 @@ one with an explicitly allowed url is not, and a page with a rule of its own alw
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,22 +64,80 @@ def node(url="url"):
 
 _CANONICAL = r"""(?is)<link\s[^>]*rel\s*=\s*["']?canonical["']?[^>]*>"""
 _REFRESH = r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["']?[^>]*>"""
+_BASE = r"""(?is)<base\s[^>]*href\s*=[^>]*>"""
+_HREF, _CONTENT = (re.compile(rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""") for name in ("href", "content"))
+_WAIT = re.compile(r"(?is)\s*(?:[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?|url\s*=\s*)(.*)")
+_PARTS = re.compile(r"(?s)\s*([^/?#]*:)//([^/?#]*)([^?#]*)(\?[^#]*)?")
+
+
+def _value(tag: str, name: re.Pattern) -> str:
+    """An attribute's value, its character references replaced, without blanks around it and line ends in it."""
+    found = name.search(tag)
+    return re.sub(r"[\t\r\n]", "", unescape(next(x for x in found.groups() if x is not None)).strip()) if found else ""
+
+
+def _target(tag: str) -> str:
+    """Where a canonical link or a meta refresh leads, as written."""
+    if tag[1:5].lower() == "link":
+        return _value(tag, _HREF)
+    found = _WAIT.match(_value(tag, _CONTENT))
+    to = found[1].strip() if found else ""
+    return to[1:].split(to[0])[0].strip() if to[:1] in ("'", '"') else to
+
+
+def _plain_path(path: str) -> str:
+    """A path that starts with / without its . and .. steps."""
+    out, steps = [], path.split("/")[1:]
+    for k, step in enumerate(steps):
+        if step == "..":
+            out = out[:-1]
+        elif step != ".":
+            out.append(step)
+        if step in (".", "..") and k == len(steps) - 1:
+            out.append("")
+    return "/" + "/".join(out)
+
+
+def resolved(base: str | None, to: str) -> str | None:
+    """A target as seen from the address base: whole, or from its scheme, host, directory or path; null if base is no address."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", to):
+        return to
+    parts = _PARTS.match(base or "")
+    if not parts:
+        return None
+    scheme, host, path, query = parts.groups(default="")
+    if to.startswith("//"):
+        return scheme + to
+    own, rest = re.match(r"(?s)([^?#]*)(.*)", to).groups()
+    if own:
+        path = _plain_path(own if own.startswith("/") else (path[: path.rfind("/") + 1] or "/") + own)
+    elif not rest.startswith("?"):
+        rest = query + rest
+    return f"{scheme}//{host}{path}{rest}"
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(u, v): every page's url and the targets of its canonical link and its meta redirect.
 
-    Targets that start with / or // are taken from the page's host or scheme; others without :// are left
-    out, like pages without a url. Only pages that name either kind of link at all are parsed.
+    Character references in targets are replaced, and relative targets of each form are resolved against the
+    page's base element or url. Targets of schemes without :// are left out, like pages without a url. Only
+    pages that name either kind of link at all are parsed, and only their tags go to Python.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for u, url, base, tags in zip(*(batch.column(c).to_pylist() for c in ("u", "url", "base", "tags"))):
+                above = resolved(url, _value(base, _HREF)) if base else url
+                rows.extend((u, resolved(above, to)) for to in map(_target, tags) if to)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], ["u", "to"])
+
     low = F.lower("html")
-    named = pages.where(low.contains("canonical") | low.contains("refresh"))
-    href = F.transform(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, r"""(?is)href\s*=\s*["']?([^"'\s>]+)""", 1))
-    to = F.transform(F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, r"""(?is)url\s*=\s*["']?([^"'\s>;]+)""", 1))
-    found = named.select("url", node().alias("u"), F.explode(F.concat(href, to)).alias("to"))
-    scheme, head = F.regexp_extract("url", r"(?s)^\s*([^/?#]*:)//", 1), F.regexp_extract("url", r"(?s)^\s*([^/?#]*://[^/?#]*)", 1)
-    whole = F.when(F.startswith(F.col("to"), F.lit("//")), F.concat(scheme, "to")).when(F.startswith(F.col("to"), F.lit("/")), F.concat(head, "to")).otherwise(F.col("to"))
-    return found.select("u", whole.alias("to")).where(F.col("to").contains("://")).select("u", node("to").alias("v")).where("u is not null and u <> v").distinct()
+    named = pages.where(low.contains("canonical") | low.contains("refresh")).where("url is not null")
+    tags = F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(0)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(0)))
+    found = named.select(node().alias("u"), "url", F.regexp_extract("html", _BASE, 0).alias("base"), tags.alias("tags")).where(F.size("tags") > 0)
+    whole = found.mapInArrow(run, "u string, to string")
+    return whole.where(F.col("to").contains("://")).select("u", node("to").alias("v")).where("u is not null and u <> v").distinct()
 
 
 def filtered(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:

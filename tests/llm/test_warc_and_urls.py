@@ -101,3 +101,26 @@ def test_as_sql(spark):
     con = connection()
     same(W.op7_warc_store(spark, str(DATA)), W.ORACLE["op7_warc_store"], con)
     same(U.op2_url_rules(spark, str(DATA)), U.ORACLE["op2_url_rules"], con)
+
+
+@pytest.mark.parametrize(
+    ("page", "to", "target"),
+    [
+        ("http://a.org/d/e/1.html?q=1", "page.html", "http://a.org/d/e/page.html"), ("http://a.org/d/e/1.html?q=1", "?id=3", "http://a.org/d/e/1.html?id=3"), ("http://a.org/d/e/1.html", "../x?y=../z", "http://a.org/d/x?y=../z"),
+        ("http://a.org/d/e/1.html", "./", "http://a.org/d/e/"), ("http://a.org/d/1", "..", "http://a.org/"), ("http://a.org/d/1", "../../../x", "http://a.org/x"), ("http://a.org", "x", "http://a.org/x"), ("http://a.org/1", "//x.net/a", "http://x.net/a"),
+        ("http://a.org/d/1", "/x", "http://a.org/x"), ("http://a.org/1", "http://x.net/a?p=1&amp;q=2", "http://x.net/a?p=1&q=2"), ("http://a.org/d/1", "a;b&#x2F;c", "http://a.org/d/a;b/c"),
+    ],
+)
+def test_link_targets(frame, page, to, target):
+    refresh = f'<meta http-equiv="refresh" content="5; URL={to}">'
+    pages = [(1, page, f'<link rel="canonical" href="{to}">'), (2, page + "#2", refresh), (3, page, refresh.replace("URL=", "url='").replace('">', "'\">"))]
+    for row in pages:
+        assert [(r["u"], r["v"]) for r in U.link_edges(frame([row], SCHEMA)).collect()] == [(page, target)]
+
+
+def test_aliases_by_relative_links(frame):
+    pages = [
+        (1, "http://a.org/d/1", '<link rel="canonical" href="2">'), (2, "http://a.org/d/2", '<base href="http://x.net/e/"><meta http-equiv=refresh content="0;url=?k=1">'),
+        (3, "http://b.org/1", '<link rel="canonical" href="http://c.org/a?p=1&amp;q=2">'), (4, "http://c.org/a?p=1&q=2", '<link rel=canonical href=http://x.net/4>'), (5, "http://d.org/1", '<link rel="canonical" href="mailto:x"><link rel="canonical" href="#x">'),
+    ]
+    assert {r["page_id"]: r["verdict"] for r in U.filtered(frame(pages, SCHEMA)).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
