@@ -83,3 +83,32 @@ def test_native(docs):
     rows, df = docs
     plan = M.mix(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rows_that_repeat(frame):
+    # 1000 equal rows of 100 words, and others of less; in b and None nothing else
+    rows = [(None, "w " * 100, "a")] * 1000 + [(k, "w " * (1 + k % 60), "a") for k in range(300)] + [(7, "w " * 50, "b")] * 300 + [(None, "w " * 30, None)] * 101
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + count(text)
+    for share in (0.31, 0.777, 1.13):
+        goal = level(sizes, share=share)
+        taken = {s: 0 for s in sizes}
+        for r in M.mix(frame(rows, SCHEMA), share=share).collect():
+            taken[r["source"]] += count(r["text"])
+        assert abs(taken["a"] - goal["a"]) <= 30 and abs(taken["b"] - goal["b"]) <= 25 and abs(taken[None] - goal[None]) <= 15
+
+
+def test_filled_until_nothing_smaller_is_left(frame):
+    # sizes that shrink by a third as the hash grows: each round is stopped by the next document
+    df = M.sized(frame([(k, "w", "a") for k in range(40)], SCHEMA)).orderBy("hash").limit(30)
+    own = sorted(r["hash"] for r in df.collect())
+    sizes = [int(4 * 1.5 ** (29 - k)) for k in range(30)]
+    rows = df.sparkSession.createDataFrame([("a", s, h) for s, h in zip(sizes, own)], "source string, size long, hash long")
+    left, want = 0.6 * sum(sizes), 0
+    for s in sizes:
+        want += s if s <= left - want else 0
+    limits, n = M.plan(rows, share=0.6)
+    found = M._beside(rows, limits, n).agg(F.sum(F.col("size") * M.times()).alias("taken"), F.first("target").alias("target")).first()
+    assert found["target"] == pytest.approx(left)
+    assert abs(found["taken"] - left) <= abs(want - left)
