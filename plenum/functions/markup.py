@@ -12,13 +12,15 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Tags without content, what a start tag closes, and what cleaning drops or keeps.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 BARRIERS = {"table", "div", "ul", "ol", "select", "body", "html", "dl"}
 DROPPED = {"script", "form", "style"}
+HIDDEN = ("script", "style", "nav", "footer", "head")
+BREAKS = ("p", "div", "br", "tr", "td", "li", "h1", "h2", "h3", "article")
 SCRUBBED_TAGS = {"font", "tabref", "div", "iframe", "h1", "h2"}
 SCRUBBED_ATTRIBUTES = {"class", "target", "cellpadding", "cellspacing", "width", "height", "type"}
 
@@ -32,13 +34,25 @@ class Node:
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
     def walk(self) -> Iterator[Node]:
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
-
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children if not isinstance(c, Node) or c.tag not in ("script", "style"))
+        """All elements below, in document order; a stack of its own, as pages nest without bound."""
+        left = self.children[::-1]
+        while left:
+            node = left.pop()
+            if isinstance(node, Node):
+                yield node
+                left.extend(reversed(node.children))
+
+    def text(self, skip: tuple = ("script", "style"), breaks: tuple = ()) -> str:
+        """All text below but for elements in skip; a blank before those in breaks."""
+        out, left = [], self.children[::-1]
+        while left:
+            node = left.pop()
+            if isinstance(node, str):
+                out.append(node)
+            elif node.tag not in skip:
+                out.append(" " if node.tag in breaks else "")
+                left.extend(reversed(node.children))
+        return "".join(out)
 
     def find_all(self, tag: str | tuple = (), cls: str | tuple = (), where: Callable[[Node], bool] | None = None) -> list[Node]:
         tags, classes = ((x,) if isinstance(x, str) else x for x in (tag, cls))
@@ -90,6 +104,13 @@ class _Reader(HTMLParser):
     def handle_data(self, data):
         self.at.children.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """A section of a kind that is not known is a comment."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
 
 def parse(source: str | None) -> Node:
     """The tree of a page; null is an empty one."""
@@ -108,18 +129,22 @@ def inner_html(node: Node | None) -> str | None:
     if node is None:
         return None
 
-    def render(n) -> str:
-        if isinstance(n, str):
-            return escape(n.replace(" ", " "), quote=False)
-        if n.tag in DROPPED:
-            return ""
-        inside = "".join(map(render, n.children))
-        if n.tag in SCRUBBED_TAGS:
-            return inside
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items() if k not in SCRUBBED_ATTRIBUTES and not k.startswith("on"))
-        return f"<{n.tag}{attrs}>" + ("" if n.tag in VOID else f"{inside}</{n.tag}>")
-
-    return "".join(map(render, node.children))
+    out, left = [], node.children[::-1]
+    while left:
+        n = left.pop()
+        if isinstance(n, tuple):
+            out += n
+        elif isinstance(n, str):
+            out.append(escape(n.replace("\xa0", " "), quote=False))
+        elif n.tag not in DROPPED:
+            if n.tag not in SCRUBBED_TAGS:
+                attrs = "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items() if k not in SCRUBBED_ATTRIBUTES and not k.startswith("on"))
+                out.append(f"<{n.tag}{attrs}>")
+                if n.tag in VOID:
+                    continue
+                left.append((f"</{n.tag}>",))
+            left.extend(reversed(n.children))
+    return "".join(out)
 
 
 def labelled_div(root: Node, label: str) -> str | None:
@@ -130,20 +155,9 @@ def labelled_div(root: Node, label: str) -> str | None:
     return None if html is None else html.replace(label, "", 1)
 
 
-def visible_text(source: str | None, skip: tuple = ("script", "style", "nav", "footer", "head")) -> str | None:
+def visible_text(source: str | None, skip: tuple = HIDDEN) -> str | None:
     """Text of a page as a reader sees it, squished; parts named in skip are left out."""
-    if source is None:
-        return None
-
-    def gather(n: Node) -> Iterator[str]:
-        for c in n.children:
-            if isinstance(c, str):
-                yield c
-            elif c.tag not in skip:
-                yield " " if c.tag in ("p", "div", "br", "tr", "td", "li", "h1", "h2", "h3", "article") else ""
-                yield from gather(c)
-
-    return squished("".join(gather(parse(source))))
+    return None if source is None else squished(parse(source).text(skip, BREAKS))
 
 
 @F.pandas_udf(StringType())
@@ -152,16 +166,28 @@ def page_text(html: pd.Series) -> pd.Series:
     return html.map(visible_text, na_action="ignore")
 
 
+def _title(root: Node) -> str | None:
+    found = next((n for n in root.walk() if n.tag == "title"), None) or next((n for n in root.walk() if n.tag == "h1"), None)
+    return squished(found.text()) if found else None
+
+
 @F.pandas_udf(StringType())
 def page_title(html: pd.Series) -> pd.Series:
     """The squished text of a page's first title or h1."""
+    return html.map(lambda s: _title(parse(s)), na_action="ignore")
+
+
+@F.pandas_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))
+def page_parts(html: pd.Series) -> pd.DataFrame:
+    """page_title and page_text of pages, each page parsed once."""
 
-    def title(source):
-        node = parse(source)
-        found = node.find("title") or node.find("h1")
-        return squished(found.text()) if found else None
+    def both(source):
+        if source is None:
+            return None, None
+        root = parse(source)
+        return _title(root), squished(root.text(HIDDEN, BREAKS))
 
-    return html.map(title, na_action="ignore")
+    return pd.DataFrame([both(s) for s in html], columns=["title", "text"], dtype=object)
 
 
 @F.pandas_udf(StringType())

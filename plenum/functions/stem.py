@@ -81,9 +81,24 @@ def stems(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
 
 
-def without_stop_words(words, language: str = "german"):
-    """An array of words without the language's stop words, those that Spark has."""
+@lru_cache(maxsize=8)
+def stop_words(language: str = "german") -> tuple[str, ...]:
+    """The language's stop words, those that Spark has."""
     from pyspark.ml.feature import StopWordsRemover
 
-    stop = F.array(*[F.lit(w) for w in StopWordsRemover.loadDefaultStopWords(language)])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return tuple(StopWordsRemover.loadDefaultStopWords(language))
+
+
+def without_stop_words(words, language: str = "german"):
+    """An array of words without the language's stop words."""
+    return F.filter(words, lambda w: ~w.isin(*stop_words(language)))
+
+
+def german(words):
+    """The stems of an array of lower-case words, stop words left out: what a German text is searched by."""
+    return stems(without_stop_words(words))
+
+
+def german_terms(wanted: list[str]) -> list[str]:
+    """The same of a query's terms, once each."""
+    return list(dict.fromkeys(stem(t) for t in wanted if t not in stop_words()))

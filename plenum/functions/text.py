@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def word_count(*columns) -> Column:
     """Words of the given markup columns together, tags apart; null counts 0."""
     total = F.lit(0)
     for c in columns:
-        total = total + F.coalesce(F.array_size(F.regexp_extract_all(strip_tags(c), F.lit(r"\S+"), F.lit(0))), F.lit(0))
+        total = total + F.coalesce(F.regexp_count(strip_tags(c), F.lit(r"\S+")), F.lit(0))
     return total
 
 
@@ -129,21 +131,27 @@ def number_root(c) -> Column:
 
 
 def natural_key(c) -> Column:
-    """The numbers in an agenda number, so that 10 sorts after 9; null and none give no numbers."""
+    """The numbers in an agenda number, so that 10 sorts after 9; null and none give no numbers, one beyond a bigint is null."""
     digits = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"(\d+)"), F.lit(1))
-    return F.transform(digits, lambda d: d.cast("int"))
+    return F.transform(digits, lambda d: d.try_cast("bigint"))
 
 
-#: Letters with their spelling in addresses.
-TRANSLITERATION = {"ä": "a", "ö": "o", "ü": "u", "ß": "ss", "á": "a", "à": "a", "â": "a", "é": "e", "è": "e", "ê": "e", "ë": "e", "í": "i", "î": "i", "ï": "i", "ó": "o", "ô": "o", "ú": "u", "ù": "u", "û": "u", "ñ": "n", "ç": "c"}
+#: Lower-case letters as the German rule and the general one spell them in addresses.
+SPELLED = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij", "ŋ": "ng", "ð": "d", "đ": "d", "ø": "o", "ħ": "h", "ı": "i", "ĸ": "k", "ł": "l", "ŧ": "t"}
+#: Accented Latin letters with the letter that they are built on.
+BUILT_ON = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xE0, 0x180)) if c.islower() and c not in SPELLED and unicodedata.normalize("NFD", c)[0].isascii()}
 
 
 def parameterize(c) -> Column:
-    """A text as a part of an address: lower-case ASCII letters and digits, each other run a hyphen."""
-    out = F.regexp_replace(F.lower(col(c)), "ß", "ss")
-    single = {k: v for k, v in TRANSLITERATION.items() if len(v) == 1}
+    """A text as a part of an address: lower-case ASCII letters, digits, _ and single hyphens, which stand for runs of all else."""
+    out = F.lower(col(c))
+    for letter, spelled in SPELLED.items():
+        if len(spelled) > 1:
+            out = F.replace(out, F.lit(letter), F.lit(spelled))
+    single = BUILT_ON | {k: v for k, v in SPELLED.items() if len(v) == 1}
     out = F.translate(out, "".join(single), "".join(single.values()))
-    return F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9_\-]+", "-"), r"^-+|-+$|-{2,}", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9_\-]+", "-"), "-{2,}", "-")
+    return F.regexp_replace(out, "^-|-$", "")
 
 
 def slug(c, key) -> Column:
@@ -181,7 +189,7 @@ def human_size(c) -> Column:
     """Bytes in the largest unit that leaves at least one, with one digit."""
     out = F.concat(col(c).cast("string"), F.lit(" Bytes"))
     for power, unit in enumerate(["KB", "MB", "GB", "TB"], 1):
-        out = F.when(col(c) >= 1024**power, F.concat(F.format_number(col(c) / float(1024**power), 1), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(col(c) >= 1024**power, F.concat(F.replace(F.format_number(col(c) / float(1024**power), 1), F.lit(",")), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

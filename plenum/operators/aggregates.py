@@ -26,6 +26,13 @@ def documents_per_month(documents: DataFrame, items: DataFrame, meetings: DataFr
     return per_month(joins.appearances(documents, items, meetings), name="n_appearances", date="meeting_date")
 
 
+def documents_per_committee(documents: DataFrame, items: DataFrame, meetings: DataFrame) -> DataFrame:
+    """(committee_id, month, n_appearances): documents on the agendas of each committee's meetings."""
+    held = meetings.select(F.col("id").alias("meeting_id"), "committee_id", "date")
+    seen = items.select("meeting_id", F.col("document_id").alias("id")).join(documents.select("id"), "id", "left_semi")
+    return seen.join(held, "meeting_id").groupBy("committee_id", dates.month("date").alias("month")).agg(F.count("*").alias("n_appearances"))
+
+
 def words_per_month(meetings: DataFrame, items: DataFrame) -> DataFrame:
     """Words of all items of meetings with minutes, by month."""
     held = joins.with_minutes(meetings, items).select(F.col("id").alias("meeting_id"), "date")

@@ -119,13 +119,13 @@ def spine(first, last, step: str, spark, name: str = "day") -> DataFrame:
 def calendar(meetings: DataFrame, districts: DataFrame, day, today) -> DataFrame:
     """Every day of the month and district, with its meetings: day, weekend, today, district_id, district, meeting_id, title.
 
-    The grid is days of one month times districts, both small; the meetings of the month come to it by
+    The grid is each district with the days of one month; the meetings of the month come to it by
     (district, day), the large side being filtered first.
     """
-    spark = meetings.sparkSession
     from plenum.functions.dates import month
 
-    days = spine(month(day), F.last_day(col(day)), "1 day", spark).select("day", F.dayofweek("day").isin(1, 7).alias("weekend"), (F.col("day") == col(today)).alias("today"))
-    grid = districts.select(F.col("id").alias("district_id"), F.col("name").alias("district"), F.lit(1).alias("_k")).join(days.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    days = F.explode(F.sequence(month(day), F.last_day(col(day)), F.expr("interval 1 day"))).alias("day")
+    grid = districts.select(F.col("id").alias("district_id"), F.col("name").alias("district"), days)
+    grid = grid.select("*", F.dayofweek("day").isin(1, 7).alias("weekend"), (F.col("day") == col(today)).alias("today"))
     held = scopes.in_month(meetings, day).select("district_id", F.col("date").alias("day"), F.col("id").alias("meeting_id"), "title")
     return grid.join(held, ["district_id", "day"], "left").select("day", "weekend", "today", "district_id", "district", "meeting_id", "title")

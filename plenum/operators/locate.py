@@ -9,8 +9,8 @@ from plenum.functions import geo, text
 from plenum.operators import scopes
 
 LEAST_LENGTH, LOCAL = 4, "Regionalausschuss"
-#: Rows of a dictionary that are broadcast; larger ones are joined by shuffle.
-BROADCAST_NAMES = 200_000
+#: Bytes of a dictionary that are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def dictionary(streets: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -22,15 +22,20 @@ def dictionary(streets: DataFrame, blocked: DataFrame) -> DataFrame:
 def street_matches(texts: DataFrame, names: DataFrame, key: str = "id", content: str = "text") -> DataFrame:
     """(id, name, place): dictionary names among the runs of words of each text, once each, with the first place.
 
-    Runs are as long as the longest name. The dictionary is broadcast if it is small, as a check of its
-    size tells; a larger one is joined by shuffle.
+    A text gives one row a word, with the run of words from there that the longest name needs; it meets the
+    names by their first word and stays where the run begins with the name. The dictionary is broadcast if it
+    is small, as a check of its size in bytes tells; a larger one is joined by shuffle.
     """
-    about = names.agg(F.count("*").alias("n"), F.max(F.size(F.split("name", " "))).alias("most")).first()
-    if not about["n"]:
+    about = names.agg(F.sum(F.octet_length("name") + 32).alias("bytes"), F.max(F.size(F.split("name", " "))).alias("most")).first()
+    if about["bytes"] is None:
         return texts.select(key, F.lit("").alias("name"), F.lit(0).alias("place")).limit(0)
-    runs = texts.select(key, F.posexplode(text.ngrams(text.tokens(content), about["most"])).alias("place", "name"))
-    side = F.broadcast(names) if about["n"] <= BROADCAST_NAMES else names
-    return runs.join(side, "name", "left_semi").groupBy(key, "name").agg(F.min("place").alias("place")).select(key, "name", "place")
+    words = texts.select(key, text.tokens(content).alias("_words"))
+    run = F.transform("_words", lambda w, at: F.struct(w.alias("first"), F.concat(F.array_join(F.slice("_words", at + 1, about["most"]), " "), F.lit(" ")).alias("run")))
+    runs = words.select(key, F.posexplode(run).alias("place", "w")).select(key, "place", "w.first", "w.run")
+    side = names.select("name", F.split("name", " ")[0].alias("first"))
+    side = F.broadcast(side) if about["bytes"] <= BROADCAST_BYTES else side
+    hits = runs.join(side, "first").where(F.startswith("run", F.concat("name", F.lit(" "))))
+    return hits.groupBy(key, "name").agg(F.min("place").alias("place")).select(key, "name", "place")
 
 
 def extracted(texts: DataFrame, names: DataFrame, entities: DataFrame | None = None, key: str = "id", content: str = "text") -> DataFrame:
@@ -69,14 +74,24 @@ def from_gazetteer(wanted: DataFrame, streets: DataFrame, districts: DataFrame)
 CANDIDATES = "array<struct<place_id: string, name: string, formatted_address: string, geometry: struct<location: struct<lat: double, lng: double>>, types: array<string>>>"
 
 
-def from_geocoder(wanted: DataFrame, cache: DataFrame, districts: DataFrame) -> DataFrame:
-    """wanted(district_id, name) -> locations by cached answers: inside the district's box and of a valid type."""
+def from_geocoder(wanted: DataFrame, cache: DataFrame, districts: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """wanted(district_id, name) -> locations by cached answers: inside the district's box and of a valid type.
+
+    A candidate whose place_id the district has among locations is that location as it stands, wherever it lies.
+    """
     boxes = districts.select(F.col("id").alias("district_id"), "ne_lat", "ne_lng", "sw_lat", "sw_lng")
     answers = cache.select("district_id", F.col("query").alias("normalized"), F.from_json("locations", f"candidates {CANDIDATES}").alias("a"))
     keyed = wanted.withColumn("normalized", text.normalize_location("name")).join(answers, ["district_id", "normalized"]).join(boxes, "district_id")
     one = keyed.withColumn("c", F.explode("a.candidates")).select("*", F.col("c.geometry.location.lat").alias("latitude"), F.col("c.geometry.location.lng").alias("longitude"), F.col("c.types").alias("types"))
-    good = scopes.valid_places(scopes.inside(one))
-    return good.select("district_id", F.col("name").alias("extracted_name"), F.col("c.name").alias("name"), F.col("normalized").alias("normalized_name"), "latitude", "longitude", F.col("c.place_id").alias("place_id"), F.col("c.formatted_address").alias("formatted_address"))
+    found = ["name", "normalized_name", "latitude", "longitude", "place_id", "formatted_address"]
+    shown = ["district_id", F.col("name").alias("extracted_name")]
+    fresh = [F.col("c.name").alias("name"), F.col("normalized").alias("normalized_name"), "latitude", "longitude", F.col("c.place_id").alias("place_id"), F.col("c.formatted_address").alias("formatted_address")]
+    if locations is None:
+        return scopes.valid_places(scopes.inside(one)).select(*shown, *fresh)
+    held = locations.where("place_id is not null").groupBy("district_id", F.col("place_id").alias("_place")).agg(F.min(F.struct(*found)).alias("_held"))
+    both = one.withColumn("_place", F.col("c.place_id")).join(held, ["district_id", "_place"], "left")
+    new = scopes.valid_places(scopes.inside(both.where("_held is null"))).select(*shown, *fresh)
+    return new.union(both.where("_held is not null").select(*shown, *[F.col(f"_held.{k}").alias(k) for k in found]))
 
 
 def resolved(wanted: DataFrame, locations: DataFrame, streets: DataFrame, cache: DataFrame, districts: DataFrame) -> DataFrame:
@@ -93,7 +108,7 @@ def resolved(wanted: DataFrame, locations: DataFrame, streets: DataFrame, cache:
     miss = lambda df, hit: df.join(hit.select("district_id", F.col("extracted_name").alias("name")).distinct(), ["district_id", "name"], "left_anti")
     second = miss(rows, stored).select("district_id", "name")
     gazetteer = from_gazetteer(second, streets, districts)
-    geocoder = from_geocoder(miss(second, gazetteer), cache, districts)
+    geocoder = from_geocoder(miss(second, gazetteer), cache, districts, locations)
     parts = {"stored": stored, "gazetteer": gazetteer, "geocoder": geocoder}
     out = None
     for stage, df in parts.items():

@@ -111,9 +111,9 @@ def found(documents: DataFrame, query: str, attachments: DataFrame | None = None
         raise ValueError(f"no such order: {order}")
     wanted = search.terms(query)
     if stem is not None and wanted:
-        from plenum.functions.stem import stem as one
+        from plenum.functions import stem as german
 
-        wanted = list(dict.fromkeys(one(t) for t in wanted))
+        wanted = german.german_terms(wanted) if stem is german.german else list(dict.fromkeys(german.stem(t) for t in wanted))
     own = search.vector(stem, A="title", B="full_text")
     if attachments is None:
         hits = documents.withColumn("_v", own)

@@ -48,6 +48,14 @@ class Council:
             raise NotFound("no such district")
         return row["id"]
 
+    @staticmethod
+    def slug_id(slug: str) -> int:
+        """The id at the end of an address part."""
+        tail = slug.split("-")[-1]
+        if not (tail.isascii() and tail.isdigit() and len(tail) < 19):
+            raise NotFound("no such page")
+        return int(tail)
+
     # search
 
     def search(self, query: str, district: str | None = None, attachments: bool = False, order: str = "relevance", most: int = LISTED) -> dict[str, DataFrame]:
@@ -72,7 +80,7 @@ class Council:
         return shown.join(tops.latest_meeting(shown, self.agenda_items, self.meetings), shown["id"] == F.col("document_id"), "left")
 
     def document(self, slug: str) -> DataFrame:
-        return scopes.by_id(self.documents, int(slug.split("-")[-1]))
+        return scopes.by_id(self.documents, self.slug_id(slug))
 
     def document_json(self, number: str) -> DataFrame:
         return sinks.document_json(self.documents.where(F.col("number") == number), self.districts, self.agenda_items, self.meetings)
@@ -106,7 +114,7 @@ class Council:
         return tops.page(rows, [F.col("date").desc_nulls_last(), F.col("id").desc()], number, PAGE)
 
     def meeting(self, slug: str) -> dict[str, DataFrame]:
-        own = scopes.by_id(self.meetings, int(slug.split("-")[-1]))
+        own = scopes.by_id(self.meetings, self.slug_id(slug))
         items = self.agenda_items.join(own.select(F.col("id").alias("meeting_id")), "meeting_id", "left_semi")
         icon, colour = scopes.result_badge()
         return {"meeting": own, "items": tops.in_natural_order(items.withColumns({"icon": icon, "colour": colour})), "sheet": sinks.agenda_rows(items, self.documents, "")}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plenum.functions import dates, geo, markup, search, text
-from plenum.functions.stem import stems
+from plenum.functions.stem import german
 from plenum.operators import aggregates, joins, locate, scopes, sets, sync, tops
 from plenum.plans import index
 from plenum.plans.analogue import TODAY, council, raw, with_sql
@@ -40,6 +40,11 @@ def query(sql: str | None = None, *domain: str):
     return add
 
 
+def _slug_sql(c: str) -> str:
+    """An address part of a text without letters beyond ASCII."""
+    return rf"trim(regexp_replace(lower({c}), '([^a-z0-9_-]|-)+', '-', 'g'), '-')"
+
+
 # averages and tops
 
 
@@ -141,12 +146,12 @@ def sum_per_month(c, spark, sf_dir):
 
 
 @query(
-    """, s as (select date_trunc('month', date)::date as month, count(*) as n from meetings where committee_id = 7 group by 1)
+    """, s as (select date_trunc('month', date)::date as month, count(*) as n from meetings group by 1)
     select cast(r.month as date) as month, coalesce(n, 0) as n from (select unnest(generate_series((select min(month) from s)::timestamp, (select max(month) from s)::timestamp, interval 1 month)) as month) r left join s on s.month = r.month""",
     "meetings",
 )
 def month_series_filled(c, spark, sf_dir):
-    return aggregates.filled(aggregates.per_month(c.meetings.where("committee_id = 7")))
+    return aggregates.filled(aggregates.per_month(c.meetings))
 
 
 @query("select meeting_id, count(*) as n_items, cast(sum(word_count) as bigint) as words, bool_or(ext_id is not null) as logged from agenda_items group by 1", "agenda_items")
@@ -391,8 +396,8 @@ def search_attachments(c, spark, sf_dir):
 
 @query()
 def search_stemmed(c, spark, sf_dir):
-    docs = raw(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("full_text"), F.lit(None).cast("string").alias("number"))
-    return tops.found(docs, "ungen sch", stem=stems).select("id", "rank")
+    docs = raw(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("full_text"), F.lit(None).cast("string").alias("number"))
+    return tops.found(docs, "die ungen und sch", stem=german).select("id", "rank")
 
 
 @query(r"select doc_id, len(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->|</?[a-zA-Z!?][^>]*>', '', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> ''))::integer as words from documents")
@@ -424,9 +429,15 @@ def normalized_names(c, spark, sf_dir):
     return c.committees.select("id", text.normalize_location("name").alias("location"), text.normalize_street("name").alias("street"), text.area_key("name").alias("area"))
 
 
-@query("select id, regexp_replace(lower(name), '[^a-z0-9_-]+', '-', 'g') || '-' || id as slug, cast(string_split(regexp_replace(lower(name), '[^a-z0-9_-]+', '-', 'g') || '-' || id, '-')[-1] as bigint) as slug_id from committees", "committees")
+@query(
+    f"""select id, {_slug_sql("name || ' - x--' || id || ' -'")} || '-' || id as slug, id as slug_id, {_slug_sql("name")} || '-ueber-strasse-facade' as spelled from committees""",
+    "committees",
+)
 def slugs(c, spark, sf_dir):
-    return c.committees.select("id", text.slug("name", "id").alias("slug")).withColumn("slug_id", text.slug_id("slug"))
+    rows = c.committees.withColumn("shown", F.concat_ws(" ", "name", F.lit("- x--"), "id", F.lit("-")))
+    rows = rows.withColumn("shown", F.regexp_replace("shown", "-- ", "--"))
+    return rows.select("id", text.slug("shown", "id").alias("slug"), text.parameterize(F.concat("name", F.lit(" & Über - Straße--façade ")))
+        .alias("spelled")).withColumn("slug_id", text.slug_id("slug"))
 
 
 @query(r"select id, array_to_string(regexp_extract_all(number, '\d+'), '.') as numbers, split_part(number, '.', 1) as root from agenda_items", "agenda_items")
@@ -541,26 +552,30 @@ def derived_word_count(c, spark, sf_dir):
     return sync.derived(c.agenda_items).select("id", "word_count")
 
 
-@query("select 'a' as source, cast(r_regionkey as bigint) as id, r_name as name, null::varchar as title from region union all select 'b', o_orderkey, null, o_orderpriority from orders where o_orderkey < 50")
+@query("select 'a' as source, cast(r_regionkey as bigint) as id, r_name as name, null::varchar as title from region union all select 'b', o_orderkey, null, o_orderpriority from orders")
 def heterogeneous_union(c, spark, sf_dir):
     return sets.stacked(a=c.parties.select("id", "name"), b=c.meetings.select("id", F.col("room").alias("title")))
 
 
 @query(
-    """select 'https://x.test/' || lower(regexp_replace(name, '[^A-Za-z0-9_-]+', '-', 'g')) as loc, 0.8 as priority, 'daily' as changefreq from districts
-    union all select 'https://x.test/documents/' || lower(regexp_replace(title, '[^A-Za-z0-9_-]+', '-', 'g')) || '-' || id, 0.5, 'weekly' from documents where title is not null
-    union all select 'https://x.test/committees/' || lower(regexp_replace(name, '[^A-Za-z0-9_-]+', '-', 'g')) || '-' || id, 0.5, 'weekly' from committees""",
-    "districts", "documents", "committees",
+    f""", d as (select id, {_slug_sql('name')} as name from districts),
+    m as (select 'https://x.test/' || d.name || '/meetings/' || strftime(date, '%d-%m-%Y') || '-' || {_slug_sql('title')} || '-' || m.id as loc from meetings m join d on d.id = district_id where title is not null)
+    select 'https://x.test/home' as loc, 0.9 as priority, 'daily' as changefreq
+    union all select 'https://x.test/contact_us', 0.5, 'weekly'
+    union all select 'https://x.test/' || d.name || '/documents/' || {_slug_sql('title')} || '-' || p.id, 0.9, 'weekly' from documents p join d on d.id = district_id where title is not null
+    union all select loc, 0.5, 'weekly' from m union all select loc || '/protokoll', 0.5, 'weekly' from m
+    union all select 'https://x.test/' || name, 0.3, 'weekly' from d""",
+    "districts", "documents", "meetings",
 )
 def sitemap_union(c, spark, sf_dir):
-    rows = sinks.sitemap("https://x.test", c.districts, c.documents, c.meetings, c.committees)
+    rows = sinks.sitemap("https://x.test", c.districts, c.documents, c.meetings)
     return rows.withColumn("priority", F.col("priority").cast("decimal(2,1)"))
 
 
 @query()
 def html_strip(c, spark, sf_dir):
     rows = raw(spark, sf_dir, "pages")
-    return rows.select("page_id", markup.page_title("html").alias("title"), F.length(markup.page_text("html")).alias("n"))
+    return rows.select("page_id", markup.page_parts("html").alias("p")).select("page_id", "p.title", F.length("p.text").alias("n"))
 
 
 @query(r"""select page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) as title from pages""")
@@ -578,7 +593,13 @@ def page_links(c, spark, sf_dir):
     return raw(spark, sf_dir, "pages").select("page_id", F.posexplode(markup.hrefs("html")).alias("place", "href"))
 
 
-@query()
+@query(
+    """, l as (select document_id as id, list({'id': m.id, 'title': m.title, 'date': m.date, 'start_sec': start_sec, 'end_sec': end_sec} order by m.id) as met from agenda_items i join meetings m on m.id = meeting_id group by 1)
+    select d.id, to_json({'id': d.id, 'number': number, 'title': title, 'kind': kind, 'author': author, 'content': regexp_replace(content, '</?p>', '', 'g'), 'resolution': null, 'attached': null,
+        'created_at': null, 'updated_at': null, 'district': s.name, 'meetings': coalesce(met, [])})::varchar as json
+    from documents d left join districts s on s.id = d.district_id left join l on l.id = d.id""",
+    "documents", "districts", "agenda_items", "meetings",
+)
 def document_json(c, spark, sf_dir):
     return sinks.document_json(c.documents, c.districts, c.agenda_items, c.meetings)
 
@@ -732,11 +753,21 @@ def visits(c, spark, sf_dir):
     return runs(raw(spark, sf_dir, "events"))
 
 
-@query(f"select 'meeting' as kind, id from meetings where date between {SQL_DAY} - 7 and {SQL_DAY} + 7 union select 'meeting', id from meetings where date between {SQL_DAY} - 270 and {SQL_DAY} - 8 and id not in (select meeting_id from agenda_items where ext_id is not null) union select 'item', i.id from agenda_items i join meetings m on m.id = meeting_id where ext_id is not null and minutes is null and result is null and date between {SQL_DAY} - 270 and {SQL_DAY} - 30 union select 'document', id from documents where title is null", "documents", "meetings", "agenda_items")
+@query(
+    f"""select district_id, 'today' as tier, 'meeting' as kind, id from meetings where date = {SQL_DAY}
+    union all select district_id, 'changing', 'meeting', id from meetings where date >= {SQL_DAY} - 14
+    union all select district_id, 'changing', 'document', id from documents where id % 15 <= 7 and (title is null or id % 3 = 2)
+    union all select district_id, 'slow', 'meeting', id from meetings where date <= {SQL_DAY} - 30 and id not in (select meeting_id from agenda_items where ext_id is not null)
+    union all select district_id, 'slow', 'item', i.id from agenda_items i join meetings m on m.id = meeting_id where ext_id is not null and minutes is null and result is null and date between {SQL_DAY} - 270 and {SQL_DAY} - 30""",
+    "documents", "meetings", "agenda_items",
+)
 def work_list(c, spark, sf_dir):
     from plenum.streaming.ingest import work_list as due
 
-    return due(c.documents.withColumn("updated_at", F.lit(TODAY).cast("timestamp")), c.meetings, c.agenda_items, day(), F.lit(TODAY).cast("timestamp"))
+    now = F.lit(TODAY).cast("timestamp_ntz")
+    ago = lambda unit, n: F.timestamp_add(unit, -n.cast("int"), now)
+    documents = c.documents.withColumns({"created_at": ago("DAY", F.col("id") % 15), "updated_at": ago("HOUR", F.col("id") % 3 * 3)})
+    return due(documents, c.meetings, c.agenda_items, now)
 
 
 @query("select district_id, max(number) as newest, count(*) filter (number >= first_number) as current from documents d join districts s on s.id = d.district_id group by 1", "documents", "districts")
@@ -746,16 +777,111 @@ def legislation_counts(c, spark, sf_dir):
     return every.join(now, "district_id", "left").select("district_id", "newest", F.coalesce("current", F.lit(0)).alias("current"))
 
 
-@query()
+@query(
+    """, a as (select meeting_id, string_agg(number || ' ' || title, chr(10) order by id) as agenda from agenda_items group by 1),
+    t as (select m.*, c.name as committee, agenda, cast(date as timestamp) + to_seconds(start_sec) as b,
+            cast(date as timestamp) + to_seconds(coalesce(end_sec, start_sec + coalesce(c.average_duration, 14400))) as e
+          from meetings m left join committees c on c.id = committee_id left join a on a.meeting_id = m.id)
+    select id, '{"@context":"https://schema.org","@type":"Event",' || coalesce('"name":' || to_json(title) || ',', '')
+        || coalesce('"startDate":"' || strftime(b, '%Y-%m-%dT%H:%M:%SZ') || '",', '') || coalesce('"endDate":"' || strftime(e, '%Y-%m-%dT%H:%M:%SZ') || '",', '')
+        || '"eventAttendanceMode":"https://schema.org/OfflineEventAttendanceMode","eventStatus":"https://schema.org/EventScheduled","location":{"@type":"Place","name":' || to_json(room)
+        || ',"address":{"@type":"PostalAddress","streetAddress":' || to_json(location) || ',"addressLocality":"Hamburg","addressCountry":"DE"}},"description":' || to_json(coalesce(agenda, ''))
+        || ',"offers":{"@type":"Offer","price":0},"performer":{"@type":"Organization","name":' || to_json(committee) || '}}' as json from t""",
+    "meetings", "committees", "agenda_items",
+)
 def meeting_events(c, spark, sf_dir):
-    return sinks.event(c.meetings.where("start_sec is not null"), c.committees, aggregates.lines(c.agenda_items))
+    return sinks.event(c.meetings, c.committees, aggregates.lines(c.agenda_items))
 
 
-@query()
+@query(
+    """, s as (select id, number, title, case when number ilike 'widget%' then 2 else 0 end + case when title ilike 'widget%' then 1 else 0 end as score,
+            position('widget' in lower(full_text)) as p, full_text as t
+          from documents where title is not null and (title ilike '%widget%' or number ilike '%widget%' or full_text ilike '%widget%') order by score desc, title, id limit 5)
+    select to_json({'id': id, 'number': number, 'title': title, 'excerpt': case when p > 0 then case when p > 51 then '...' else '' end
+        || substr(t, greatest(p - 50, 1), p + 56 - greatest(p - 50, 1)) || case when p + 55 < length(t) then '...' else '' end end})::varchar as json from s""",
+    "documents",
+)
 def requests_json(c, spark, sf_dir):
     return sinks.as_json(c.suggest_documents("widget"))
 
 
+# requests, texts and formats
+
+
+@query("select id from documents where id % 3 > 0 order by id limit 5000", "documents")
+def locations_due(c, spark, sf_dir):
+    rows = c.documents.withColumn("locations_extracted_at", F.when(F.col("id") % 3 == 0, F.lit(TODAY).cast("timestamp")))
+    return scopes.not_extracted(rows).select("id")
+
+
+@query("select id, number from documents where id between 1 and 12", "documents")
+def document_lookups(c, spark, sf_dir):
+    # a request each
+    return sets.either(*[c.document(f"a-title-{k}").select("id", "number") for k in range(1, 13)])
+
+
+@query("select p_partkey as id, case when p_size % 2 = 0 then p_brand || ',' else '' end || p_type || ',' || p_name as names from part union all select r_regionkey, r_name from region")
+def merged_sets(c, spark, sf_dir):
+    some = F.when(F.col("p_size") % 2 == 0, F.array("p_brand", "p_type", "p_brand"))
+    rows = raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(sets.merged_names(some, F.array("p_type", "p_name", "p_type")), ",").alias("names"))
+    more = raw(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("names"))
+    return sets.either(rows, more, more)
+
+
+@query(
+    f"""select committee_id, date_trunc('month', date)::date as month, count(*) as n_appearances from documents d join agenda_items i on i.document_id = d.id join meetings m on m.id = i.meeting_id
+    where date between date_trunc('month', {SQL_DAY} - interval 13 month)::date and last_day(({SQL_DAY} - interval 1 month)::date) group by 1, 2""",
+    "documents", "agenda_items", "meetings",
+)
+def committee_documents_per_month(c, spark, sf_dir):
+    return aggregates.documents_per_committee(c.documents, c.agenda_items, scopes.in_last_months(c.meetings, 12, day()))
+
+
+@query("select p_partkey as id, '<p style=\"a\">' || p_name || '<br></p> &amp; <b>' || p_brand || '</b>' as html from part")
+def cleaned_markup(c, spark, sf_dir):
+    fragment = F.format_string('<div class="x"><font><p style="a" onclick="y" class="z">%s<br></p></font><script>x()</script><!-- n --> &amp; <b type="q">%s</b></div>', "p_name", "p_brand")
+    return raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), markup.cleaned(fragment).alias("html"))
+
+
+@query("""select p_partkey as id, 'siehe <a href="https://x.test/' || p_partkey || '" target="_blank">https://x.test/' || p_partkey || '</a>. Mehr' as linked, '<img src="/images/' || p_partkey || '.png" class="img-fluid">' as images from part""")
+def linked_texts(c, spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    written = F.concat(F.lit("siehe https://x.test/"), key, F.lit(". Mehr"))
+    image = F.concat(F.lit('<img src="a/b/'), key, F.lit('.png">'))
+    return raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.autolink(written).alias("linked"), text.link_images(image).alias("images"))
+
+
+@query("select p_partkey as id, case when p_size % 3 = 0 then p_brand when p_size % 3 = 1 then p_name end as shown from part")
+def first_present(c, spark, sf_dir):
+    blank = F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).when(F.col("p_size") % 3 == 1, F.lit("  "))
+    return raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.presence(blank, F.when(F.col("p_size") % 3 == 1, F.col("p_name"))).alias("shown"))
+
+
+@query(f"select id, case when id % 15 between 1 and 12 then make_date(cast(least(greatest(1990 + id % 12, 1993), 1998) as integer), cast(id % 15 as integer), 1) else date_trunc('month', {SQL_DAY})::date end as month from meetings", "meetings")
+def request_months(c, spark, sf_dir):
+    year, month = (1990 + F.col("id") % 12).cast("int"), (F.col("id") % 15).cast("int")
+    return c.meetings.select("id", dates.safe_month(year, month, day(), F.lit(1993), F.lit(1998)).alias("month"))
+
+
+@query("select cast(i * 2000 as integer) as start, 'https://x.test?service=WFS&version=2.0.0&request=GetFeature&typeName=dog%3AStrassen&srsName=EPSG%3A4326&count=2000&startIndex=' || i * 2000 as url from range(6) t(i)")
+def register_requests(c, spark, sf_dir):
+    return streets.page_urls(spark, "https://x.test", 10_001)
+
+
+@query(
+    """select p_partkey as id, case when n >= 1073741824 then format('{:.1f} GB', n / 1073741824.0) when n >= 1048576 then format('{:.1f} MB', n / 1048576.0) when n >= 1024 then format('{:.1f} KB', n / 1024.0) else n || ' Bytes' end as size,
+        case when p_size * 2 >= 80 then 'danger' when p_size * 2 >= 50 then 'warning' else 'success' end as band from (select *, p_partkey * p_partkey * 37 as n from part)"""
+)
+def sized_bands(c, spark, sf_dir):
+    rows = raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * F.col("p_partkey") * 37).alias("n"), (F.col("p_size") * 2).alias("percent"))
+    return rows.select("id", text.human_size("n").alias("size"), text.band("percent").alias("band"))
+
+
+@query("select id from documents where full_text ilike '%ed wid%'", "documents")
+def contains_by_trigrams(c, spark, sf_dir):
+    return index.containing(index.trigrams(c.documents, "full_text"), c.documents, "full_text", "ed wid").select("id")
+
+
 # sources and sinks
 
 
@@ -775,7 +901,7 @@ def paper_pages(c, spark, sf_dir):
     return rows.select("id", "number", "title", "kind", clean("content").alias("content"), clean("resolution").alias("resolution"), "non_public")
 
 
-@query("select l_orderkey as id, 'Ö ' || l_linenumber || '-' || l_suppkey as number, cast(l_suppkey as integer) as ext_id, 'Punkt ' || l_quantity::integer as title, cast(l_partkey as integer) as document_ext_id from lineitem where l_orderkey % 10 = 1")
+@query("select l_orderkey as id, 'Ö ' || l_linenumber || '-' || l_suppkey as number, cast(l_suppkey as integer) as ext_id, 'Punkt ' || l_quantity::integer as title, cast(l_partkey as integer) as document_ext_id from lineitem")
 def agenda_pages(c, spark, sf_dir):
     line = F.format_string('<tr class="zl12"><td><input name="TOLFDNR" value="%d"></td><td class="text4">Ö %d-%d</td><td nowrap="nowrap"><a href="a">a</a><a href="vo020.asp?VOLFDNR=%d">b</a></td><td>Punkt %d</td></tr>', "l_suppkey", "l_linenumber", "l_suppkey", "l_partkey", F.col("l_quantity").cast("int"))
     pages = raw(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(F.lit('<h1>Tagesordnung - x</h1><table class="risdeco">'), F.array_join(F.collect_list(line), "\n"), F.lit("</table>")).alias("source"))
@@ -795,7 +921,7 @@ def json_rows(c, spark, sf_dir):
     return sinks.as_json(c.committees.select("id", "name", "ord"))
 
 
-@query("select meeting_id, i.number, i.title, d.number as document, case when d.id is not null then concat_ws('-', '/documents/' || regexp_replace(lower(d.title), '[^a-z0-9_-]+', '-', 'g'), case when d.title is null then '/documents/' || d.id else d.id::varchar end) end as url from agenda_items i left join documents d on d.id = document_id and d.title is not null where i.meeting_id % 20 = 0", "agenda_items", "documents")
+@query("select meeting_id, i.number, i.title, d.number as document, case when d.id is not null then concat_ws('-', '/documents/' || regexp_replace(lower(d.title), '[^a-z0-9_-]+', '-', 'g'), case when d.title is null then '/documents/' || d.id else d.id::varchar end) end as url from agenda_items i left join documents d on d.id = document_id and d.title is not null", "agenda_items", "documents")
 def agenda_sheet(c, spark, sf_dir):
     return sinks.agenda_rows(c.agenda_items, scopes.complete(c.documents), "")
 

@@ -11,7 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from plenum.functions import text
 
@@ -34,6 +34,15 @@ def protocols(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where(F.startswith(F.col("content").cast("string"), F.lit("%PDF"))).select("path", "content")
 
 
+#: Escapes in the strings of a PDF.
+_ESCAPE, _NAMED = re.compile(rb"\\([0-7]{1,3}|\r?\n|.)", re.DOTALL), {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r\n": b""}
+
+
+def _escaped(found: re.Match) -> bytes:
+    code = found[1]
+    return bytes([int(code, 8) & 255]) if code.isdigit() and code < b"8" else _NAMED.get(code, code)
+
+
 def extract_text(name: str | None, content: bytes | None) -> str | None:
     """The text in a file: plain text, HTML, Office XML, or the text operators of a simple PDF; null for others."""
     if content is None:
@@ -52,7 +61,7 @@ def extract_text(name: str | None, content: bytes | None) -> str | None:
                     continue
             for literal in re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[(.*?)\]\s*TJ", body, re.DOTALL):
                 pieces = [literal[0]] if literal[0] else re.findall(rb"\(((?:[^()\\]|\\.)*)\)", literal[1])
-                shown.append(re.sub(rb"\\([()\\])", rb"\1", b"".join(pieces)).decode("latin-1"))
+                shown.append(_ESCAPE.sub(_escaped, b"".join(pieces)).decode("latin-1"))
         return "\n".join(shown) or None
     if content[:1] == b"<" or (name or "").lower().endswith((".html", ".htm")):
         from plenum.functions.markup import visible_text
@@ -63,17 +72,26 @@ def extract_text(name: str | None, content: bytes | None) -> str | None:
     return content.decode("utf-8", "replace")
 
 
-@F.pandas_udf(StringType())
-def file_text(path: pd.Series, content: pd.Series) -> pd.Series:
-    """extract_text of files."""
-    return pd.Series([extract_text(p, c) for p, c in zip(path, content)], dtype=object)
+def text_or_reason(name: str | None, content: bytes | None) -> tuple[str | None, str | None]:
+    """extract_text, or why a damaged file has none: one file must not end the others."""
+    try:
+        return extract_text(name, content), None
+    except Exception as wrong:
+        return None, f"{type(wrong).__name__}: {wrong}"[:200]
+
+
+@F.pandas_udf(StructType([StructField("content", StringType()), StructField("error", StringType())]))
+def file_text(path: pd.Series, content: pd.Series) -> pd.DataFrame:
+    """text_or_reason of files."""
+    return pd.DataFrame([text_or_reason(p, c) for p, c in zip(path, content)], columns=["content", "error"], dtype=object)
 
 
 def attachments(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, content): landed files with their text, null bytes left out."""
+    """(path, name, content, error): landed files with their text, null bytes left out, or why there is none."""
     rows = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return rows.select("path", name.alias("name"), F.translate(file_text("path", "content"), "\0", "").alias("content"))
+    found = rows.select("path", name.alias("name"), file_text("path", "content").alias("t"))
+    return found.select("path", "name", F.translate("t.content", "\0", "").alias("content"), F.col("t.error").alias("error"))
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions import dates, text
 from plenum.functions.text import col
+from plenum.operators import scopes
 
 
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:
@@ -28,20 +31,30 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", "true").csv(path)
 
 
-def sitemap(base: str, districts: DataFrame, documents: DataFrame, meetings: DataFrame, committees: DataFrame) -> DataFrame:
-    """(loc, priority, changefreq) of every page."""
-    url = lambda kind, name: F.concat(F.lit(f"{base}/{kind}"), name).alias("loc")
-    rank = lambda p, f: (F.lit(p).alias("priority"), F.lit(f).alias("changefreq"))
+#: Pages of their own in the sitemap (path, priority, changefreq); other pages change weekly.
+PAGES = [("/home", 0.9, "daily"), ("/contact_us", 0.5, "weekly")]
+
+
+def meeting_slug() -> Column:
+    """A meeting's address part: its day, its title and its id."""
+    return F.concat_ws("-", text.parameterize(dates.german_date("date")), text.slug("title", "id"))
+
+
+def sitemap(base: str, districts: DataFrame, documents: DataFrame, meetings: DataFrame) -> DataFrame:
+    """(loc, priority, changefreq): the fixed pages, titled documents and meetings with their minutes' pages below their district, districts."""
+    named = districts.select(F.col("id").alias("district_id"), text.parameterize("name").alias("district"))
+    url = lambda *rest: F.concat(F.lit(f"{base}/"), "district", *[F.lit(x) if x.startswith("/") else F.col(x) for x in rest]).alias("loc")
+    rank = lambda p: (F.lit(p).alias("priority"), F.lit("weekly").alias("changefreq"))
+    papers = scopes.complete(documents).select("district_id", text.slug("title", "id").alias("name")).join(F.broadcast(named), "district_id")
+    held = scopes.complete(meetings).select("district_id", meeting_slug().alias("name")).join(F.broadcast(named), "district_id")
+    pages = F.explode(F.array(F.struct(F.lit("").alias("tail")), F.struct(F.lit("/protokoll").alias("tail")))).alias("p")
     parts = [
-        districts.select(url("", text.parameterize("name")), *rank(0.8, "daily")),
-        documents.where("title is not null").select(url("documents/", text.slug("title", "id")), *rank(0.5, "weekly")),
-        meetings.where("title is not null").select(url("meetings/", F.concat_ws("-", dates.german_date("date"), text.slug("title", "id"))), *rank(0.6, "weekly")),
-        committees.select(url("committees/", text.slug("name", "id")), *rank(0.5, "weekly")),
+        districts.sparkSession.createDataFrame([(base + path, p, f) for path, p, f in PAGES], "loc string, priority double, changefreq string"),
+        papers.select(url("/documents/", "name"), *rank(0.9)),
+        held.select("district", "name", pages).select("district", "name", F.col("p.tail").alias("tail")).select(url("/meetings/", "name", "tail"), *rank(0.5)),
+        named.select(url(), *rank(0.3)),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_sitemap(rows: DataFrame, path: str) -> None:

@@ -34,5 +34,5 @@ def rows(raw: DataFrame) -> DataFrame:
 def page_urls(spark: SparkSession, base: str, total: int) -> DataFrame:
     """(start, url) of every page of a service of that many streets, one row a request."""
     start = (F.col("id") * PAGE_SIZE).cast("int")
-    query = text.query_string({"service": "WFS", "version": "2.0.0", "request": "GetFeature", "srsName": "EPSG:4326", "count": PAGE_SIZE, "startIndex": start.cast("string")})
+    query = text.query_string({"service": "WFS", "version": "2.0.0", "request": "GetFeature", "typeName": "dog:Strassen", "srsName": "EPSG:4326", "count": PAGE_SIZE, "startIndex": start.cast("string")})
     return spark.range(-(-total // PAGE_SIZE)).select(start.alias("start"), F.concat(F.lit(base + "?"), query).alias("url"))

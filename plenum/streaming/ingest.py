@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,15 +47,34 @@ def locations(documents: DataFrame, streets: DataFrame, districts: DataFrame, st
     return kept.join(places.withColumnRenamed("name", "place").withColumnRenamed("extracted_name", "name"), ["district_id", "name"])
 
 
-def work_list(documents: DataFrame, meetings: DataFrame, items: DataFrame, today, now) -> DataFrame:
-    """(kind, id): what to visit again: stale documents, meetings of the last and next week, past ones without a logged item, incomplete items."""
-    parts = [
-        scopes.needs_update(documents, now).select(F.lit("document").alias("kind"), "id"),
-        scopes.recent(meetings, today).select(F.lit("meeting").alias("kind"), "id"),
-        joins.without_logged_items(scopes.in_date_range(meetings, F.date_sub(text.col(today), 270), F.date_sub(text.col(today), 8)), items).select(F.lit("meeting").alias("kind"), "id"),
-        scopes.incomplete(items, meetings, today).select(F.lit("item").alias("kind"), "id"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.distinct()
+def _due(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.select("district_id", F.lit(kind).alias("kind"), "id")
+
+
+def todays(meetings: DataFrame, today) -> DataFrame:
+    """(district_id, kind, id) of the meetings to visit through the day."""
+    return _due(meetings.where(F.col("date") == text.col(today)), "meeting")
+
+
+def changing(documents: DataFrame, meetings: DataFrame, now) -> DataFrame:
+    """(district_id, kind, id) of the often changing: documents made within a week that need an update, meetings from two weeks ago on."""
+    fresh = documents.where(F.col("created_at") >= F.timestamp_add("DAY", F.lit(-7), text.col(now)))
+    held = meetings.where(F.col("date") >= F.date_sub(text.col(now).cast("date"), 14))
+    return _due(scopes.needs_update(fresh, now), "document").union(_due(held, "meeting"))
+
+
+def slowly_changing(meetings: DataFrame, items: DataFrame, today) -> DataFrame:
+    """(district_id, kind, id) of the seldom changing: meetings of 30 or more days ago, however old, without a logged item, and incomplete items."""
+    past = meetings.where(F.col("date") <= F.date_sub(text.col(today), 30))
+    open_ = scopes.incomplete(items, meetings, today).select("id", "meeting_id").join(meetings.select(F.col("id").alias("meeting_id"), "district_id"), "meeting_id")
+    return _due(joins.without_logged_items(past, items), "meeting").union(_due(open_, "item"))
+
+
+def work_list(documents: DataFrame, meetings: DataFrame, items: DataFrame, now) -> DataFrame:
+    """(district_id, tier, kind, id): what to visit again in each district: of today, changing, slowly changing.
+
+    A row may stand in several tiers, which are visited at different times.
+    """
+    today = text.col(now).cast("date")
+    tiers = {"today": todays(meetings, today), "changing": changing(documents, meetings, now), "slow": slowly_changing(meetings, items, today)}
+    return reduce(DataFrame.union, [rows.select("district_id", F.lit(tier).alias("tier"), "kind", "id") for tier, rows in tiers.items()])

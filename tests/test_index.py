@@ -1,6 +1,7 @@
+from pyspark.sql import functions as F
 from support import column
 
-from plenum.functions.stem import stem, stems
+from plenum.functions.stem import german, stem, stems
 from plenum.operators import tops
 from plenum.plans import index
 from plenum.sources import tables
@@ -43,3 +44,23 @@ def test_laid_out_tables_join_without_exchange(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("drop table plenum_test_meetings")
         spark.sql("drop table plenum_test_items")
+
+
+def test_trigrams(spark, tmp_path):
+    docs = documents(spark)
+    index.write(index.trigrams(docs, "full_text"), str(tmp_path / "g"))
+    stored = index.read(spark, str(tmp_path / "g"), weighted=False)
+    for term in ("haus", "AM WEG", "us a", "x", "", "nirgends", "ä", "%"):
+        assert sorted(column(index.containing(stored, docs, "full_text", term), "id")) == sorted(column(docs.where(F.contains(F.lower("full_text"), F.lit(term.lower()))), "id")), term
+
+
+def test_layout():
+    assert index.layout(0) == (1, 1) and index.layout(index.FILE_ROWS + 1) == (2, 1)
+    folders, files = index.layout(10**13)
+    assert folders == index.FOLDERS and 10**13 / folders / files <= index.FILE_ROWS
+
+
+def test_german_search(spark):
+    docs = documents(spark)
+    assert sorted(column(tops.found(docs, "die Häuser und das", stem=german), "id")) == sorted(column(tops.found(docs, "haus", stem=german), "id"))
+    assert tops.found(docs, "die und", stem=german).count() == 0

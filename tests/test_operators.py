@@ -178,3 +178,26 @@ def test_sets(spark):
 def test_natural_order(spark):
     items = frame(spark, "agenda_items", [{"id": k, "number": n} for k, n in enumerate(["Ö 10", "Ö 9", "Ö 6.1.1", "Ö 6.1"])])
     assert column(tops.in_natural_order(items), "number") == ["Ö 6.1", "Ö 6.1.1", "Ö 9", "Ö 10"]
+
+
+def test_known_place_of_the_geocoder(spark):
+    districts = spark.createDataFrame([(1, "Altona", 2.0, 2.0, 1.0, 1.0)], "id long, name string, ne_lat double, ne_lng double, sw_lat double, sw_lng double")
+    answer = '{"candidates": [{"place_id": "p1", "name": "x", "geometry": {"location": {"lat": 9.0, "lng": 9.0}}, "types": ["store"]}, {"place_id": "p2", "name": "y", "geometry": {"location": {"lat": 1.5, "lng": 1.5}}, "types": ["park"]}]}'
+    cache = spark.createDataFrame([(1, "am see", answer)], "district_id long, query string, locations string")
+    stored = spark.createDataFrame([(1, "Alt", "alt", 5.0, 6.0, "p1", "f"), (2, "Fern", "fern", 7.0, 8.0, "p2", "g")], "district_id long, name string, normalized_name string, latitude double, longitude double, place_id string, formatted_address string")
+    wanted = spark.createDataFrame([(1, "Am See")], "district_id long, name string")
+    found = {r["place_id"]: (r["name"], r["latitude"], r["extracted_name"]) for r in locate.from_geocoder(wanted, cache, districts, stored).collect()}
+    assert found == {"p1": ("Alt", 5.0, "Am See"), "p2": ("y", 1.5, "Am See")}
+    assert {r["place_id"] for r in locate.from_geocoder(wanted, cache, districts).collect()} == {"p2"}
+
+
+def test_street_runs(spark):
+    names = spark.createDataFrame([("am ring",), ("ring",), ("am ring nord",), ("weg",)], "name string")
+    texts = spark.createDataFrame([(1, "Der Weg Am Ring, am ring"), (2, "wege am ringe"), (3, None), (4, "")], "id long, text string")
+    assert sorted(tuple(r) for r in locate.street_matches(texts, names).collect()) == [(1, "am ring", 2), (1, "ring", 3), (1, "weg", 1)]
+    assert locate.street_matches(texts, names.limit(0)).count() == 0
+
+
+def test_natural_key_of_huge_numbers(spark):
+    rows = spark.createDataFrame([("Ö 99999999999",), ("Ö 9",), ("Ö 999999999999999999999",), (None,)], "number string").withColumn("id", F.lit(1))
+    assert [r["number"] for r in tops.in_natural_order(rows).collect()][1:] == ["Ö 999999999999999999999", "Ö 9", "Ö 99999999999"]

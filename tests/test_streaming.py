@@ -48,3 +48,17 @@ def test_ingest(spark, tmp_path):
 def test_links_are_added_once(spark):
     a = spark.createDataFrame([(1, 1)], "document_id long, location_id long")
     assert sync.added_links(a, spark.createDataFrame([(1, 1), (1, 2)], "document_id long, location_id long")).count() == 2
+
+
+def test_revisits(spark):
+    import datetime
+
+    from plenum.streaming.ingest import work_list
+
+    now = datetime.datetime(2024, 5, 31, 12)
+    ago = lambda **x: now - datetime.timedelta(**x)
+    documents = spark.createDataFrame([(1, 1, "a", ago(days=6), ago(hours=5)), (2, 1, "a", ago(days=8), ago(hours=5)), (3, 1, "a", ago(days=1), ago(hours=3)), (4, 1, None, ago(days=1), ago(hours=1))], "id long, district_id long, title string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    meetings = spark.createDataFrame([(k, 1, ago(days=d).date()) for k, d in ((1, 0), (2, 14), (3, 15), (4, 29), (5, 30), (6, 4000), (7, 31), (8, -400))], "id long, district_id long, date date")
+    items = spark.createDataFrame([(70, 7, 5, None, None), (71, 6, None, None, None), (50, 5, None, "m", None)], "id long, meeting_id long, ext_id int, minutes string, result string")
+    found = sorted((r["tier"], r["kind"], r["id"]) for r in work_list(documents, meetings, items, F.lit(now).cast("timestamp_ntz")).collect())
+    assert found == sorted([("today", "meeting", 1), *[("changing", "meeting", k) for k in (1, 2, 8)], ("changing", "document", 1), ("changing", "document", 4), ("slow", "meeting", 5), ("slow", "meeting", 6), ("slow", "item", 70)])

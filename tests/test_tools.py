@@ -35,3 +35,14 @@ def test_log(spark, tmp_path):
 def test_sizes(spark):
     (row,) = tools.catalog_sizes(spark, {"part": f"{DATA}/part.parquet"}).collect()
     assert row["bytes"] == (DATA / "part.parquet").stat().st_size and row["band"] == "success"
+
+
+def test_bad_slugs(spark):
+    from plenum.plans.api import NotFound
+
+    c = council(spark, str(DATA))
+    for slug in ("", "title", "title-", "a-9999999999999999999999", "a-x1", "a-²"):
+        with pytest.raises(NotFound):
+            c.document(slug)
+        with pytest.raises(NotFound):
+            c.meeting(slug)
