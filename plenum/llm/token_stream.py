@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plenum.llm.common import shared_dir, written
-from plenum.llm.words import HashTable, cut, hashes
+from plenum.llm.words import WordTable, cut, distinct, hashes
 
 SEQUENCE, ROWS = 2048, 64
 #: Ids in a file, before the document that passes it.
@@ -52,7 +52,7 @@ class Encoder:
 
     Where the tokenizer drops white space before it looks at words, as `by_word` allows and a probe
     confirms, words between ASCII white space are remembered with their ids, up to CACHED_WORDS of them, in
-    the second half only those that are met again, and known by a 64-bit hash. Unknown ones are encoded many
+    the second half only those that are met again, found by a hash and compared by bytes. Unknown ones are encoded many
     at a time, a mark between, or, where the vocabulary cuts words by one pattern, piece by piece by its
     model. A text that holds a special token's string or the mark is encoded whole. When memory is full and
     over a fifth of the words are unknown, it starts anew.
@@ -80,12 +80,12 @@ class Encoder:
         return _encoders[path, by_word]
 
     def _forget(self) -> None:
-        self.known, self.pieces, self.met = HashTable((4 * CACHED_WORDS).bit_length() - 1), {}, np.zeros(1 << 23, bool)
+        self.known, self.pieces, self.met = WordTable((4 * CACHED_WORDS).bit_length() - 1, CACHED_WORDS), {}, np.zeros(1 << 23, bool)
         self.ids, self.used = np.empty(1 << 20, self.dtype), 0
-        self.start, self.size = np.zeros(CACHED_WORDS, np.int64), np.zeros(CACHED_WORDS, np.int64)
+        self.start, self.size = np.zeros(CACHED_WORDS, np.int64), np.zeros(CACHED_WORDS, np.int32)
 
-    def _remember(self, own: np.ndarray, found: list[np.ndarray]) -> None:
-        """Keep the ids of words by their hash."""
+    def _remember(self, own: np.ndarray, words: list[bytes], found: list[np.ndarray]) -> None:
+        """Keep the ids of words."""
         if not len(own):
             return
         sizes, at = np.fromiter(map(len, found), np.int64, len(found)), self.known.size
@@ -94,7 +94,7 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used : self.used + total] = np.concatenate(found)
         self.start[at : at + len(own)], self.size[at : at + len(own)] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.known.add(own)
+        self.known.add(own, words)
         self.used += total
 
     def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -102,8 +102,17 @@ class Encoder:
         return [np.array(x.ids, self.dtype) for x in found]
 
     def _cuts(self):
-        """The pattern that cuts words into pieces if pieces are then bytes written as letters, else None."""
-        steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        """The pattern that cuts words into pieces if pieces are then bytes written as letters, else None.
+
+        Normalising may do no more than compose letters (NFC), lower them and turn white space into blanks.
+        """
+        about = json.loads(self.tokenizer.to_str())
+        normal = about["normalizer"] or {"type": "Sequence", "normalizers": []}
+        normal = normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+        blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        if any(x["type"] not in ("NFC", "Lowercase") and x != blanks for x in normal) or about["model"]["type"] != "BPE":
+            return None
+        steps = about["pre_tokenizer"] or {}
         steps = steps.get("pretokenizers", [])
         if [x["type"] for x in steps] != ["Split", "ByteLevel"] or "Regex" not in steps[0]["pattern"]:
             return None
@@ -166,9 +175,10 @@ class Encoder:
         whole = [k for k, x in enumerate(bodies) if self._special(x.lower())] if self._special(b"\n".join(bodies).lower()) else []
         low, starts, sizes, counts = cut([b"" if k in whole else x for k, x in enumerate(bodies)] if whole else bodies, self.lower)
         text, own = low.tobytes(), hashes(low, starts, sizes)
-        number = self.known.find(own)
+        number = self.known.find(own, low, starts, sizes)
         gaps = np.flatnonzero(number < 0)
-        new, first, place = np.unique(own[gaps], return_index=True, return_inverse=True)
+        first, place = distinct(low, starts[gaps], sizes[gaps], own[gaps])
+        new = own[gaps[first]]
         words = [text[a : a + n] for a, n in zip(starts[gaps[first]].tolist(), sizes[gaps[first]].tolist())]
         encoded = self._new(words)
         found = [np.frombuffer(encoded[w], self.dtype) for w in words]
@@ -185,12 +195,15 @@ class Encoder:
         if len(new) * 5 > len(own) and self.known.size >= CACHED_WORDS // 2:
             self._forget()
         keep = sizes[gaps[first]] <= CACHED_BYTES
+        keep[np.setdiff1d(np.arange(len(new)), np.unique(new, return_index=True)[1])] = False
+        keep &= ~self.known.holds(new)
         if self.known.size > CACHED_WORDS // 2:
             slot = (new & np.uint64(len(self.met) - 1)).astype(np.int64)
             keep &= self.met[slot]
             self.met[slot] = True
         keep[np.cumsum(keep) > CACHED_WORDS - self.known.size] = False
-        self._remember(new[keep], [found[k] for k in np.flatnonzero(keep).tolist()])
+        kept = np.flatnonzero(keep).tolist()
+        self._remember(new[keep], [words[k] for k in kept], [found[k] for k in kept])
         return out
 
     def _special(self, text: bytes) -> bool:
@@ -272,6 +285,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int = 2, by_wor
 
     A null text is empty; null doc_ids come first; equal doc_ids are ordered by text and all kept. Texts are
     dealt by ranges of (doc_id, hash of the text), so neither many equal ids nor a hot source meet in a task.
+    A document is never split over files, so its ids must fit one value of Spark's, 2 GB.
     """
     kind = docs.schema["doc_id"].dataType
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -285,7 +299,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int = 2, by_wor
 
         def flush():
             ids = np.frombuffer(b"".join(held), encoder.dtype)
+            held.clear()
             one = stream(index, ids, (part, file), key, sequence, rows)
+            if len(one) >= 1 << 31:
+                raise ValueError(f"document {index[-1][0]} has more ids than fit a file")
             value = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(one)], np.int32)), one])
             return pa.RecordBatch.from_arrays([value], ["value"])
 
@@ -308,9 +325,31 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int = 2, by_wor
     ranged.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(out)
 
 
+def bases(files: DataFrame, group: int = 1024) -> DataFrame:
+    """files(part, file, n_ids), one row a file -> (part, file, base): the ids in all files before it.
+
+    Files are summed within their part, parts within their group, and only the groups' sums in one place.
+    """
+    part, parts_group = Window.partitionBy("part"), Window.partitionBy("group")
+    files = files.withColumn("in_part", F.sum("n_ids").over(part.orderBy("file")) - F.col("n_ids")).withColumn("all", F.sum("n_ids").over(part))
+    files = written(files.withColumn("group", F.floor(F.col("part") / group)), "files", compact=True)
+    parts = files.where("file = 0").select("part", "group", (F.sum("all").over(parts_group.orderBy("part")) - F.col("all")).alias("in_group"))
+    groups = files.groupBy("group").agg(F.sum("n_ids").alias("n"))
+    groups = groups.select("group", (F.sum("n").over(Window.orderBy("group")) - F.col("n")).alias("before"))
+    places = parts.join(groups, "group").select("part", (F.col("before") + F.col("in_group")).alias("before"))
+    return files.join(places, "part").select("part", "file", (F.col("before") + F.col("in_part")).alias("base"))
+
 
 def read_documents(spark: SparkSession, out: str, key: str = "bigint") -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files below out."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files below out.
+
+    The files are read twice: for the number of ids of each, and for their documents.
+    """
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pa.ipc.open_stream(pa.BufferReader(x.as_buffer())).schema.metadata for x in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (b"part", b"file", b"n_ids")], ["part", "file", "n_ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,15 +357,13 @@ def read_documents(spark: SparkSession, out: str, key: str = "bigint") -> DataFr
                 file = SequenceFile(content.as_buffer())
                 docs = file.documents()
                 crc = [zlib.crc32(file.span(s, n).astype("<u4").tobytes()) for s, n in zip(docs.column("start").to_pylist(), docs.column("n_tokens").to_pylist())]
-                about = [pa.array([int(file.about[k])] * len(crc), pa.int64()) for k in ("part", "file", "n_ids")]
-                yield pa.RecordBatch.from_arrays([*docs.columns, pa.array(crc, pa.int64()), *about], ["doc_id", "start", "n_tokens", "ids_crc32", "part", "file", "n_ids"])
+                about = [pa.array([int(file.about[k])] * len(crc), pa.int64()) for k in ("part", "file")]
+                yield pa.RecordBatch.from_arrays([*docs.columns, pa.array(crc, pa.int64()), *about], ["doc_id", "start", "n_tokens", "ids_crc32", "part", "file"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("content")
-    rows = files.mapInArrow(run, f"doc_id {key}, start long, n_tokens long, ids_crc32 long, part long, file long, n_ids long")
-    rows = written(rows, "tokens", compact=True)
-    before = F.sum("n_ids").over(Window.orderBy("part", "file")) - F.col("n_ids")
-    bases = rows.groupBy("part", "file").agg(F.first("n_ids").alias("n_ids")).select("part", "file", before.alias("base"))
-    return rows.join(bases, ["part", "file"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    before = bases(files.mapInArrow(sizes, "part long, file long, n_ids long"))
+    rows = files.mapInArrow(run, f"doc_id {key}, start long, n_tokens long, ids_crc32 long, part long, file long")
+    return rows.join(before, ["part", "file"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def default_tokenizer() -> str:

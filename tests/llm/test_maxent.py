@@ -49,16 +49,114 @@ def test_model_is_better_than_counts(frame, docs, monkeypatch):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
-def test_probabilities_sum_to_one():
+class Plain:
+    """The model's probabilities word by word, from its weights and plain counts of words."""
+
+    def __init__(self, words, tables, counts):
+        self.words, self.tables, self.counts, self.hot = words, tables, counts, {w: k for k, w in enumerate(words.hot)}
+        self.bits = len(tables[0]).bit_length() - 1
+
+    def own(self, word):
+        return int(M.hashes(*M.cut([word])[:3])[0])
+
+    def place(self, word):
+        if word is END:
+            return 0, -1
+        if word in self.hot:
+            return int(self.words.hot_class[self.hot[word]]), int(self.words.hot_inner[self.hot[word]])
+        return 1 + M.SINGLES + int(self.words.groups[M.ending(word)]), M.TOP + (self.own(word) >> 40) % M.BINS
+
+    def row(self, key, k):
+        mask = (1 << 64) - 1
+        key = (key + (k + 1) * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & mask
+        return ((key ^ key >> 31) * 0x94D049BB133111EB & mask) >> 64 - self.bits
+
+    def softmax(self, z):
+        z = [min(x, 60.0) for x in z]
+        total = sum(math.exp(x) for x in z)
+        return [math.exp(x) / total for x in z]
+
+    def chance(self, before, word):
+        """The probability of a word, None for one never seen, after those before it."""
+        back = [self.own(before[-k]) if len(before) >= k else int(M.BEFORE) for k in (1, 2, 3)]
+        kinds = [self.place(before[-k])[0] + 1 if len(before) >= k else 0 for k in (1, 2)]
+        keys = [back[0], kinds[0] * 997 + kinds[1], back[1], back[2]]
+        z = sum(self.tables[0][self.row(key, k)].astype(float) for k, key in enumerate(keys)) + [math.log(x) for x in self.words.share]
+        classes = self.softmax(z)
+        c, inner = self.place(word)
+        if inner < 0:
+            return classes[c]
+        own = (c + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+        z = sum(self.tables[1][self.row(key ^ own, 4 + k)].astype(float) for k, key in enumerate(back[:2])) + [math.log(x) for x in self.words.inner_share[c]]
+        inside = self.softmax(z)[inner]
+        if inner < M.TOP:
+            return classes[c] * inside
+        mates = [n for w, n in self.counts.items() if w is not END and self.place(w) == (c, inner)]
+        return classes[c] * inside * (self.counts.get(word, 0) + 1) / (sum(mates) + len(mates) + 1)
+
+
+@pytest.mark.parametrize("hot", [200_000, 60])
+def test_score_by_brute_force(frame, spark, docs, hot, monkeypatch):
+    monkeypatch.setattr(M, "HOT", hot)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    counts, kept = Counter(w for d, t in docs if not held(d) for w in tokens(t)), []
+    trained = M.trained
+
+    def once(rows, words, n):
+        kept.append((words, trained(rows, words, n)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(M, "trained", once)
+    found = scored(frame, docs, hot, monkeypatch)
+    plain = Plain(*kept[0], counts)
+    assert any(np.abs(t).max() > 0.1 for t in plain.tables[:1]) and np.abs(plain.tables[1]).max() > 0.1
+    texts = {}
+    for d, t in docs:
+        texts.setdefault(d, []).append(t)
+    checked = 0
+    for r in found:
+        options = [sum(math.log10(plain.chance(ws[:k], ws[k])) for k in range(len(ws))) for ws in map(tokens, texts[r["doc_id"]])] if r["doc_id"] is None or r["doc_id"] % 7 == 0 or r["doc_id"] > 299 else None
+        if options is not None:
+            assert any(r["score"] == pytest.approx(x, abs=1e-3, rel=1e-5) for x in options)
+            checked += 1
+    assert checked > 40
+
+
+def test_probabilities_sum_to_one(frame, docs, monkeypatch):
+    monkeypatch.setattr(M, "HOT", 40)
+    rows = frame(docs, SCHEMA).select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
+    counts, profile, ends = M.counted(rows)
+    words, n, v = M.vocabulary(counts, M.grouped(profile), ends)
+    known = Counter(w for _, t in docs for w in tokens(t))
+    assert (n, v) == (sum(known.values()), len(known))
     rng = np.random.default_rng(0)
-    words = [f"w{k}".encode() for k in range(60)]
-    counts, groups = rng.integers(1, 50, 60), (np.arange(M.ENDINGS) % M.GROUPS).astype(np.int32)
-    kinds = np.array([1 + k if k < M.SINGLES else 1 + M.SINGLES + groups[M.ending(w)] for k, w in enumerate(words)])
-    n, v = np.bincount(kinds, weights=counts, minlength=M.CLASSES), np.bincount(kinds, minlength=M.CLASSES)
-    inside = sum((counts[k] + 1) / (n[c] + v[c] + 1) for k, c in enumerate(kinds)) + sum(1 / (n[c] + v[c] + 1) for c in range(M.CLASSES))
-    assert inside == pytest.approx(M.CLASSES)  # the words of a class and its one unseen word share probability 1
-    z = M.logits(rng.normal(size=(1 << M.HASH_BITS, M.CLASSES)).astype(np.float32), np.zeros(M.CLASSES, np.float32), rng.integers(0, 1 << M.HASH_BITS, (4, 9)).astype(np.uint16))
-    assert z.shape == (9, M.CLASSES)
+    tables = [rng.normal(size=(1 << 10, width)).astype(np.float32) for width in (M.CLASSES, M.INNER)]
+    plain = Plain(words, tables, known)
+    unseen, k = {}, 0
+    while len(unseen) < M.GROUPS * M.BINS:  # one place in each bin, whatever its word
+        word, k = f"q{k * 7919 % 46656:o}".encode(), k + 1
+        unseen.setdefault(plain.place(word), word)
+    for before in ([], [b"red"], [b"uno", b"rare7"], [b"eins", b"x", b"zwei"]):
+        assert sum(plain.chance(before, w) for w in [*known, *unseen.values()]) == pytest.approx(1, abs=1e-4)
+
+
+def test_updates_are_averaged_in_a_tree(spark):
+    rng, rows, total = np.random.default_rng(1), [], {}
+    for shard in range(200):
+        for block, width in ((0, 3), (5, 2)):
+            met, delta = rng.integers(0, 4, M.BLOCK).astype(np.float32), rng.normal(size=(M.BLOCK, width)).astype(np.float32)
+            rows.append((block, shard, met.tobytes(), (delta * met[:, None]).tobytes()))
+            n, d = total.get(block, (0, 0))
+            total[block] = n + met, d + delta * met[:, None]
+    found = M.averaged(spark.createDataFrame(rows, "block int, shard long, met binary, delta binary"), 200, True).collect()
+    assert sorted(r["block"] for r in found) == [0, 5]
+    for r in found:
+        n, d = total[r["block"]]
+        assert np.allclose(np.frombuffer(r["delta"], np.float32).reshape(M.BLOCK, -1), d / np.maximum(n, 1)[:, None], atol=1e-4)
+
+
+def test_rows_grow():
+    assert [M.row_bits(n) for n in (0, 1, M.TOKENS, M.TOKENS + 1, 4 * M.TOKENS + 1, 10**15)] == [15, 15, 15, 16, 17, 18]
 
 
 def test_cut_and_hash():

@@ -84,3 +84,28 @@ def test_parts():
         for most in (1, 3, 5):
             pieces = list(T.parts(body, most))
             assert b"".join(pieces) == body and [w for p in pieces for w in p.split()] == body.split()
+
+
+def test_words_that_share_a_hash(tokenizer, monkeypatch):
+    from plenum.llm import words as W
+
+    weak = lambda low, starts, sizes: sizes.astype(np.uint64) % np.uint64(3) << np.uint64(62)
+    monkeypatch.setattr(T, "hashes", weak)
+    encoder = T.Encoder(T.default_tokenizer())
+    bodies = [b"one two six four five one", b"ten two " + b"q" * 400 + b" " + b"r" * 400, b"one six ten nine five"]
+    for _ in range(3):
+        assert [list(np.frombuffer(x, encoder.dtype)) for x in encoder.encode(bodies)] == [ids(tokenizer, b.decode())[:-1] for b in bodies]
+    low, starts, sizes, _ = W.cut(bodies)
+    first, place = W.distinct(low, starts, sizes, weak(low, starts, sizes))
+    every = [low[a : a + n].tobytes() for a, n in zip(starts, sizes)]
+    assert [every[k] for k in first[place]] == every and len(first) == len(set(every)) and all(every.index(every[k]) == k for k in first)
+
+
+def test_bases(spark):
+    rows = [(p, f, (p * 7 + f) % 5) for p in (0, 1, 3, 8, 9, 40) for f in range(p % 3 + 1)]
+    found = {(r["part"], r["file"]): r["base"] for r in T.bases(spark.createDataFrame(rows, "part long, file long, n_ids long"), 4).collect()}
+    at, expected = 0, {}
+    for p, f, n in sorted(rows):
+        expected[p, f] = at
+        at += n
+    assert found == expected
