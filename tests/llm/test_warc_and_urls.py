@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import re
 
@@ -11,28 +12,57 @@ SCHEMA = "page_id long, url string, html string"
 PAGES = [(1, "http://a.test/1", "é\r\n\r\n" * 300), (2, "http://a.test/2", "é\r\n\r\n" * 300), (9, "http://b.test/\r\nX: y", "é\r\n\r\n" * 300), (3, None, None), (4, "u", ""), (5, "v", "short"), (6, "w", "short"), (7, "x", "z" * 1000), (7, "x", "z" * 1000), (8, "y", "z" * 1000), (None, "n", "z" * 1000), (None, "m", "q" * 2000)]
 
 
-def test_archive(frame, spark, tmp_path):
-    W.write(frame(PAGES, SCHEMA), str(tmp_path / "a"))
-    rows = W.read(spark, str(tmp_path / "a")).collect()
+def archived(spark, pages, tmp_path, **more):
+    W.write(pages, str(tmp_path / "a"), **more)
+    W.export(spark, str(tmp_path / "a"), str(tmp_path / "w"), size=300)
+    return str(tmp_path / "w")
+
+
+@pytest.mark.parametrize("broadcast", [0, 10])
+def test_archive(frame, spark, tmp_path, broadcast):
+    rows = W.read(spark, archived(spark, frame(PAGES, SCHEMA), tmp_path, broadcast=broadcast)).collect()
     assert len(rows) == len(PAGES)
     expected = []
-    for page, _, html in PAGES:
+    for page, url, html in PAGES:
         body = (html or "").encode()
         top = max((p for p, _, h in PAGES if (h or "") == (html or "") and p is not None), default=None) if len(body) >= 1000 else None
         again = top is not None and top != page
-        expected.append((page, len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", top if again else None))
+        expected.append((page, url, len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", top if again else None))
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, expected))
     assert W.store(spark, str(tmp_path / "a")).count() == len({h or "" for _, _, h in PAGES})
 
 
 def test_round_trip(frame, spark, tmp_path):
-    a, w = str(tmp_path / "a"), str(tmp_path / "w")
-    W.write(frame(PAGES, SCHEMA), a)
-    W.export(spark, a, w)
-    parsed = W.parse(spark, w).collect()
-    whole = {bytes(r["record"]) for r in W.reconstruct(spark, a).collect()}
-    assert {bytes(r["header"]) + bytes(r["payload"]) + b"\r\n\r\n" for r in parsed} == whole and len(parsed) == len(PAGES)
-    assert sum(r["record_type"] == "response" and bytes(r["payload"]).decode() == "é\r\n\r\n" * 300 for r in parsed) == 1
+    parsed = W.parse(spark, archived(spark, frame(PAGES, SCHEMA), tmp_path)).collect()
+    whole = sorted(bytes(r["record"]) for r in W.reconstruct(spark, str(tmp_path / "a")).collect())
+    assert sorted(bytes(r["header"]) + bytes(r["payload"]) + b"\r\n\r\n" for r in parsed) == whole and len(parsed) == len(PAGES)
+    assert sum(r["fields"]["warc-type"] == "response" and bytes(r["payload"]).decode() == "é\r\n\r\n" * 300 for r in parsed) == 1
+    for r in parsed:
+        lines = bytes(r["header"]).decode().split("\r\n")
+        assert lines[0] == "WARC/1.1" and lines[-2:] == ["", ""] and {"warc-date", "warc-type", "warc-record-id", "content-length"} <= set(r["fields"])
+        assert ("warc-profile" in r["fields"]) == (r["fields"]["warc-type"] == "revisit")
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) > 1
+    content = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    assert sum(1 for _ in W.split(content)) == len(PAGES) == sum(1 for f in files for _ in W.members(f.read_bytes()))
+
+
+def test_other_archives(spark, tmp_path):
+    one = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\na: b\r\n\r\n"
+    two = b"WARC/1.0\r\nwarc-type:response\r\nWARC-Target-URI: http://x/\r\nContent-Length: 5\r\n\r\n\r\n\r\nz\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two) + gzip.compress(one + two))
+    (tmp_path / "b.warc").write_bytes(one + two)
+    rows = [(r["fields"]["warc-type"], r["fields"].get("warc-target-uri"), bytes(r["payload"])) for r in W.parse(spark, str(tmp_path)).collect()]
+    assert sorted(rows, key=str) == sorted([("warcinfo", None, b"a: b"), ("response", "http://x/", b"\r\n\r\nz")] * 3, key=str)
+    for bad in (gzip.compress(one)[:-3], one[:-9], b"junk"):
+        with pytest.raises(ValueError):
+            [r for m in W.members(bad) for r in W.split(m)]
+
+
+def test_ids_as_text(spark, tmp_path):
+    pages = spark.createDataFrame([("a b>\r\nc", "u", "x" * 1000), ("none", "u", "x" * 1000), (None, "u", "y"), ("é%41", "u", "z")], "page_id string, url string, html string")
+    rows = {r["page_id"]: r["refers_to"] for r in W.read(spark, archived(spark, pages, tmp_path), "string").collect()}
+    assert rows == {"a b>\r\nc": "none", "none": None, None: None, "é%41": None}
 
 
 def test_a_changed_payload_is_found(frame, spark, tmp_path):
@@ -44,13 +74,15 @@ def test_a_changed_payload_is_found(frame, spark, tmp_path):
     (tmp_path / "a/store").rename(tmp_path / "a/old")
     (tmp_path / "a/bad").rename(tmp_path / "a/store")
     with pytest.raises(Exception, match="not that of digest"):
-        W.read(spark, a).collect()
-    assert W.read(spark, a).columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        W.reconstruct(spark, a).collect()
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha1:00\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    (tmp_path / "c.warc").write_bytes(record)
+    with pytest.raises(Exception, match="not what its header says"):
+        W.read(spark, str(tmp_path / "c.warc")).collect()
 
 
 def test_no_pages(frame, spark, tmp_path):
-    W.write(frame([], SCHEMA), str(tmp_path / "a"))
-    assert W.read(spark, str(tmp_path / "a")).count() == 0
+    assert W.read(spark, archived(spark, frame([], SCHEMA), tmp_path)).count() == 0
 
 
 def parts(url):
