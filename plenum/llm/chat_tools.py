@@ -27,80 +27,134 @@ CALL, RESULT = (re.compile(rf"<{tag}>(.*?)</{tag}>", re.DOTALL) for tag in ("too
 
 SCHEMAS = {"reply": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string", "minLength": 1}}, "additionalProperties": False}}
 
+#: Halves of surrogate pairs, which JSON's escapes can name and UTF-8 can not hold.
+HALF = re.compile("[\ud800-\udfff]")
+
 KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys and without blanks; letters stay as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-def problems(value, schema: dict, at: str = "$") -> list[str]:
-    """What is wrong with a value under a schema: type, enum, required, properties, additionalProperties,
-    items, minLength, maxLength, minimum, maximum."""
-    kind = schema.get("type")
-    if kind in ("number", "integer"):
-        fits = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
-    else:
-        fits = kind is None or isinstance(value, KINDS[kind])
-    if not fits:
-        return [f"{at}: not {kind}"]
-    found = [f"{at}: not in enum"] if "enum" in schema and value not in schema["enum"] else []
+    """JSON with sorted keys and without blanks; letters stay as they are, but halves of surrogate pairs are escaped."""
+    return sound(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def sound(text: str) -> str:
+    """A text that UTF-8 can hold: halves of surrogate pairs as JSON escapes."""
+    return HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def equal(a, b) -> bool:
+    """Whether two JSON values are the same: 1 is 1.0, but not true."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(equal, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(equal(v, b[k]) for k, v in a.items())
+    return a == b
+
+
+def _is(value, kind: str) -> bool:
+    if kind == "integer":
+        return isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer()
+    if kind == "number":
+        return isinstance(value, (int, float)) and not isinstance(value, bool)
+    return kind in KINDS and isinstance(value, KINDS[kind])
+
+
+def problems(value, schema: dict | bool, at: str = "$") -> list[str]:
+    """What is wrong with a value under a schema: type (one or several), enum, const, required, properties,
+    additionalProperties, items, minItems, maxItems, minLength, maxLength, minimum, maximum. A schema may be true or false."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
+    found = [f"{at}: not in enum"] if "enum" in schema and not any(equal(value, x) for x in schema["enum"]) else []
+    found += [f"{at}: not the constant"] if "const" in schema and not equal(value, schema["const"]) else []
     if isinstance(value, str):
         found += [f"{at}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: too long"] * (len(value) > schema.get("maxLength", len(value)))
     elif isinstance(value, (int, float)) and not isinstance(value, bool):
         found += [f"{at}: too small"] * (value < schema.get("minimum", value)) + [f"{at}: too large"] * (value > schema.get("maximum", value))
     elif isinstance(value, list):
+        found += [f"{at}: too few"] * (len(value) < schema.get("minItems", 0)) + [f"{at}: too many"] * (len(value) > schema.get("maxItems", len(value)))
         for k, x in enumerate(value):
             found += problems(x, schema.get("items", {}), f"{at}[{k}]")
     elif isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
         found += [f"{at}.{k}: missing" for k in schema.get("required", ()) if k not in value]
         for k in sorted(value):
             if k in known:
                 found += problems(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties", True) is False:
+            elif more is False:
                 found.append(f"{at}.{k}: unknown")
+            else:
+                found += problems(value[k], more, f"{at}.{k}")
     return found
 
 
+def _refused(constant: str):
+    raise ValueError(f"{constant} is not JSON")
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    return value if abs(value) < float("inf") else _refused(text)
+
+
 def _parsed(text: str):
+    """The JSON object in a text, or null: numbers that JSON or doubles do not know, and nesting beyond the reader's depth, make none."""
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_constant=_refused, parse_float=_finite)
         return value if isinstance(value, dict) else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
+def _ident(value) -> str | None:
+    """An id as a text; what is no text as JSON."""
+    return None if value is None else sound(value) if isinstance(value, str) else canonical(value)
+
+
 def _call(value: dict | None, schemas: dict) -> tuple:
     if value is None:
         return "call", None, [], "not a JSON object", canonical({"arguments": None, "id": None, "name": None})
-    ident, name, arguments = value.get("id"), value.get("name"), value.get("arguments")
+    ident, name, arguments = _ident(value.get("id")), value.get("name"), value.get("arguments")
     if isinstance(arguments, str):
         arguments = _parsed(arguments)
     wrong = problems(arguments, schemas[name]) if isinstance(name, str) and name in schemas else ["no such tool"]
-    after = [str(x) for x in value.get("after") or [] if x is not None] if isinstance(value.get("after") or [], list) else []
+    after = value.get("after")
+    after = [_ident(x) for x in after if x is not None] if isinstance(after, list) else []
     if ident is None:
         wrong.append("no id")
-    return "call", None if ident is None else str(ident), after, "; ".join(wrong) or None, canonical({"arguments": arguments, "id": None if ident is None else str(ident), "name": name})
+    return "call", ident, after, sound("; ".join(wrong)) or None, canonical({"arguments": arguments, "id": value.get("id") if ident is None else ident, "name": name})
 
 
 def _result(value: dict | None) -> tuple:
     if value is None:
         return "result", None, [], "not a JSON object", canonical({"call_id": None, "content": None})
-    ident = value.get("id")
-    return "result", None if ident is None else str(ident), [], "no id" if ident is None else None, canonical({"call_id": None if ident is None else str(ident), "content": value.get("content")})
+    ident = _ident(value.get("id"))
+    return "result", ident, [], "no id" if ident is None else None, canonical({"call_id": ident, "content": value.get("content")})
+
+
+def _safely(make, text: str, *more) -> tuple:
+    """make() of the object in a text; one that is nested too deeply to be checked or written is no object."""
+    try:
+        return make(_parsed(text), *more)
+    except RecursionError:
+        return make(None, *more)
 
 
 def read_message(turn: int | None, role: str | None, text: str | None, schemas: dict, exchange: bool) -> list[tuple]:
     """(kind, call_id, after, problems, json) of what a message holds."""
     body = text or ""
-    found = [_call(_parsed(x), schemas) for x in CALL.findall(body)] if role == "assistant" else []
-    found += [_result(_parsed(x)) for x in RESULT.findall(body)]
+    found = [_safely(_call, x, schemas) for x in CALL.findall(body)] if role == "assistant" else []
+    found += [_safely(_result, x) for x in RESULT.findall(body)]
     if found:
         return found
     if role == "tool":
-        return [_result(_parsed(body))]
+        return [_safely(_result, body)]
     if exchange and role == "user" and turn is not None:
         return [_call({"id": turn, "name": "reply", "arguments": {"text": text}}, schemas)]
     if exchange and role == "assistant" and turn is not None:
@@ -180,7 +234,9 @@ def linked(messages: DataFrame, schemas: dict = SCHEMAS, exchange: bool = True)
     places = ordered(first.select(*key, "turn", "after"))
     heads = first.join(places, key).join(answers.select(*key, F.col("turn").alias("a_turn"), F.col("part").alias("a_part")), key, "left")
     heads = heads.select(*key, F.col("turn").alias("c_turn"), F.col("part").alias("c_part"), "good", "order_turn", "level", "a_turn", "a_part")
-    both = rows.join(heads, key, "left")
+    # messages and what has no id meet nothing, and do not go to one task by their null key
+    linkable = F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()
+    both = rows.where(linkable).join(heads, key, "left").unionByName(rows.where(~linkable), allowMissingColumns=True)
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     own = F.col("turn").eqNullSafe(F.col("c_turn")) & F.col("part").eqNullSafe(F.col("c_part"))
     answer = F.col("turn").eqNullSafe(F.col("a_turn")) & F.col("part").eqNullSafe(F.col("a_part"))
