@@ -40,9 +40,9 @@ def rule_table(spark, rules: list[tuple[str, str]]) -> DataFrame:
 def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls(url, ...) with host, path, rule and decision of the longest fitting rule, or null.
 
-    Rules are looked up once for each host and its parent domains; the rules of a host then come to its urls
-    by a join whose small side has one row a host, so a hot host can be split. Of equally long rules that
-    fit, which can only be the same rule given twice, block wins.
+    Rules are looked up once for each host and its parent domains; the rules of a host, a table of one row for
+    each host that has any, then come to its urls by a join, in which a hot host can be split. Of equally long
+    rules that fit, which can only be the same rule given twice, block wins.
     """
     host, path = url_parts()
     rows = urls.withColumns({"host": host, "path": path})
@@ -50,7 +50,7 @@ def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     hosts = rows.select("host").distinct().select("host", F.explode(parents).alias("rule_host"))
     fitting = hosts.join(rules, "rule_host").groupBy("host").agg(F.collect_set(F.struct(F.length("rule").alias("n"), F.when(F.col("decision") == "block", 1).otherwise(0).alias("b"), "rule_path", "rule", "decision")).alias("rules"))
-    both = rows.join(fitting, "host", "left")
+    both = rows.join(written(fitting, "rules", compact=True), "host", "left")
     best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])))
     return both.withColumn("best", best).select(*urls.columns, "host", "path", F.col("best.rule").alias("rule"), F.col("best.decision").alias("decision"))
 
