@@ -66,11 +66,12 @@ class Tree:
     def of(cls, x: np.ndarray, arrays: dict, top: int) -> Tree:
         tree = cls.__new__(cls)
         tree.x, tree.single, tree.top = x, x.astype(np.float32), top
-        tree.__dict__.update(arrays)
+        tree.__dict__.update({k: v if k == "radius" else v.astype(np.int64) for k, v in arrays.items()})
         return tree
 
     def arrays(self) -> dict:
-        return {k: getattr(self, k) for k in self.FIELDS}
+        """The tree without its points, for sending; rows of a chunk and nodes are numbered in 32 bits."""
+        return {k: getattr(self, k) if k == "radius" else getattr(self, k).astype(np.int32) for k in self.FIELDS}
 
     def _split(self, nodes: list, low: int, high: int, centre: int, radius: float) -> int:
         """Append the next level below the members order[low:high], the node of the same centre first; its nodes in number.
@@ -289,26 +290,30 @@ def candidates(made: DataFrame, cosine: float) -> DataFrame:
 def compared(made: DataFrame, cosine: float) -> DataFrame:
     """(rid, n, other): weight linked with a point in one pair of chunks, and its neighbour in the spanning forest or null."""
     pairs = written(candidates(made, cosine), "pairs")
-    both = pairs.join(made.select(F.col("chunk").alias("a"), F.col("tree").alias("ta")), "a").join(made.select(F.col("chunk").alias("b"), F.col("tree").alias("tb")), "b")
-    both = both.select("a", "b", "ta", F.when(F.col("a") != F.col("b"), F.col("tb")).alias("tb"))
+    # each chunk goes to every pair that it is in: once, and only there do two trees meet
+    ends = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("chunk")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("chunk")), F.struct(F.lit(1).alias("side"), F.col("b").alias("chunk"))))
+    both = pairs.select("a", "b", F.explode(ends).alias("e")).select("a", "b", "e.side", "e.chunk").join(made.select("chunk", "tree"), "chunk").select("a", "b", "side", "tree")
 
     def load(blob: bytes):
         raw, arrays, top, rid, m = pickle.loads(blob)
         return Tree.of(unit(raw), arrays, top), rid, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                a, rid, wa = load(batch.column("ta")[k].as_py())
-                other = batch.column("tb")[k].as_py()
-                b, more, wb = load(other) if other is not None else (None, rid[:0], wa)
+            for pa_, pb_, side, tree in zip(*(batch.column(c) for c in ("a", "b", "side", "tree"))):
+                if pa_.as_py() != pb_.as_py() and side.as_py() == 0:
+                    first = tree.as_py()
+                    continue
+                a, rid, wa = load(tree.as_py() if side.as_py() == 0 else first)
+                b, more, wb = load(tree.as_py()) if side.as_py() else (None, rid[:0], wa)
                 na, nb, label = dual(a, b, cosine, wa, wb)
                 ids, n = np.concatenate([rid, more]), na if b is None else np.concatenate([na, nb])
                 root = np.where(label != np.arange(len(label)), ids[label], -1)
                 seen = np.flatnonzero((n > 0) | (root >= 0))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(n[seen]), pa.array(root[seen], mask=root[seen] < 0)], ["rid", "n", "other"])
 
-    return both.repartition("a", "b").mapInArrow(run, "rid long, n long, other long")
+    return both.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(run, "rid long, n long, other long")
 
 
 def linked(vectors: DataFrame, cosine: float = 0.9, chunk: int = CHUNK) -> DataFrame:
@@ -327,11 +332,12 @@ def linked(vectors: DataFrame, cosine: float = 0.9, chunk: int = CHUNK) -> DataF
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     found = written(found, "links")
     roots = connected_components(found.where("other is not null").select(F.col("rid").alias("u"), F.col("other").alias("v")))
-    tied = rows.select("rid", "least").join(roots.withColumnRenamed("node", "rid"), "rid")
-    names = tied.select("rid", "root").join(tied.groupBy("root").agg(F.min("least").alias("name")), "root").select("rid", "name")
+    tied = written(rows.select("rid", "least").join(roots.withColumnRenamed("node", "rid"), "rid"), "tied", compact=True)
+    # a table of its own, so that a component of very many vectors can be split in the join
+    names = tied.select("rid", "root").join(written(tied.groupBy("root").agg(F.min("least").alias("name")), "roots", compact=True), "root").select("rid", "name")
     counts = found.groupBy("rid").agg(F.sum("n").alias("n"))
     named = rows.join(counts, "rid", "left").join(names, "rid", "left")
-    named = named.select("h", "embedding", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("name", "least").alias("component_id"))
+    named = written(named.select("h", "embedding", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("name", "least").alias("component_id")), "named")
     both = vectors.withColumn("h", F.xxhash64("embedding")).join(named, ["h", "embedding"], "left")
     usable = F.col("n_links").isNotNull()
     return both.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(usable, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
@@ -341,3 +347,17 @@ def op8_cover_tree(spark, sf_dir: str) -> DataFrame:
     """Every vector with its links at a cosine of 0.9, its component, and whether it is the component's first."""
     rows = linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
     return rows.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+ORACLE = {
+    "op8_cover_tree": """
+with recursive usable as (
+    select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+    where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as u, b.vec_id as v from usable a join usable b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(u, v) as (select vec_id, vec_id from embeddings union select r.u, l.v from reach r join links l on l.u = r.v),
+least as (select u, min(v) as component_id from reach group by u),
+n as (select u, count(*) as n_links from links group by u)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings e join least on least.u = vec_id left join n on n.u = vec_id"""
+}

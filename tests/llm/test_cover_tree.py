@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from support import DATA, connection, same
+
 from plenum.llm import cover_tree as K
 
 
@@ -50,3 +52,8 @@ def test_trees():
 def test_empty(frame):
     assert K.linked(frame([], "vec_id long, embedding array<float>", ())).count() == 0
     assert [tuple(r) for r in K.linked(frame([(3, None)], "vec_id long, embedding array<float>", ())).collect()] == [(3, 0, 3)]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_as_sql(spark):
+    same(K.op8_cover_tree(spark, str(DATA)), K.ORACLE["op8_cover_tree"], connection())
