@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from plenum.llm.common import written
 
 
+#: Neighbours from which a node is hot, at least; and hot nodes at most, for which that number rises with the graph.
+MANY, HOT_NODES = 100_000, 50_000
+
+
+def beside(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """rows(u, v), n at most, with m and its other columns of low(u, ...), one row for each u, by u.
+
+    A node with very many rows is not gathered: its row of low is broadcast, and there are n / limit such nodes
+    at most. The others meet by shuffle. Where no node can have that many rows there is only the latter.
+    """
+    limit = max(MANY, n // HOT_NODES)
+    if n <= limit:
+        return rows.join(low, "u")
+    hot = F.broadcast(rows.groupBy("u").count().where(F.col("count") > limit).select("u").join(low, "u"))
+    cold = rows.join(F.broadcast(hot.select("u")), "u", "left_anti")
+    return cold.join(low, "u").unionByName(rows.join(hot, "u"))
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit((1 << 31) - 1))).alias("s")).first()
     return row["n"], row["x"], row["s"]
@@ -19,7 +37,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Only nodes with an edge to another node are returned. Each round is a large-star step (every
     neighbour above u is tied to the smallest of u's neighbourhood) and a small-star step (likewise
     below); after the last one the edges are stars. A node with very many neighbours costs a partial
-    minimum and a join against one row, never a list. Each round is a table in the shared folder.
+    minimum and is told to its edges by broadcast, never a list. Each round is a table in the shared folder.
     Null ends and loops are ignored; no edges give an empty result.
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -29,9 +47,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = beside(both, low, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = beside(large, low, 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), "edges")
         before, state = state, _state(edges)
         if state == before:

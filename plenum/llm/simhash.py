@@ -208,7 +208,8 @@ def links(distinct: DataFrame, radius: int = 3, blocks: int = 5, chunk: int = 40
         mask = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask)), F.lit(n)))
     keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that a key with very many fingerprints can be split in the join
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes", compact=True)
     parts = keyed.join(sizes, "key").select("key", "fp", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
     parts = parts.withColumn("part", F.pmod(F.xxhash64("fp", F.lit("part")), "parts").cast("int"))
     units = parts.select("key", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
@@ -226,10 +227,12 @@ def classes(prints: DataFrame, radius: int = 3, blocks: int = 5, chunk: int = 40
     key = "doc_id.doc_id" if isinstance(prints.schema["doc_id"].dataType, StructType) else "doc_id"
     nodes = written(prints.groupBy("fp").agg(F.min(F.when(F.col(key).isNotNull(), F.col("doc_id"))).alias("least")), "fingerprints")
     roots = connected_components(links(nodes.select("fp"), radius, blocks, chunk)).select(F.col("node").alias("fp"), "root")
-    tied = nodes.join(roots, "fp")
-    labels = tied.select("fp", "root").join(tied.groupBy("root").agg(F.min("least").alias("label")), "root").select("fp", "label")
+    tied = written(nodes.join(roots, "fp"), "tied", compact=True)
+    # tables of their own, so that a component or a fingerprint of very many documents can be split in the joins
+    roots = written(tied.groupBy("root").agg(F.min("least").alias("label")), "roots", compact=True)
+    labels = tied.select("fp", "root").join(roots, "root").select("fp", "label")
     named = nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(written(named, "named", compact=True), "fp").select("doc_id", "fp", "component_id")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

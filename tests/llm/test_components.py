@@ -22,3 +22,13 @@ def test_components(spark):
     assert found == {n: top(n) for n in group}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert {tuple(r) for r in connected_components(spark.createDataFrame([("b", "a"), ("c", "b")], "u string, v string")).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
+def test_hot_nodes(spark, monkeypatch):
+    from plenum.llm import components as C
+
+    monkeypatch.setattr(C, "MANY", 5)
+    monkeypatch.setattr(C, "HOT_NODES", 20)
+    edges = [(0, k) for k in range(1, 60)] + [(59, k) for k in range(100, 140)] + [(200 + k, 201 + k) for k in range(30)]
+    found = {r["node"]: r["root"] for r in C.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {**{k: 0 for k in [*range(60), *range(100, 140)]}, **{200 + k: 200 for k in range(31)}}
