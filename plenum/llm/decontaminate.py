@@ -1,12 +1,14 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Each shard, a run of whole documents of about SHARD_BYTES, gets a suffix array over its words; every
-benchmark suffix is binary-searched in it. Words are numbered by the benchmark's vocabulary and every
-other word is 0, which matches nothing, so only suffixes that start with enough known words to hold a
-whole window enter the array. Shards are built and searched where the documents are read: no shuffle.
-
-The benchmark goes to the executors in blocks of at most `block_words` words, a bound that does not grow
-with it; with more blocks the documents pass through one search after another.
+benchmark suffix is binary-searched in it, and from where they agree the longest verbatim matches are
+followed word by word. Hit words, the items found and the documents to remove are read off these matches.
+Words are numbered by the benchmark's vocabulary and every other word is 0, which matches nothing, so only
+suffixes that start with enough known words to hold a whole window enter the array. Shards are built and
+searched where the documents are read: no shuffle.
+
+The benchmark goes to the executors in blocks of about `block_words` words, a bound that does not grow with
+it; with more blocks one is made, sent and dropped after another, a table of what is found in between.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plenum.llm.common import written
+
 SHARD_BYTES = 8 << 20
-#: Words by which suffixes are sorted in the search for longest matches; longer ones are followed word by word.
-DEPTH = 64
+#: Benchmark words in a block, about: 150 MB at the driver and 45 MB in each worker. Matches followed at a time.
+BLOCK_WORDS, PAIRS = 250_000, 1 << 20
 
 #: Keeps a-z, 0-9 and all bytes from 0x80, lower-cases A-Z, and makes the rest blank.
 LETTERS = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -35,46 +39,48 @@ def words(body: bytes) -> list[bytes]:
 
 
 class Block:
-    """The windows of some benchmark items, distinct, with the items that hold them."""
+    """Some benchmark items as numbers, one after another, and their windows, each different one once with its places.
+
+    text has the words' numbers with -1 behind each item; an item begins at first[k] and has windows of least[k] words.
+    Window w stands at places[edges[w] : edges[w + 1]].
+    """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         names = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for _, ws in items for w in ws))}
-        held: dict[tuple, dict] = {}
-        for item, ws in items:
-            ids = [names[w] for w in ws]
-            n = min(window, len(ids))
-            for at in range(len(ids) - n + 1 if n else 0):
-                held.setdefault(tuple(ids[at : at + n]), {})[item] = at
-        self.get = names.get
-        self.items = [sorted(x) for x in held.values()]
-        self.sizes = np.array([len(x) for x in held], np.int64)
-        self.depth = int(self.sizes.max(initial=1))
-        self.least = int(self.sizes.min(initial=1))
+        self.get, self.bits, self.ids = names.get, max(1, len(names).bit_length()), [item for item, _ in items]
+        lengths = np.array([len(ws) for _, ws in items], np.int64)
+        self.first = np.cumsum(lengths + 1) - lengths - 1
+        self.least = np.minimum(lengths, window)
+        self.text = np.full(int((lengths + 1).sum()), -1, np.int32)
+        for at, (_, ws) in zip(self.first.tolist(), items):
+            self.text[at : at + len(ws)] = np.fromiter(map(names.__getitem__, ws), np.int32, len(ws))
+        raw, held = self.text.tobytes(), {}
+        for at, n, size in zip(self.first.tolist(), lengths.tolist(), self.least.tolist()):
+            for q in range(at, at + n - size + 1 if n else at):
+                held.setdefault(raw[4 * q : 4 * (q + size)], []).append(q)
+        self.sizes = np.array([len(x) // 4 for x in held], np.int64)
+        counts = np.array([len(x) for x in held.values()], np.int64)
+        self.edges = np.concatenate([[0], np.cumsum(counts)])
+        self.places = np.array([q for x in held.values() for q in x], np.int64)
+        self.depth, self.shortest = int(self.sizes.max(initial=1)), int(self.sizes.min(initial=1))
         self.low = np.zeros((len(held), self.depth), np.int64)
-        self.bits = max(1, len(names).bit_length())
         self.high = np.full((len(held), self.depth), (1 << self.bits) - 1, np.int64)
-        for k, ids in enumerate(held):
-            self.low[k, : len(ids)] = self.high[k, : len(ids)] = ids
+        for k, x in enumerate(held):
+            self.low[k, : len(x) // 4] = self.high[k, : len(x) // 4] = np.frombuffer(x, np.int32)
 
 
-def item_groups(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """(item, words) of the benchmark, block_words words at a time; a null text has no words, a null id is named null."""
+def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[tuple[Block, bool]]:
+    """The benchmark in blocks, and whether each is the last; a null text has no words, and a null id stays null."""
     items, held = [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    rows = benchmark.select(F.col("item_id").cast("string"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     for item, body in rows.toLocalIterator():
         ws = words(bytes(body))
         if items and held + len(ws) > block_words:
-            yield items
+            yield Block(items, window), False
             items, held = [], 0
         items.append((item, ws))
         held += len(ws)
-    yield items
-
-
-def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
-    """The benchmark's windows in blocks."""
-    for items in item_groups(benchmark, block_words):
-        yield Block(items, window)
+    yield Block(items, window), True
 
 
 def packed(rows: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -120,22 +126,40 @@ class Shard:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)])
         at = np.arange(len(ids))
         stop = np.minimum.accumulate(np.where(ids == 0, at, len(ids))[::-1])[::-1]
-        suffixes = np.flatnonzero(stop - at >= block.least)
+        suffixes = np.flatnonzero(stop - at >= block.shortest)
         rows = ids[suffixes[:, None] + np.arange(depth)].astype(np.int64) if len(suffixes) else np.zeros((0, depth), np.int64)
         rows[np.arange(depth) >= (stop[suffixes] - suffixes)[:, None]] = 0
         keys = packed(rows, block.bits)
         order = np.lexsort(keys[::-1])
-        self.suffixes, self.keys, self.rows, self.n, self.ids = suffixes[order], [k[order] for k in keys], rows[order], len(ids), ids
+        self.suffixes, self.keys, self.n, self.ids = suffixes[order], [k[order] for k in keys], len(ids), ids
 
-    def occurrences(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """(position, window) of each place where a window of the block stands."""
+    def matches(self, block: Block) -> tuple[np.ndarray, ...]:
+        """(document, item, place in the document, place in the item, words) of the longest verbatim matches, which no word on either side extends."""
+        none = np.zeros(0, np.int64)
         if not len(self.suffixes) or not len(block.sizes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (none,) * 5
         first, last = bounds(self.keys, packed(block.low, block.bits), False), bounds(self.keys, packed(block.high, block.bits), True)
-        count = last - first
-        window = np.repeat(np.arange(len(count)), count)
-        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return self.suffixes[np.repeat(first, count) + inside], window
+        parts, met = [], np.flatnonzero(last > first)
+        size = (last - first)[met] * np.diff(block.edges)[met]
+        for some in np.split(met, np.flatnonzero(np.diff(np.cumsum(size) // PAIRS)) + 1):
+            count = (last - first)[some]
+            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at, window = self.suffixes[np.repeat(first[some], count) + inside], np.repeat(some, count)
+            more = np.diff(block.edges)[window]
+            inside = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+            q, p = block.places[np.repeat(block.edges[window], more) + inside], np.repeat(at, more)
+            item = np.searchsorted(block.first, q, side="right") - 1
+            begins = (q == block.first[item]) | (p == 0) | (self.ids[p - 1] != block.text[q - 1])
+            p, q, item = p[begins], q[begins], item[begins]
+            n = block.least[item].copy()
+            open_ = np.arange(len(p))
+            while len(open_):
+                open_ = open_[self.ids[p[open_] + n[open_]] == block.text[q[open_] + n[open_]]]
+                n[open_] += 1
+            parts.append((p, q, item, n))
+        p, q, item, n = (np.concatenate(x) for x in zip(*parts)) if parts else (none,) * 4
+        doc = np.searchsorted(self.starts, p, side="right") - 1
+        return doc, item, p - self.starts[doc], q - block.first[item], n
 
 
 def _shards(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -149,137 +173,108 @@ def _shards(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(bodies)
 
 
-def hits(texts: list[bytes], block: Block) -> Iterator[tuple[np.ndarray, dict[int, list[str]], np.ndarray]]:
-    """For each shard of the texts: words by document, items by document, and whether each word is hit (one bitmap,
-    documents one after another, each followed by one unset entry)."""
-    for a, b in _shards(texts):
-        shard = Shard(texts[a:b], block, block.depth)
-        at, window = shard.occurrences(block)
-        edge = np.zeros(shard.n + 1, np.int64)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + block.sizes[window], -1)
-        doc = np.searchsorted(shard.starts, at, side="right") - 1
-        found: dict[int, set] = {}
-        for pair in np.unique(doc * len(block.items) + window).tolist() if len(at) else []:
-            found.setdefault(pair // len(block.items), set()).update(block.items[pair % len(block.items)])
-        yield shard.sizes, {k: sorted(v) for k, v in found.items()}, np.cumsum(edge[:-1]) > 0
+FOUND = "array<struct<item: string, doc_start: long, item_start: long, n_words: long>>"
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column, b"").to_pylist()
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_words, n_hit, hit, items): what of each document stands in the benchmark.
+def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, n_words, n_hit, hit, items, matches): what of each document stands in the benchmark.
 
-    A window is `window` consecutive words of an item, or a whole shorter item; hit is a bitmap over the
-    document's words (little-endian bits) and items the sorted ids of the items with a window in it. A null
-    text has no words. Repeated rows and null ids are reported each by itself; other columns are not read.
+    matches are the longest verbatim matches of at least a window, `window` consecutive words of an item or a
+    whole shorter item: item, places in document and item counted in words from 0, and words. hit is a bitmap
+    over the document's words (little-endian bits) and items the sorted ids of the items matched; an item
+    without an id hits words and has no name. A null text has no words. Repeated rows and null ids are
+    reported each by itself; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"), F.lit(None).cast("binary").alias("hit"), F.expr("cast(array() as array<string>)").alias("items"))
-    every = list(blocks(benchmark, window, block_words))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"), F.lit(None).cast("binary").alias("hit"), F.array().cast(FOUND).alias("matches"))
     sc = docs.sparkSession.sparkContext
-    for k, block in enumerate(every):
-        rows = rows.mapInArrow(_search(sc.broadcast(block), k == len(every) - 1), f"doc_id {kind}, body binary, hit binary, items array<string>, n_words long, n_hit long")
-        if k < len(every) - 1:
-            rows = rows.drop("n_words", "n_hit")
-    return rows.select("doc_id", "n_words", "n_hit", "hit", "items")
+    for block, last in blocks(benchmark, window, block_words):
+        shared = sc.broadcast(block)
+        rows = rows.mapInArrow(_search(shared, last), f"doc_id {kind}, body binary, hit binary, matches {FOUND}, n_words long, n_hit long")
+        if not last:
+            rows = written(rows.drop("n_words", "n_hit"), "found")
+            shared.destroy()
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item"]), lambda x: x.isNotNull())))
+    return rows.select("doc_id", "n_words", "n_hit", "hit", items.alias("items"), "matches")
 
 
 def _search(shared, last: bool):
+    match = pa.struct([("item", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
+        names = pa.array(block.ids, pa.string())
         for batch in batches:
-            bodies = batch.column("body").to_pylist()
-            old_hit, old_items = batch.column("hit").to_pylist(), batch.column("items").to_pylist()
-            n_words, n_hit, bitmaps, items = [], [], [], []
-            for sizes, found, mask in hits(bodies, block):
-                at = 0
-                for k, n in enumerate(sizes.tolist()):
-                    mine, i = mask[at : at + n], len(n_words)
-                    at += n + 1
-                    if old_hit[i] is not None:
-                        mine = mine | np.unpackbits(np.frombuffer(old_hit[i], np.uint8), count=n, bitorder="little").astype(bool)
-                    n_words.append(n)
+            bodies, old_hit, old = batch.column("body").to_pylist(), batch.column("hit").to_pylist(), batch.column("matches")
+            n_words, n_hit, bitmaps, found = [], [], [], []
+            for a, b in _shards(bodies):
+                shard = Shard(bodies[a:b], block, block.depth)
+                doc, item, at, place, n = shard.matches(block)
+                edge = np.zeros(shard.n + 1, np.int64)
+                np.add.at(edge, shard.starts[doc] + at, 1)
+                np.add.at(edge, shard.starts[doc] + at + n, -1)
+                mask = np.cumsum(edge[:-1]) > 0
+                order = np.lexsort((place, item, at, doc))
+                ends = np.searchsorted(doc[order], np.arange(b - a + 1)).astype(np.int32)
+                found.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([names.take(pa.array(item[order])), pa.array(at[order]), pa.array(place[order]), pa.array(n[order])], fields=list(match))))
+                for k, size in enumerate(shard.sizes.tolist()):
+                    mine, before = mask[shard.starts[k] : shard.starts[k] + size], old_hit[a + k]
+                    if before is not None:
+                        mine = mine | np.unpackbits(np.frombuffer(before, np.uint8), count=size, bitorder="little").astype(bool)
+                    n_words.append(size)
                     n_hit.append(int(mine.sum()))
                     bitmaps.append(np.packbits(mine, bitorder="little").tobytes() if n_hit[-1] else None)
-                    items.append(sorted({*old_items[i], *found.get(k, ())}))
+            new = pa.chunked_array(found, pa.list_(match)).combine_chunks()
+            if pc.any(pc.greater(pc.list_value_length(old), 0)).as_py():
+                new = pa.array([x + y for x, y in zip(old.to_pylist(), new.to_pylist())], pa.list_(match))
             body = pa.nulls(len(bodies), pa.binary()) if last else batch.column("body")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), body, pa.array(bitmaps, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())], ["doc_id", "body", "hit", "items", "n_words", "n_hit"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), body, pa.array(bitmaps, pa.binary()), new, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())], ["doc_id", "body", "hit", "matches", "n_words", "n_hit"])
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
-    """docs, all columns as they are, without the rows whose text holds a window of the benchmark."""
-    sc = docs.sparkSession.sparkContext
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs, all columns as they are, without the rows whose text has a match with the benchmark."""
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index("text")
 
     def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good = [k not in found for sizes, found, _ in hits(_bytes(batch.column(at)), shared.value) for k in range(len(sizes))]
-                yield batch.filter(pa.array(good, pa.bool_()))
+                bodies, good = _bytes(batch.column(at)), np.ones(batch.num_rows, bool)
+                for a, b in _shards(bodies):
+                    good[a + np.unique(Shard(bodies[a:b], shared.value, shared.value.depth).matches(shared.value)[0])] = False
+                yield batch.filter(pa.array(good))
 
         return run
 
-    at = docs.columns.index("text")
-    for block in blocks(benchmark, window, block_words):
-        docs = docs.mapInArrow(keep(sc.broadcast(block)), docs.schema)
-    return docs
+    schema = docs.schema
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    for block, last in blocks(benchmark, window, block_words):
+        shared = sc.broadcast(block)
+        own = own.mapInArrow(keep(shared), own.schema)
+        if not last:
+            own = written(own, "kept")
+            shared.destroy()
+    return own.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(schema.names)])
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(item_id, item_start, n_words, doc_id, doc_start): the longest verbatim match of each benchmark suffix.
 
-    Each suffix is searched to its full length in every shard; its neighbours in the suffix array hold the
-    shard's longest match. Matches shorter than a window (or than a whole shorter item) are left out; of
-    equal lengths the smallest doc_id wins. Starts count words from 0.
+    Matches shorter than a window (or than a whole shorter item) are left out; of equal lengths the smallest
+    doc_id wins, then the smallest place, null before all. Starts count words from 0. Every suffix that
+    begins within a match has the rest of it.
     """
-    sc, kind, out = docs.sparkSession.sparkContext, docs.schema["doc_id"].dataType.simpleString(), None
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
-    for group in item_groups(benchmark, block_words):
-        found = rows.mapInArrow(_longest(sc.broadcast((Block(group, window), group)), window), f"item_id string, item_start long, n_words long, doc_id {kind}, doc_start long")
-        out = found if out is None else out.union(found)
-    best = F.max_by(F.struct("n_words", "doc_id", "doc_start"), F.struct("n_words", -F.col("doc_id"), -F.col("doc_start"))).alias("m")
-    return out.groupBy("item_id", "item_start").agg(best).select("item_id", "item_start", "m.n_words", "m.doc_id", "m.doc_start")
-
-
-def _longest(shared, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, group = shared.value
-        depth = min(DEPTH, max([1, *(len(ws) for _, ws in group)]))
-        tests = [(item, at, [block.get(w) for w in ws[at : at + depth]], ws, min(window, len(ws))) for item, ws in group for at in range(len(ws))]
-        wanted = np.zeros((len(tests), depth), np.int64)
-        for k, test in enumerate(tests):
-            wanted[k, : len(test[2])] = test[2]
-        least = np.array([t[4] for t in tests], np.int64)
-        keys = packed(wanted, block.bits)
-        for batch in batches:
-            ids, bodies = batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()
-            for a, b in _shards(bodies):
-                shard = Shard(bodies[a:b], block, depth)
-                if not len(shard.suffixes) or not tests:
-                    continue
-                at, end = bounds(shard.keys, keys, False), bounds(shard.keys, keys, True)
-                length, place = np.zeros(len(tests), np.int64), np.zeros(len(tests), np.int64)
-                for side in (at - 1, at):
-                    inside = np.clip(side, 0, len(shard.suffixes) - 1)
-                    same = np.cumprod((shard.rows[inside] == wanted) & (wanted > 0), axis=1).sum(axis=1)
-                    better = same > length
-                    length, place = np.where(better, same, length), np.where(better, shard.suffixes[inside], place)
-                for k in np.flatnonzero(length == depth).tolist():  # all that agree so far go on word by word
-                    alive, rest = shard.suffixes[at[k] : end[k]], tests[k][3][tests[k][1] + depth :]
-                    for word in rest:
-                        alive = alive[shard.ids[alive + length[k]] == block.get(word)]
-                        if not len(alive):
-                            break
-                        length[k], place[k] = length[k] + 1, alive[0]
-                good = np.flatnonzero(length >= least)
-                doc = np.searchsorted(shard.starts, place[good], side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array([tests[k][0] for k in good], pa.string()), pa.array([tests[k][1] for k in good], pa.int64()), pa.array(length[good]), pa.array([ids[a + d] for d in doc], batch.schema.field("doc_id").type), pa.array(place[good] - shard.starts[doc])], ["item_id", "item_start", "n_words", "doc_id", "doc_start"])
-
-    return run
+    rows = report(docs, benchmark, window, block_words).select("doc_id", F.explode("matches").alias("m"))
+    later = F.explode(F.sequence(F.lit(0), F.greatest(F.col("m.n_words") - window, F.lit(0)))).alias("k")
+    rows = rows.select("m.item", (F.col("m.item_start")).alias("at"), F.col("m.n_words").alias("n"), "doc_id", F.col("m.doc_start").alias("start"), later)
+    best = F.min(F.struct((F.col("k") - F.col("n")).alias("short"), "doc_id", (F.col("start") + F.col("k")).alias("doc_start"))).alias("b")
+    out = rows.groupBy(F.col("item").alias("item_id"), (F.col("at") + F.col("k")).alias("item_start")).agg(best)
+    return out.select("item_id", "item_start", (-F.col("b.short")).alias("n_words"), "b.doc_id", "b.doc_start")
 
 
 def digest(items: list[str]) -> str:

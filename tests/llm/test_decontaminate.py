@@ -47,7 +47,7 @@ def test_report_is_brute_force(frame, block_words):
     for r in D.report(frame(docs, SCHEMA), frame(items, "item_id long, text string"), block_words=block_words).collect():
         found.setdefault(r["doc_id"], []).append((r["n_words"], r["n_hit"], [x for x in r["items"]]))
     clean = lambda rows: sorted((n, h, sorted(i)) for n, h, i in rows)
-    assert {k: clean(v) for k, v in found.items()} == {k: clean([(n, h, ["null" if x == "None" else x for x in i]) for n, h, i in v]) for k, v in expected.items()}
+    assert {k: clean(v) for k, v in found.items()} == {k: clean([(n, h, [x for x in i if x != "None"]) for n, h, i in v]) for k, v in expected.items()}
 
 
 def test_clean_keeps_columns(frame):
@@ -93,7 +93,31 @@ def test_long_items(frame, monkeypatch):
                 best = max(best, (n, -doc_id))
         if best[0] >= 10:
             expected[at] = (best[0], -best[1])
-    for depth in (64, 12):
-        monkeypatch.setattr(D, "DEPTH", depth)
+    for pairs in (1 << 20, 3):
+        monkeypatch.setattr(D, "PAIRS", pairs)
         rows = D.longest_matches(frame(docs, SCHEMA).coalesce(1), frame([(1, " ".join(item))], "item_id long, text string")).collect()
-        assert {r["item_start"]: r["n_words"] for r in rows} == {k: v[0] for k, v in expected.items()}
+        assert {r["item_start"]: (r["n_words"], r["doc_id"]) for r in rows} == expected
+
+
+def test_matches_and_text_ids(spark):
+    """Each match as it stands in both texts, and extended by no word; ids that are no numbers."""
+    docs, items = cases()
+    docs = [(f"d{k}", t) for k, (_, t) in enumerate(docs)]
+    rows = D.report(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([(f"i{k}", t) for k, (_, t) in enumerate(items)], "item_id string, text string")).collect()
+    text = {d: D.words((t or "").encode()) for d, t in docs}
+    item = {f"i{k}": D.words((t or "").encode()) for k, (_, t) in enumerate(items)}
+    seen = 0
+    for r in rows:
+        ws, hit = text[r["doc_id"]], set()
+        assert len({tuple(m) for m in r["matches"]}) == len(r["matches"])
+        for m in r["matches"]:
+            its, a, b, n = item[m["item"]], m["doc_start"], m["item_start"], m["n_words"]
+            assert ws[a : a + n] == its[b : b + n] and n >= min(10, len(its))
+            assert a == 0 or b == 0 or ws[a - 1] != its[b - 1]
+            assert a + n == len(ws) or b + n == len(its) or ws[a + n] != its[b + n]
+            hit |= set(range(a, a + n))
+            seen += 1
+        assert len(hit) == r["n_hit"]
+    assert seen > 20
+    best = D.longest_matches(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([("i", items[11][1] or "b c d e f g h i j k")], "item_id string, text string"))
+    assert dict(best.dtypes)["doc_id"] == "string" and best.count() >= 0
