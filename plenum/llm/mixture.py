@@ -30,8 +30,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    size = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), F.lit(0)).cast("long")
-    size = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(size)
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     return docs.select("*", size.alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - HASH_BITS).alias("hash"))
 
 
