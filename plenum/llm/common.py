@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -27,17 +29,40 @@ def prepared(spark: SparkSession) -> SparkSession:
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def shared_dir(spark: SparkSession, lasting: bool = False) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests, a single machine) a folder of this machine stands in.
+    Only where the setting is absent (tests, a single machine) a folder of this machine stands in. Within
+    scratch it is removed at the end, unless it is lasting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.gettempdir() + "/plenum-shared"
-    return f"{base.rstrip('/')}/plenum-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/plenum-{uuid.uuid4().hex}"
+    if not lasting and _passing.get() is not None:
+        _passing.get().append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within, the tables that operators cut their lineage with are removed at the end.
+
+    A query's rows are made of such tables when they are read, so write them before the end.
+    """
+    token = _passing.set([])
+    try:
+        yield
+    finally:
+        for path in _passing.get():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _passing.reset(token)
 
 
 def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:

@@ -376,7 +376,7 @@ def default_tokenizer() -> str:
 def token_rows(docs: DataFrame, tokenizer: str | None = None, end: int = 2) -> DataFrame:
     """docs written to token files in the shared folder, and the documents read back from them."""
     spark = docs.sparkSession
-    out = f"{shared_dir(spark)}/token_files"
+    out = f"{shared_dir(spark, lasting=True)}/token_files"
     write_tokens(docs.select("doc_id", "text"), tokenizer or default_tokenizer(), out, end)
     return read_documents(spark, out, docs.schema["doc_id"].dataType.simpleString())
 

@@ -232,7 +232,7 @@ def read(spark: SparkSession, warc: str, kind: str = "bigint") -> DataFrame:
 
 def op7_warc_store(spark, sf_dir: str) -> DataFrame:
     """Every page's record as read back from WARC files of all pages."""
-    base, pages = shared_dir(spark), spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    base, pages = shared_dir(spark, lasting=True), spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     write(pages, f"{base}/archive")
     export(spark, f"{base}/archive", f"{base}/warc")
     return read(spark, f"{base}/warc", pages.schema["page_id"].dataType.simpleString()).drop("url")
