@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plenum.llm import decontaminate, mixture, preference, simhash, token_stream
-from plenum.llm.common import prepared, shared_dir
+from plenum.llm.common import prepared, scratch, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; what stages leave besides their results and the token files is removed."""
     prepared(spark)
     docs, base = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
