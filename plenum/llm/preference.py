@@ -1,19 +1,20 @@
 """A quality classifier from preferences: Bradley-Terry scores of documents, cut at a quantile.
 
 A document's strength is a linear function of features of its whole text: measures of its form, and hashed words and
-pairs of words. A preference pair is a document
-that is marked good over one that is marked bad; the chance that the good one wins is the logistic function
-of the difference of strengths, and the weights minimise the logistic loss on feature differences. The
-strengths of the training documents are then cut at the quantile that their bad share names, and the
-distance from the cut becomes a score from 0 to 1.
-
-Only documents of a bounded training sample reach the driver; features are computed where texts are read.
+pairs of words. A preference pair is a document that is marked good over one that is marked bad; the chance that
+the good one wins is the logistic function of the difference of strengths, and the weights minimise the mean
+logistic loss over all such pairs of all labelled documents. The strengths of all these documents are then cut at
+the quantile that their bad share names, and the distance from the cut becomes a score from 0 to 1.
+
+The labelled documents' features are a table in the shared folder, which each step of the fit reads whole. The
+loss of all pairs needs no list of pairs: counts of strengths by class say for each strength how much of the other
+class it should have won against. The driver gets sums and counts only.
 """
 
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plenum.llm.common import scratch, written
 from plenum.llm.words import cut, hashes
 
-#: Labelled documents of each class that the fit reads at most, and pairs that it draws.
-SAMPLE, PAIRS = 20_000, 200_000
 THRESHOLD = 0.7
+#: Labels up to which they go to all executors; beyond that, features and labels meet in a join. Tasks of a step, each with a few kB for the driver.
+LABELS, TASKS = 1_000_000, 512
+#: The weight of squared weights, how far the loss may be above the least, steps at most, lengths of a step that are tried, and the finest unit of strength in counts of pairs.
+L2, GAP, STEPS, TRIALS, UNIT = 5e-3, 1e-5, 200, (2, 1, 1 / 2, 1 / 4, 1 / 8), 1 / 64
 
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -107,15 +111,17 @@ def some(bodies: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, good, text) -> (doc_id, good, x): the features as bytes of half precision; a null text counts as empty."""
+    """docs(..., text) -> (..., x): the features as bytes of half precision; a null text counts as empty."""
+    names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = pc.fill_null(batch.column("text").cast(pa.binary()), b"").to_pylist()
             found = [row.tobytes() for part in some(bodies) for row in np.clip(rows_of(part), -6e4, 6e4).astype(np.float16)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array(found, pa.binary())], ["doc_id", "good", "x"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found, pa.binary())], [*names, "x"])
 
-    return docs.select("doc_id", "good", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, good boolean, x binary")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in names]
+    return docs.select(*names, "text").mapInArrow(run, ", ".join([*kinds, "x binary"]))
 
 
 @dataclass
@@ -136,76 +142,223 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+#: Runs of (good, features) of documents; what adds up a function of such runs over all documents: (function, its number of values) -> sum.
+Runs = Iterable[tuple[np.ndarray, np.ndarray]]
+Each = Callable[[Callable[[Runs], np.ndarray], int], np.ndarray]
+
+
+def reached(weight: np.ndarray, before: float, target: float) -> tuple[int, float]:
+    """The first place up to which the weights, and what is before them, add up to the target; and what is before it."""
+    share = before + np.cumsum(weight)
+    k = min(int(np.searchsorted(share, target)), int(np.flatnonzero(weight)[-1]))
+    return k, float(share[k - 1]) if k else before
+
+
 def quantile(scores: np.ndarray, weight: np.ndarray, at: float) -> float:
     """The smallest score up to which the weights add up to the share `at` of all."""
     order = np.argsort(scores, kind="stable")
-    share = np.cumsum(weight[order])
-    return float(scores[order[min(int(np.searchsorted(share, at * share[-1] * (1 - 1e-9))), len(order) - 1)]])
-
-
-def fit(good: np.ndarray, bad: np.ndarray, bad_share: float, pairs: int = PAIRS, steps: int = 800, l2: float = 5e-3, seed: int = 7) -> Model:
-    """Weights from pairs of a good and a bad document; good and bad are rows of features.
+    return float(scores[order[reached(weight[order], 0.0, at * weight.sum() * (1 - 1e-9))[0]]])
+
+
+def pair_sums(counts: np.ndarray, unit: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """From counts of strengths in whole units, of bad and good ones: the mean loss of all pairs, and for each place the
+    mean chance that a bad (good) document of this strength wins (loses) against those of the other class."""
+    n = counts.shape[1]
+    bad, good = counts / counts.sum(axis=1, keepdims=True)
+    apart = np.arange(1 - n, n) * unit
+    wins = 1 / (1 + np.exp(-np.clip(apart, -500, 500)))
+    loss = np.correlate(good, bad, "full") @ np.logaddexp(0, -apart)
+    return float(loss), np.convolve(good, wins)[n - 1 : 2 * n - 1], np.convolve(bad, wins[::-1])[n - 1 : 2 * n - 1]
+
+
+def direction(g: np.ndarray, moves: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The gradient times the inverse Hessian that the last moves of weights and gradients tell (L-BFGS)."""
+    d, shares = g.copy(), []
+    for s, y in reversed(moves):
+        shares.append(s @ d / (s @ y))
+        d -= shares[-1] * y
+    if moves:
+        s, y = moves[-1]
+        d *= s @ y / (y @ y)
+    for (s, y), share in zip(moves, reversed(shares)):
+        d += s * (share - y @ d / (s @ y))
+    return d
+
+
+def minimum(each: Each, standard: Callable[[Runs], Runs], totals: np.ndarray, width: int, l2: float) -> np.ndarray:
+    """The weights with the least loss over all pairs, totals being the numbers of bad and good documents.
+
+    A loss with this l2 lies at most g^2 / (2 l2) above the least, g being its gradient; the steps end when that is GAP.
+    """
+    w, moves, last = np.zeros(width), [], None
+    grid, (loss, lost, missed) = np.zeros(1), pair_sums(totals[:, None].astype(float), 1.0)
+    for _ in range(STEPS):
+
+        def gradient(runs, w=w, grid=grid, lost=lost / totals[0], missed=missed / totals[1]):
+            out = np.zeros(width)
+            for good, x in standard(runs):
+                s = x @ w.astype(np.float32)
+                out += np.where(good, -np.interp(s, grid, missed), np.interp(s, grid, lost)).astype(np.float32) @ x
+            return out
+
+        g = each(gradient, width) + l2 * w
+        if g @ g <= 2 * l2 * GAP:
+            break
+        if last is not None and (w - last[0]) @ (g - last[1]) > 0:
+            moves = [*moves[-9:], (w - last[0], g - last[1])]
+        last, d = (w, g), direction(g, moves)
+        for reach in (1, 1 / 32, 1 / 1024):
+            tried = w - reach * np.outer(TRIALS, d)
+            most = 8 * np.abs(tried).sum(axis=1).max()
+            unit = max(UNIT, most / (1 << 14))
+            half = int(most / unit) + 3
+            shape = (len(TRIALS), 2, 2 * half + 1)
+
+            def counts(runs, tried=tried, unit=unit, half=half, shape=shape):
+                out = np.zeros(shape)
+                for good, x in standard(runs):
+                    s = (x @ tried.T.astype(np.float32)).astype(float) / unit + half
+                    for k in range(len(TRIALS)):  # a document counts at the places below and above its strength, more at the nearer
+                        at = s[:, k].astype(np.int64)
+                        for place, share in ((at, 1 - s[:, k] + at), (at + 1, s[:, k] - at)):
+                            out[k] += np.bincount(good * shape[2] + place, share, 2 * shape[2]).reshape(2, -1)
+                return out.ravel()
+
+            found = []
+            for k, part in enumerate(each(counts, int(np.prod(shape))).reshape(shape)):
+                there = np.flatnonzero(part.any(axis=0))
+                low, high = there[0], there[-1] + 1
+                found.append((*pair_sums(part[:, low:high], unit), (np.arange(low, high) - half) * unit))
+            total = [f[0] + l2 / 2 * v @ v for f, v in zip(found, tried)]
+            k = int(np.argmin(total))
+            if total[k] < loss:
+                break
+        else:
+            break
+        w, loss, (_, lost, missed, grid) = tried[k], total[k], found[k]
+    return w
+
+
+def ordered(s: np.ndarray) -> np.ndarray:
+    """Numbers in single precision as unsigned integers of the same order."""
+    bits = s.astype(np.float32).view(np.uint32)
+    return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
+
+
+def number(key: int) -> float:
+    """What ordered made the key of."""
+    return float(np.array([key & 0x7FFFFFFF if key >> 31 else ~key & 0xFFFFFFFF], np.uint32).view(np.float32)[0])
+
+
+def fitted(each: Each, width: int, bad_share: float | None = None, l2: float = L2) -> Model:
+    """The model of all documents that each() runs over; bad_share is theirs unless it is given.
 
     The cut is the quantile of strengths at bad_share, taken as the middle between the quantiles at EDGE of
     either class inside of it. Without one of the classes there is no preference: every score is then 1 (or 0
     where all are bad).
     """
-    width = good.shape[1] if good.ndim == 2 else WIDTH
-    if not len(good) or not len(bad):
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), 1e9 if len(bad) else -1e9, 1.0)
-    rng = np.random.default_rng(seed)
-    n = len(good) + len(bad)
-    mean = (good.sum(axis=0, dtype=float) + bad.sum(axis=0, dtype=float)) / n
-    square = (np.einsum("ij,ij->j", good, good, dtype=float) + np.einsum("ij,ij->j", bad, bad, dtype=float)) / n
-    scale = np.maximum(np.sqrt(np.maximum(square - mean * mean, 0)), 1e-3)
-    a, b = good - mean.astype(np.float32), bad - mean.astype(np.float32)
-    for x in (a, b):
-        x /= scale.astype(np.float32)
-        np.clip(x, -8, 8, out=x)
-    left, right = rng.integers(len(a), size=pairs), rng.integers(len(b), size=pairs)
-    w, moment, square = np.zeros(width), np.zeros(width), np.zeros(width)
-    for step in range(1, steps + 1):
-        drawn = rng.integers(pairs, size=min(2048, pairs))
-        part, v = a[left[drawn]] - b[right[drawn]], w.astype(np.float32)
-        gradient = -(1 / (1 + np.exp(np.clip(part @ v, -30, 30)))).astype(np.float32) @ part / len(part) + l2 * w
-        moment, square = 0.9 * moment + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
-        w -= 0.05 * min(1, 2 * (1 - step / steps) + 0.02) * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    strong, weak = a @ w, b @ w
-    weight = np.concatenate([np.full(len(strong), (1 - bad_share) / len(strong)), np.full(len(weak), bad_share / len(weak))])
-    both = np.concatenate([strong, weak])
-    low, high = quantile(both, weight, bad_share * (1 - EDGE)), quantile(both, weight, bad_share + EDGE * (1 - bad_share))
-    return Model(mean, scale, w, (low + high) / 2, float(4 / max(1e-6, np.std(both))))
-
-
-def chosen(labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict]:
-    """(doc_id, good) of the labelled documents to fit on, and how many there are of each class.
+
+    def sums(runs):
+        out = np.zeros((2, 1 + width))
+        for good, x in runs:
+            out[0, 0] += good.sum()
+            out[1, 0] += len(good) - good.sum()
+            out[0, 1:] += x.sum(axis=0, dtype=float)
+            out[1, 1:] += np.einsum("ij,ij->j", x, x, dtype=float)
+        return out.ravel()
+
+    first, second = each(sums, 2 + 2 * width).reshape(2, -1)
+    totals = np.array([second[0], first[0]])
+    if not totals.all():
+        return Model(np.zeros(width), np.ones(width), np.zeros(width), 1e9 if totals[0] else -1e9, 1.0)
+    mean = first[1:] / totals.sum()
+    scale = np.maximum(np.sqrt(np.maximum(second[1:] / totals.sum() - mean * mean, 0)), 1e-3)
+
+    def standard(runs):
+        for good, x in runs:
+            x = x - mean.astype(np.float32)
+            x /= scale.astype(np.float32)
+            yield good, np.clip(x, -8, 8, out=x)
+
+    w = minimum(each, standard, totals, width, l2)
+    bad_share = totals[0] / totals.sum() if bad_share is None else bad_share
+    weight = np.array([bad_share, 1 - bad_share]) / totals
+    targets = [at * (1 - 1e-9) for at in (bad_share * (1 - EDGE), bad_share + EDGE * (1 - bad_share))]
+
+    def heads(runs):
+        out = np.zeros(2 + (2 << 16))
+        for good, x in standard(runs):
+            s = x @ w
+            out[:2] += s.sum(), s @ s
+            out[2:] += np.bincount(good * (1 << 16) + (ordered(s) >> 16), minlength=2 << 16)
+        return out
+
+    found = each(heads, 2 + (2 << 16))
+    spread = np.sqrt(max(0.0, found[1] / totals.sum() - (found[0] / totals.sum()) ** 2))
+    tops = [reached(weight @ found[2:].reshape(2, -1), 0.0, at) for at in targets]
+
+    def tails(runs):
+        out = np.zeros((len(tops), 2 << 16))
+        for good, x in standard(runs):
+            keys = ordered(x @ w)
+            for k, (top, _) in enumerate(tops):
+                inside = keys >> 16 == top
+                out[k] += np.bincount(good[inside] * (1 << 16) + (keys[inside] & 0xFFFF), minlength=2 << 16)
+        return out.ravel()
+
+    low, high = (number(top << 16 | reached(weight @ part.reshape(2, -1), before, at)[0]) for (top, before), at, part in zip(tops, targets, each(tails, len(tops) * (2 << 16)).reshape(len(tops), -1)))
+    return Model(mean, scale, w, (low + high) / 2, float(4 / max(1e-6, spread)))
+
+
+def fit(good: np.ndarray, bad: np.ndarray, bad_share: float, l2: float = L2) -> Model:
+    """The model of documents at hand; good and bad are rows of features."""
+    width = (good if good.ndim == 2 else bad).shape[1] if good.ndim == 2 or bad.ndim == 2 else WIDTH
+    runs = [(np.full(len(x), k, np.int64), x.reshape(-1, width).astype(np.float32)) for k, x in enumerate((bad, good)) if len(x)]
+    return fitted(lambda f, size: f(runs), width, bad_share, l2)
+
+
+def taught(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(good, x) of every labelled document that is not held out.
 
     A document with several labels counts by their majority, with a draw not at all; null ids and null
-    labels are left out. Of each class at most some `sample` documents are drawn: those whose hash lies below
-    the share that the sample is of the class. So the rows here are at most some 2 * sample.
+    labels are left out.
     """
-    votes = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("q")).where("q <> 0.5")
+    votes = labels.where(~held_out()).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("q")).where("q <> 0.5")
     votes = votes.select("doc_id", (F.col("q") > 0.5).alias("good"))
-    counts = {r["good"]: r["n"] for r in votes.groupBy("good").agg(F.count("*").alias("n")).collect()}
-    least = lambda good: int(min(1.0, 0.95 * sample / counts.get(good, 1)) * (1 << 30)) if counts.get(good, 0) > sample else 1 << 30
-    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("good"), least(True)).otherwise(least(False))
-    return votes.where(low), counts
-
-
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of the labelled docs that are drawn, which are few; rows that are held out teach nothing."""
-    drawn, counts = chosen(labels.where(~held_out()).select("doc_id", "quality"), sample)
-    part = featured(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")).toArrow()
-    x, at = np.empty((len(part), WIDTH), np.float16), 0
-    for chunk in part.column("x").chunks:
-        for row in chunk:
-            x[at] = np.frombuffer(row.as_buffer(), np.float16)
-            at += 1
-    good, ids = part.column("good").to_numpy(), part.column("doc_id").to_numpy()
-    del part
-    order = np.lexsort((x[:, 0], ids))
-    strong, weak = (order[good[order].astype(bool) == k][:sample] for k in (True, False))
-    return fit(x[strong].astype(np.float32), x[weak].astype(np.float32), counts.get(False, 0) / max(1, sum(counts.values())))
+    docs = docs.select("doc_id", "text").where(~held_out())
+    rows = featured(docs.join(F.broadcast(votes), "doc_id")) if votes.count() <= LABELS else featured(docs.where("doc_id is not null")).join(votes, "doc_id")
+    return rows.select("good", "x")
+
+
+def over(rows: DataFrame) -> Each:
+    """What adds up functions over a table of (good, x)."""
+    rows = rows.coalesce(TASKS)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Runs:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.float16).reshape(part.num_rows, WIDTH)
+                yield part.column("good").to_numpy(zero_copy_only=False).astype(np.int64), x.astype(np.float32)
+
+    def each(f: Callable[[Runs], np.ndarray], size: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = f(runs(batches))
+            places = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (places, found[places])], ["places", "found"])
+
+        out = np.zeros(size)
+        for places, found in rows.mapInArrow(run, "places binary, found binary").collect():
+            out[np.frombuffer(places, np.int64)] += np.frombuffer(found, float)
+        return out
+
+    return each
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of all labelled docs; rows that are held out teach nothing."""
+    with scratch(docs.sparkSession):
+        return fitted(over(written(taught(docs, labels), "features")), WIDTH)
 
 
 def held_out(key: str = "doc_id"):
@@ -218,9 +371,9 @@ def _scores(model: Model, column: pa.Array) -> np.ndarray:
     return np.concatenate([np.zeros(0), *(model.score(rows_of(part)) for part in some(bodies))])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Model]:
-    """(doc_id, held_out, score) of every document; the fit sees only rows that are not held out, and only the drawn ones are read twice."""
-    model = trained(docs, labels, sample)
+def score_documents(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
+    """(doc_id, held_out, score) of every document; the fit sees only rows that are not held out."""
+    model = trained(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +384,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double"), model
 
 
-def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs, all columns as they are, without the rows that score below the threshold; only the drawn documents are read twice."""
-    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, sample))
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, all columns as they are, without the rows that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

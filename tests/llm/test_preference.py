@@ -78,6 +78,54 @@ def test_loss_by_brute_force():
     assert model.cut == pytest.approx((P.quantile(np.r_[a @ model.weights, b @ model.weights], np.ones(120), 0.499) + P.quantile(np.r_[a @ model.weights, b @ model.weights], np.ones(120), 0.501)) / 2, abs=1e-4)
 
 
+def standardised(model, docs, labels):
+    """Features of the labelled documents that teach, as the model sees them, and which are good."""
+    truth = dict(labels)
+    used = [(k, t) for k, t in docs if k in truth and not P_held(k)]
+    x = np.vstack([P.rows_of([t.encode()]) for _, t in used]).astype(np.float16).astype(float)
+    return x, np.clip((x - model.mean) / model.scale, -8, 8), np.array([truth[k] > 0 for k, _ in used])
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_all_pairs_teach(frame, monkeypatch, most):
+    """The loss of all pairs of all labelled documents is as low as the gradient promises, and the cut is of all of them."""
+    monkeypatch.setattr(P, "LABELS", most)
+    docs, labels = documents(400)
+    labels = [(k, 1 - q if k % 17 == 0 else q) for k, q in labels]
+    model = P.trained(frame(docs + [(None, "x")], SCHEMA).repartition(5), frame(labels + [(None, 1), (9999, 0)], "doc_id long, quality int", ()))
+    raw, x, good = standardised(model, docs, labels)
+    assert np.allclose(model.mean, raw.mean(axis=0), atol=1e-4)
+    s = x @ model.weights
+    lost = 1 / (1 + np.exp(s[good][:, None] - s[~good][None]))
+    g = -lost.mean(axis=1) @ x[good] / good.sum() + lost.mean(axis=0) @ x[~good] / (~good).sum() + P.L2 * model.weights
+    assert g @ g <= 1.2 * 2 * P.L2 * P.GAP
+    share, ones = np.mean(~good), np.ones(len(s))
+    assert model.cut == pytest.approx((P.quantile(s, ones, share * (1 - P.EDGE)) + P.quantile(s, ones, share + P.EDGE * (1 - share))) / 2, abs=1e-4)
+
+
+def test_more_documents_than_a_sample(frame):
+    """30,000 labelled documents, of which the last 4,000 alone are long: all are in the means."""
+    docs = [(k, "a b" if k < 26_000 else "long " * 30) for k in range(30_000)]
+    labels = [(k, int(k % 50 > 0)) for k in range(30_000)]
+    model = P.trained(frame(docs, SCHEMA), frame(labels, "doc_id long, quality int", ()))
+    used = [k for k in range(30_000) if not P_held(k)]
+    share = np.mean([k >= 26_000 for k in used])
+    short, long = (float(np.float16(np.log1p(n))) for n in (2, 30))
+    assert model.mean[0] == pytest.approx(short + share * (long - short), abs=1e-6)
+
+
+def test_pair_sums():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 4, (2, 9)).astype(float)
+    loss, lost, missed = P.pair_sums(counts, 0.3)
+    s, (bad, good) = np.arange(9) * 0.3, counts / counts.sum(axis=1, keepdims=True)
+    wins = 1 / (1 + np.exp(-(s[:, None] - s[None])))
+    assert loss == pytest.approx(good @ -np.log(wins) @ bad)
+    assert np.allclose(lost, [(good * (1 / (1 + np.exp(s - b)))).sum() for b in s]) and np.allclose(missed, [(bad * (1 / (1 + np.exp(g - s)))).sum() for g in s])
+    assert [P.number(int(k)) for k in P.ordered(np.array([-2.5, -0.0, 0, 1e-9, 7]))] == pytest.approx([-2.5, 0, 0, 1e-9, 7])
+    assert list(np.argsort(P.ordered(np.array([3, -1, 0.5, -9])))) == [3, 1, 2, 0]
+
+
 def test_hashed_features():
     from collections import Counter
 
